@@ -111,36 +111,36 @@ def positions(df: DataFrame, by: Sequence[str], coarse: Sequence[tuple[Column, b
     )
 
 
-def decile_edges(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
-    """Distinct linearly interpolated decile edges per group with at least two scores.
+def add_deciles(counts: DataFrame, by: Sequence[str], score: str, n: str, name: str = "decile") -> DataFrame:
+    """Decile of each distinct score from a frame counted per (group, score).
 
-    Scores are whole numbers from 0 to 100, so after counting a group has at most 101
-    rows and the window below works on those alone.
+    Edges are linearly interpolated, coinciding edges are merged, and groups with fewer
+    than two scores are dropped.  Scores are whole numbers from 0 to 100, so a group has
+    at most 101 rows here however many rows were counted.
     """
-    by = list(by)
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_t"))
     whole, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(score)
-    ranked = counts.withColumns({
-        "_less": F.sum("_t").over(ordered) - F.col("_t"), "_n": F.sum("_t").over(whole)})
-
-    def at(index: Column) -> Column:
-        hit = (F.col("_less") <= index) & (index < F.col("_less") + F.col("_t"))
-        return F.max(F.when(hit, F.col(score).cast("double")))
+    ranked = counts.where(F.col(score).isNotNull()).withColumns({
+        "_less": F.sum(n).over(ordered) - F.col(n),
+        "_n": F.sum(n).over(whole),
+        "_distinct": F.count(F.lit(1)).over(whole),
+    }).where(F.col("_distinct") >= 2)
+    held = ranked.withColumn("_cells", F.collect_list(F.struct(
+        F.col("_less").alias("less"), (F.col("_less") + F.col(n)).alias("upto"),
+        F.col(score).cast("double").alias("v"))).over(whole))
+
+    def edge(q: Column) -> Column:
+        pos = (F.col("_n") - 1) * q
+        frac = pos - F.floor(pos)
+
+        def at(index: Column) -> Column:
+            return F.element_at(F.filter("_cells", lambda c: (c["less"] <= index) & (index < c["upto"])), 1)["v"]
 
-    # Evenly spaced as i * 0.1 (not i / 10): the binary values decide which edges coincide.
-    edges = []
-    for q in [i * 0.1 for i in range(10)] + [1.0]:
-        pos = (F.col("_n") - 1) * F.lit(q)
         low, high = at(F.floor(pos)), at(F.ceil(pos))
-        frac = F.max(pos - F.floor(pos))
-        edges.append(F.when(frac >= 0.5, high - (high - low) * (1 - frac)).otherwise(low + (high - low) * frac))
-    return (
-        ranked.groupBy(*by).agg(F.array(*edges).alias("_e"), F.count(F.lit(1)).alias("_distinct"))
-        .where(F.col("_distinct") >= 2)
-        .select(*by, F.array_distinct("_e").alias("edges"))
-    )
-
+        return F.when(frac >= 0.5, high - (high - low) * (1 - frac)).otherwise(low + (high - low) * frac)
 
-def decile_of(score: Column, edges: Column) -> Column:
-    below = F.size(F.filter(edges, lambda e: e < score.cast("double")))
-    return F.greatest(below - 1, F.lit(0)).cast("int")
+    # Evenly spaced as i * 0.1 (not i / 10): the binary values decide which edges coincide.
+    fractions = F.array(*[F.lit(i * 0.1) for i in range(10)], F.lit(1.0))
+    edged = held.withColumn("_edges", F.array_distinct(F.transform(fractions, edge)))
+    below = F.size(F.filter("_edges", lambda e: e < F.col(score).cast("double")))
+    return edged.withColumn(name, F.greatest(below - 1, F.lit(0)).cast("int")).drop(
+        "_less", "_n", "_distinct", "_cells", "_edges")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators import timeseries as TS
-from ..operators.ranking import decile_edges, decile_of, group_quantile, percentile_rank, positions, top_k
+from ..operators.ranking import add_deciles, group_quantile, percentile_rank, positions, top_k
+from ..session import cut_lineage
 from ..settings import HORIZONS, TRUSTED_AFTER_BARS
 from ..sources import market_tables as M
 from . import blocks as B
@@ -107,10 +108,9 @@ deciled as (
 @query("w12_score_deciles", B.with_(B.SCORED, DECILES_SQL) + " select symbol, date, score, decile from deciled")
 def w12(spark, sf):
     from .frames import gated
-    g = gated(spark, sf).select("symbol", "date", "score")
-    # One row of edges per calendar date.
-    e = F.broadcast(decile_edges(g, ["date"], "score"))
-    return g.join(e, "date").withColumn("decile", decile_of(F.col("score"), F.col("edges"))).drop("edges")
+    g = cut_lineage(gated(spark, sf).select("symbol", "date", "score"), "scores")
+    counts = g.groupBy("date", "score").agg(F.count(F.lit(1)).alias("n"))
+    return g.join(add_deciles(counts, ["date"], "score", "n").drop("n"), ["date", "score"])
 
 
 @query("w13_daily_top_k", IND_SQL + f"""

@@ -71,8 +71,10 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases
         if aliases:
             names = canonical_names(names)
         schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+        # With a single header the folders are listed once instead of file by file.
+        where = paths if len(groups) == 1 else files
         parts.append(
-            spark.read.schema(schema).csv(files, header=True, enforceSchema=True)
+            spark.read.schema(schema).csv(where, header=True, enforceSchema=True, recursiveFileLookup=True)
             .withColumn("_path", F.col("_metadata.file_path")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
