@@ -177,13 +177,13 @@ def x15(spark, sf):
 STRENGTH = "['RT_SIDEWAY_BREAKOUT','RT_Range_Breakout_with_Volume','RT_Master_Resistance_Breakout_Screener','DARVAS','RT_52W_BREAKOUT','RT_SHORT_TO_MID_RANGE_BREAKOUT']"
 PHASES = f"""
 flags0 as (select *, list_has_any(new_screeners, {STRENGTH}) as firing, list_has_any(screeners, ['RT_MAJOR_SUPPORT','RT_Fib_0.7_to_0.88_Zone']) as sup,
-  list_has_any(screeners, ['RT_Daily_Contraction','VCP']) as con, not coalesce(chg > 15, false) as calm, coalesce(rs_vs_market >= 5, false) as leading,
+  list_has_any(screeners, ['RT_Daily_Contraction','VCP']) as con, not coalesce(chg > 15, false) as calm, coalesce(rs_vs_market >= 5, false) as ahead,
   coalesce(rs_vs_market >= 15, false) as rs_strong, coalesce(vp >= 0.75, false) as vol_ok,
   len(list_filter(new_screeners, lambda s: list_contains(breakout, s))) > 0 as fresh,
   coalesce(chg >= 1 and chg <= 8, false) as healthy, coalesce(rs_vs_market < 0, false) as lagging,
   case when volume >= 100000 then 'EQ' else 'BE' end as series from live),
-flags1 as (select *, case when firing and vol_ok and calm and leading then 'SOS'
-    when sup and not firing and calm and leading and coalesce(chg >= -4 and chg <= 3, false) then 'LPS'
+flags1 as (select *, case when firing and vol_ok and calm and ahead then 'SOS'
+    when sup and not firing and calm and ahead and coalesce(chg >= -4 and chg <= 3, false) then 'LPS'
     when con and not firing then 'Base' else '' end as phase,
   (rs_strong::int + fresh::int + vol_ok::int + (healthy and calm)::int + (not lagging)::int + (series not in ('BE', 'BZ'))::int) as checks from flags0),
 flags as (select *, case when checks >= 5 and rs_strong and fresh then 'A' when checks >= 3 then 'B' else 'C' end as tier from flags1)"""
