@@ -126,10 +126,11 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: numeric senders are the broadcast channel."""
-    return messages_from_events(table(spark, sf_dir, "events"))
+    return messages_with_time(table(spark, sf_dir, "events")).drop("ts")
 
 
-def messages_from_events(events: DataFrame) -> DataFrame:
+def messages_with_time(events: DataFrame) -> DataFrame:
+    """Messages of an events table or stream, with their event time ``ts``."""
     v = F.round("value").cast("long")
     verb = (F.when(F.col("event_type") == "purchase", "buy")
             .when(F.col("event_type") == "error", "exit").otherwise("watch"))
@@ -140,7 +141,7 @@ def messages_from_events(events: DataFrame) -> DataFrame:
         F.lit(" above "), v.cast("string"), F.lit(" target "), (v * 2).cast("string"),
         F.lit(" sl "), (v - 3).cast("string"), tag)
     return events.select(
-        F.col("event_id").alias("message_id"),
+        "ts", F.col("event_id").alias("message_id"),
         F.date_add(F.lit("1996-01-01").cast("date"), (F.col("event_id") % 1500).cast("int")).alias("date"),
         F.when(numeric, F.col("user_id").cast("string"))
         .otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("sender"),
