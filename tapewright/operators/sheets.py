@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.screeners import new_screeners, screener_count
 from .asof import session_calendar
-from .timeseries import BY_SYMBOL
+from .timeseries import by_symbol
 
 HIT_ATTRIBUTES = ["stock_name", "chg", "price", "volume"]
 
@@ -48,12 +48,12 @@ def compare_history(merged: DataFrame) -> DataFrame:
     a window over the symbol replaces a self-join.
     """
     cal = F.broadcast(session_calendar(merged).select("date", "prev_date"))
-    seen = F.lag("date").over(BY_SYMBOL) == F.col("prev_date")
+    seen = F.lag("date").over(by_symbol()) == F.col("prev_date")
     df = merged.join(cal, "date")
     df = df.withColumns({
         "_seen": seen,
-        "prev_screeners": F.when(seen, F.lag("screeners").over(BY_SYMBOL)),
-        "prev_chg": F.when(seen, F.lag("chg").over(BY_SYMBOL)),
+        "prev_screeners": F.when(seen, F.lag("screeners").over(by_symbol())),
+        "prev_chg": F.when(seen, F.lag("chg").over(by_symbol())),
     })
     return _with_changes(df).drop("prev_date")
 
@@ -148,7 +148,7 @@ def attach_sectors(sheet: DataFrame, sectors: DataFrame) -> DataFrame:
 def sheet_history(hits: DataFrame, bars: DataFrame, deals: DataFrame, sectors: DataFrame) -> DataFrame:
     """One scored-ready row per symbol and date for the whole history."""
     quotes = bars.withColumn(
-        "chg", (F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL)) - 1) * 100
+        "chg", (F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1) * 100
     ).select("symbol", "date", F.col("close").alias("price"), "chg", "volume", "deliv_per")
     merged = merge_hits(hits, ("symbol", "date")).join(quotes, ["symbol", "date"])
     compared = compare_history(merged)

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.scoring import is_true
 from ..settings import DEFAULTS, TRUSTED_AFTER_BARS, Thresholds
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
 
+def by_symbol():
+    """The window of one symbol in date order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
-def trailing(fn, value: Column, bars: int, min_bars: int | None = None, window=BY_SYMBOL) -> Column:
+
+
+def trailing(fn, value: Column, bars: int, min_bars: int | None = None, window=None) -> Column:
     """``fn`` over the last ``bars`` rows, NULL until ``min_bars`` non-null values exist."""
-    frame = window.rowsBetween(-(bars - 1), 0)
+    frame = (window or by_symbol()).rowsBetween(-(bars - 1), 0)
     need = bars if min_bars is None else min_bars
     return F.when(F.count(value).over(frame) >= need, fn(value).over(frame))
 
@@ -31,9 +35,9 @@ def add_segments(bars: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
     latest segment start, so no second sort is needed.
     """
     jump = F.coalesce(
-        (F.datediff("date", F.lag("date").over(BY_SYMBOL)) > t.max_gap_days).cast("int"), F.lit(0))
-    numbered = bars.withColumn("_jump", jump).withColumn("_rn", F.row_number().over(BY_SYMBOL))
-    so_far = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+        (F.datediff("date", F.lag("date").over(by_symbol())) > t.max_gap_days).cast("int"), F.lit(0))
+    numbered = bars.withColumn("_jump", jump).withColumn("_rn", F.row_number().over(by_symbol()))
+    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     return (
         numbered.withColumn("seg", F.sum("_jump").over(so_far).cast("int"))
         .withColumn("_start", F.max(F.when((F.col("_jump") == 1) | (F.col("_rn") == 1), F.col("_rn"))).over(so_far))
@@ -44,7 +48,7 @@ def add_segments(bars: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
 
 def add_true_range(bars: DataFrame) -> DataFrame:
     """Day range, or on later bars of a segment the wider span including the previous close."""
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     day = F.col("high") - F.col("low")
     wide = F.greatest(day, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
     return bars.withColumn("tr", F.when(F.col("bars_since_gap") == 1, day).otherwise(wide))
@@ -55,7 +59,7 @@ def trend_template() -> Column:
     close, s50, s150, s200 = (F.col(c) for c in ("close", "sma50", "sma150", "sma200"))
     return (
         is_true(close > s50) & is_true(s50 > s150) & is_true(s150 > s200)
-        & is_true(s200 > F.lag("sma200", 20).over(BY_SYMBOL))
+        & is_true(s200 > F.lag("sma200", 20).over(by_symbol()))
         & is_true(F.col("pct_from_52w_high") >= -25)
         & is_true(F.col("pct_from_52w_low") >= 30)
     )
@@ -77,7 +81,7 @@ def add_indicators(bars: DataFrame, *, strict_segments: bool = False, t: Thresho
     history; ``strict_segments`` restricts the windows themselves to one segment.
     """
     df = add_true_range(add_segments(bars, t=t))
-    w = Window.partitionBy("symbol", "seg").orderBy("date") if strict_segments else BY_SYMBOL
+    w = Window.partitionBy("symbol", "seg").orderBy("date") if strict_segments else by_symbol()
     close, tr = F.col("close"), F.col("tr")
     high = trailing(F.max, close, t.year_bars, t.year_min_bars, w)
     low = trailing(F.min, close, t.year_bars, t.year_min_bars, w)
@@ -126,7 +130,7 @@ def add_gap_features(bars: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
 
     A day without a usable range still counts as a pivot.  Needs ``rel_volume``.
     """
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     df = bars.withColumns({
         "gap_pct": F.when(prev > 0, (F.try_divide(F.col("open"), prev) - 1) * 100),
         "close_pos": F.when(

@@ -23,7 +23,7 @@ from .frames import T, indicators, labeled
 from .joins_q import LEADERS, STRIP, _last_two_sheets
 from .registry import query
 from .scoring_q import NOTES, PHASES, RISK, candidates
-from .windows_q import AS_OF, GAPS, PERSIST, pick, rounded
+from .windows_q import AS_OF, SHEET_DAY, GAPS, PERSIST, pick, rounded
 
 MSG = B.with_(B.MESSAGES)
 _rstop = "(" + ", ".join(f"'{w}'" for w in RECOMMENDATION_STOPWORDS) + ")"
@@ -117,15 +117,19 @@ def r08(spark, sf):
     return X.precedence_mentions(m, M.listed_companies(spark, sf)).drop("group_id")
 
 
-_MSTAT = f"""
-ms as (select *, regexp_extract(text, '(SYM[A-Z])', 1) as symbol, regexp_full_match(sender, '-?[0-9]+') as admin from messages where date <= date '{AS_OF}'),
-stats as (select symbol, count(*) as mentions, count(*) filter (where admin) as admin_mentions, max(date) as last_date, (date '{AS_OF}' - max(date))::int as days_since
-  from ms where date >= date '{AS_OF}' - 45 group by symbol),
+def _mention_sql(day):
+    return f"""
+ms as (select *, regexp_extract(text, '(SYM[A-Z])', 1) as symbol, regexp_full_match(sender, '-?[0-9]+') as admin from messages where date <= date '{day}'),
+stats as (select symbol, count(*) as mentions, count(*) filter (where admin) as admin_mentions, max(date) as last_date, (date '{day}' - max(date))::int as days_since
+  from ms where date >= date '{day}' - 45 group by symbol),
 called as (select symbol, date as call_date, list_max(list_filter(list_transform(regexp_extract_all(substr(text, instr(upper(text), 'TARGET'), 130), '\\b([0-9]{{2,6}})\\b', 1), lambda s: s::double), lambda n: n >= 10)) as target,
-   case when text like '%positional%' then 'POSITIONAL' end as tag, (date '{AS_OF}' - date)::int as call_days
+   case when text like '%positional%' then 'POSITIONAL' end as tag, (date '{day}' - date)::int as call_days
    from (select *, row_number() over (partition by symbol order by date desc, message_id desc) as rn from ms where admin) where rn = 1)"""
 
 
+_MSTAT = _mention_sql(AS_OF)
+
+
 def _symbols(spark, sf):
     return M.bars(spark, sf).select("symbol").distinct()
 
@@ -144,6 +148,11 @@ def a33(spark, sf):
 
 # ---- ledger ----------------------------------------------------------------------------
 
+def exact_round(x, places):
+    """Half-up rounding of the shortest decimal form, free of binary scaling."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38, 20)), {places}) as double)"
+
+
 LEDGER = f"""
 adm as (select distinct regexp_extract(text, '(SYM[A-Z])', 1) as symbol, date from messages where regexp_full_match(sender, '-?[0-9]+')),
 positions as (
@@ -164,7 +173,8 @@ ledger as (
     case when m.xk is null then null when m.s then p.stop when m.tg then p.target else m.xc end as level,
     greatest(0.0, coalesce(m.peak, 0)) as peak, coalesce(m.days_held, 0) as days_held, coalesce(m.last_price, p.entry_price) as last_price
   from positions p left join sm m on m.symbol = p.symbol and m.entry_date = p.entry_date),
-led as (select *, round(level, 2) as exit_price, round((level / entry_price - 1) * 100, 1) as realized_pct, round(peak, 1) as peak_pct from ledger)"""
+led as (select *, {exact_round('level', 2)} as exit_price, {exact_round('(level / entry_price - 1) * 100', 1)} as realized_pct,
+  {exact_round('peak', 1)} as peak_pct from ledger)"""
 LEDGER_SQL = B.with_(B.SHEET, B.INDICATORS, RISK, NOTES, PHASES, LEADERS, GAPS, B.MESSAGES, LEDGER)
 
 
@@ -262,25 +272,23 @@ def a34c(spark, sf):
 # ---- triage ---------------------------------------------------------------------------
 
 TRIAGE = """
-tday as (select max(date) as d from live), tprev as (select max(date) as d from live where date < (select d from tday)),
-emg as (select symbol, emerging, new_leader, persistent from leaders where date = (select max(date) from ind)),
+tday as (select max(date) as d from live where date <= date '@DAY'), tprev as (select max(date) as d from live where date < (select d from tday)),
 tri as (
   select f.symbol, f.rank, f.score, f.tier, f.phase, f.fresh, f.vol_ok, f.lagging, not f.calm as extended, f.sector, round(f.rs_vs_market, 1) as rs, coalesce(s.leader_days, 0) as leader_days,
     coalesce(s.leader_days >= 12, false) as persistent, p.symbol is null as is_new, f.score - p.score as score_delta, p.rank - f.rank as rank_delta, coalesce(m.mentions, 0) as mentions,
     coalesce(m.admin_mentions, 0) as mention_admin
   from flags f left join strips s on s.symbol = f.symbol left join (select * from live where date = (select d from tprev)) p on p.symbol = f.symbol
-  left join stats m on m.symbol = f.symbol where f.date = (select d from tday) and f.rank <= 60)"""
-TRIAGE_SQL = B.with_(B.SHEET, B.INDICATORS, RISK, NOTES, PHASES, LEADERS, STRIP, B.MESSAGES, _MSTAT, TRIAGE)
+  left join stats m on m.symbol = f.symbol where f.date = (select d from tday) and f.rank <= 60)""".replace("@DAY", SHEET_DAY)
+TRIAGE_SQL = B.with_(B.SHEET, B.INDICATORS, RISK, NOTES, PHASES, LEADERS, STRIP, B.MESSAGES, _mention_sql(SHEET_DAY), TRIAGE)
 
 
 def triage(spark, sf):
     today, before = _last_two_sheets(spark, sf)
     ind = indicators(spark, sf)
-    day = M.bars(spark, sf).agg(F.max("date")).first()[0]
     series = M.bars(spark, sf).where(F.col("date") == today.agg(F.max("date")).scalar()).select(
         "symbol", F.when(F.col("volume") >= 100000, "EQ").otherwise("BE").alias("series"))
-    mentions = X.group_mentions(M.messages(spark, sf), today.select("symbol"), AS_OF, t=T)
-    rows = TR.triage_rows(today, leaders=TR.leadership(ind, day, t=T), series=series, mentions=mentions, previous=before, t=T)
+    mentions = X.group_mentions(M.messages(spark, sf), today.select("symbol"), SHEET_DAY, t=T)
+    rows = TR.triage_rows(today, leaders=TR.leadership(ind, SHEET_DAY, t=T), series=series, mentions=mentions, previous=before, t=T)
     return cut_lineage(rows, "triage")
 
 

@@ -9,7 +9,7 @@ from ..operators import sheets as SH
 from ..operators import text as X
 from ..operators.asof import bars_before_map, next_bar_map, next_session, session_calendar
 from ..operators.labels import add_labels
-from ..operators.timeseries import BY_SYMBOL, benchmark_returns, post_signal_stats
+from ..operators.timeseries import by_symbol, benchmark_returns, post_signal_stats
 from ..plans import evaluation as E
 from ..plans import research as RS
 from ..plans import triage as TR
@@ -20,7 +20,7 @@ from .evaluation_q import STRENGTH, TARGET_DAY, grid_sql, stored, _avgs, _pivot
 from .frames import T, indicators, sheet
 from .registry import query
 from .scoring_q import LIVE_SQL, candidates
-from .windows_q import AS_OF, IND_SQL, pick, rounded
+from .windows_q import AS_OF, IND_SQL, SHEET_DAY, pick, rounded
 
 DAY = TARGET_DAY
 PREV = "(select max(date) from hits where date < date '" + DAY + "')"
@@ -28,7 +28,7 @@ PREV = "(select max(date) from hits where date < date '" + DAY + "')"
 
 def _merged(spark, sf):
     q = M.bars(spark, sf).withColumn(
-        "chg", (F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL)) - 1) * 100
+        "chg", (F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1) * 100
     ).select("symbol", "date", F.col("close").alias("price"), "chg", F.col("volume").cast("double").alias("volume"))
     return SH.merge_hits(M.screener_hits(spark, sf).join(q, ["symbol", "date"]), ("symbol", "date"))
 
@@ -175,7 +175,7 @@ def j16(spark, sf):
     return C.missing_weekdays(M.bars(spark, sf).where(F.col("volume") >= 300_000))
 
 
-@query("j17_sheet_diff", LIVE_SQL + """, d1 as (select max(date) as d from live), d0 as (select max(date) as d from live where date < (select d from d1)),
+@query("j17_sheet_diff", LIVE_SQL + f""", d1 as (select max(date) as d from live where date <= date '{SHEET_DAY}'), d0 as (select max(date) as d from live where date < (select d from d1)),
   a as (select * from live where date = (select d from d1) and rank <= 60), p as (select * from live where date = (select d from d0))
   select coalesce(a.symbol, p.symbol) as symbol, case when p.symbol is null then 'new' when a.symbol is null then 'dropped' else 'kept' end as state,
     p.rank - a.rank as rank_delta, a.score - p.score as score_delta from a full join p on p.symbol = a.symbol""")
@@ -186,7 +186,8 @@ def j17(spark, sf):
 
 def _last_two_sheets(spark, sf):
     from ..session import cut_lineage
-    c = cut_lineage(candidates(spark, sf), "candidates")
+    ranked = candidates(spark, sf).where(F.col("date") <= F.lit(SHEET_DAY).cast("date"))
+    c = cut_lineage(ranked.where(F.col("date") >= F.date_sub(F.lit(SHEET_DAY).cast("date"), 30)), "candidates")
     today = FI.latest_rows(c)
     newest = c.agg(F.max("date")).first()[0]
     return today, FI.latest_rows(c, before=newest)
@@ -294,8 +295,8 @@ def w22(spark, sf):
     return TR.leadership_history(indicators(spark, sf), t=T).drop("emerging")
 
 
-STRIP = """
-last20 as (select date, row_number() over (order by date) as slot from (select distinct date from ind order by date desc limit 20)),
+STRIP = f"""
+last20 as (select date, row_number() over (order by date) as slot from (select distinct date from ind where date <= date '{SHEET_DAY}' order by date desc limit 20)),
 present as (select distinct symbol from ind join last20 using (date)),
 cells as (select p.symbol, l.slot, case when rs_vs_market >= 15 then 2 when rs_vs_market is not null then 1 else 0 end as v from present p, last20 l
    left join ind i on i.symbol = p.symbol and i.date = l.date),
@@ -306,9 +307,7 @@ strips as (select symbol, string_agg(v::varchar, '' order by slot) as strip, cou
 @query("w22b_leadership_strip", B.with_(B.BARS, B.INDICATORS, STRIP) + """, sp as (select i.symbol, string_agg(round(close, 2)::varchar, ' ' order by i.date) as spark from ind i join last20 l on l.date = i.date group by i.symbol)
   select s.symbol, strip, leader_days, streak, leader_days >= 12 as persistent from strips s""")
 def w22b(spark, sf):
-    ind = indicators(spark, sf)
-    day = M.bars(spark, sf).agg(F.max("date")).first()[0]
-    return TR.leadership(ind, day, t=T).select(
+    return TR.leadership(indicators(spark, sf), SHEET_DAY, t=T).select(
         "symbol", F.array_join(F.col("strip").cast("array<string>"), "").alias("strip"), "leader_days", "streak", "persistent")
 
 
@@ -320,8 +319,7 @@ def w25(spark, sf):
 @query("w26_sparkline", B.with_(B.BARS, B.INDICATORS, STRIP) + """ select i.symbol, count(*)::int as points, round(sum(round(close, 2)), 2) as total, arg_max(round(close, 2), i.date) as last_point
   from ind i join last20 l on l.date = i.date group by i.symbol""")
 def w26(spark, sf):
-    day = M.bars(spark, sf).agg(F.max("date")).first()[0]
-    lead = TR.leadership(indicators(spark, sf), day, t=T)
+    lead = TR.leadership(indicators(spark, sf), SHEET_DAY, t=T)
     return lead.select("symbol", F.size("spark").alias("points"), F.round(
         F.aggregate("spark", F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.element_at("spark", -1).alias("last_point"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import pct_move
 from ..functions.screeners import screener_name_from_stem
 from ..operators import sheets as SH
-from ..operators.timeseries import BY_SYMBOL
+from ..operators.timeseries import by_symbol
 from ..session import shared_folder
 from ..sources import files as FI
 from ..sources import market_tables as M
@@ -89,7 +89,7 @@ def s05(spark, sf):
 
 
 def _raw_sheet(spark, sf):
-    b = M.bars(spark, sf).withColumn("chg", pct_move(F.lag("close").over(BY_SYMBOL), F.col("close")))
+    b = M.bars(spark, sf).withColumn("chg", pct_move(F.lag("close").over(by_symbol()), F.col("close")))
     d = SH.deals_by_kind(M.deals(spark, sf))
     return b.join(d, ["symbol", "date"], "left").select(
         "date", F.col("symbol").alias("Symbol"), F.col("close").cast("string").alias("Price"),

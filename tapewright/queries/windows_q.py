@@ -122,6 +122,7 @@ def w13(spark, sf):
 
 
 AS_OF = "1999-06-30"
+SHEET_DAY = "1998-12-01"
 
 
 @query("w14_snapshot_as_of", IND_SQL + f"""

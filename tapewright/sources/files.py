@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions.screeners import screener_name_from_stem, strip_ws
 from ..settings import COLUMN_ALIASES, EQUITY_SERIES
 
-MISSING = F.lit(None).cast("string")
+
+def missing() -> Column:
+    return F.lit(None).cast("string")
 
 
 def to_number(c: Column) -> Column:
@@ -94,7 +96,7 @@ def canonical_names(names: Sequence[str]) -> list[str]:
 
 
 def column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`") if name in df.columns else MISSING
+    return F.col(f"`{name}`") if name in df.columns else missing()
 
 
 def prefer_source(df: DataFrame, priority: str = "_priority", date: str = "date") -> DataFrame:
@@ -247,7 +249,7 @@ def conform_deals(raw: DataFrame, kind: str | None = None) -> DataFrame:
         (F.lit(kind) if kind else column_or_null(raw, "kind")).alias("kind"),
         F.upper(strip_ws(F.col("`Buy/Sell`"))).alias("side"),
         to_number(F.col("`Quantity Traded`")).alias("quantity"),
-        (strip_ws(F.col(f"`{client}`")) if client else MISSING).alias("client"),
+        (strip_ws(F.col(f"`{client}`")) if client else missing()).alias("client"),
     ).where(F.col("date").isNotNull())
 
 

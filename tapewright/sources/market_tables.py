@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import BY_SYMBOL
+from ..operators.timeseries import by_symbol
 
 BENCHMARK = "SYMA"
 
@@ -69,7 +69,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("l_quantity").alias("q"),
             F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0)).alias("qf"),
         )
-        .withColumn("lvl", F.sum("tick").over(BY_SYMBOL))
+        .withColumn("lvl", F.sum("tick").over(by_symbol()))
     )
     close = F.round(F.exp(F.col("lvl") * 0.005) * 10000).cast("long")
     gap = F.lit(100) + F.lit(2.5) * (F.col("n") % 5 - 2)
@@ -141,7 +141,7 @@ def messages_with_time(events: DataFrame) -> DataFrame:
         F.lit(" above "), v.cast("string"), F.lit(" target "), (v * 2).cast("string"),
         F.lit(" sl "), (v - 3).cast("string"), tag)
     return events.select(
-        "ts", F.col("event_id").alias("message_id"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("message_id"),
         F.date_add(F.lit("1996-01-01").cast("date"), (F.col("event_id") % 1500).cast("int")).alias("date"),
         F.when(numeric, F.col("user_id").cast("string"))
         .otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("sender"),
