@@ -16,7 +16,7 @@ from ..settings import (
     WYCKOFF_SUPPORT,
     Thresholds,
 )
-from .screeners import categorize_screener, normalize_screener
+from .screeners import categorize_screener, names_in, normalize_screener, tag_screeners
 
 
 def is_true(c: Column) -> Column:
@@ -48,17 +48,16 @@ def liquidity_gate(symbol: Column, price: Column, volume: Column, sector: Column
     return ok & sector.isNotNull() if require_sector else ok
 
 
-def has_fresh_trigger(fresh: Column) -> Column:
-    return F.exists(
-        fresh, lambda s: categorize_screener(normalize_screener(s)).isin("breakout", "momentum")
-    )
+def fresh_triggers(fresh: Column) -> Column:
+    """The fresh names that are breakout or momentum screeners."""
+    return names_in(tag_screeners(fresh), "breakout", "momentum")
 
 
-def confluence_score(count: Column, diff: Column, fresh: Column, cap: int | None = None) -> Column:
+def confluence_score(count: Column, diff: Column, triggers: Column, cap: int | None = None) -> Column:
     """Breadth of hits today, its change and fresh triggers; ``cap`` is off by default."""
     breadth = _unless_null(count, F.least(count.cast("int") * 2, F.lit(10)))
     change = F.when(diff > 0, 5).when(diff < 0, -3).otherwise(0)
-    trigger = F.when(is_true(has_fresh_trigger(fresh)), 5).otherwise(0)
+    trigger = F.when(F.size(triggers) > 0, 5).otherwise(0)
     score = F.greatest(breadth + change + trigger, F.lit(0))
     return score if cap is None else F.least(score, F.lit(cap))
 
@@ -130,15 +129,13 @@ def pct_move(base: Column, now: Column) -> Column:
 
 # ---- explanation text -------------------------------------------------------
 
-def confluence_note(diff: Column, fresh: Column) -> Column:
-    actionable = F.filter(
-        fresh, lambda s: categorize_screener(normalize_screener(s)).isin("breakout", "momentum"))
+def confluence_note(diff: Column, triggers: Column) -> Column:
     parts = F.concat_ws(
         "; ",
         F.when(diff > 0, "strengthening (+screeners vs yesterday)")
         .when(diff < 0, "weakening (-screeners vs yesterday)"),
-        F.when(F.size(actionable) > 0,
-               F.concat(F.lit("fresh trigger today: "), F.array_join(actionable, ", "))),
+        F.when(F.size(triggers) > 0,
+               F.concat(F.lit("fresh trigger today: "), F.array_join(triggers, ", "))),
     )
     return F.nullif(parts, F.lit(""))
 

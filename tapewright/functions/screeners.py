@@ -43,8 +43,19 @@ def split_list(value: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def tag_screeners(screeners: Column) -> Column:
+    """array(struct(name, norm, cat)): each name is normalized and categorized once."""
+    named = F.transform(screeners, lambda s: F.struct(s.alias("name"), normalize_screener(s).alias("norm")))
+    return F.transform(named, lambda t: F.struct(
+        t["name"].alias("name"), t["norm"].alias("norm"), categorize_screener(t["norm"]).alias("cat")))
+
+
+def names_in(tags: Column, *categories: str) -> Column:
+    return F.transform(F.filter(tags, lambda t: t["cat"].isin(*categories)), lambda t: t["name"])
+
+
 def in_category(screeners: Column, category: str) -> Column:
-    return F.filter(screeners, lambda s: categorize_screener(normalize_screener(s)) == category)
+    return names_in(tag_screeners(screeners), category)
 
 
 def weight_map(weights: dict[str, int] | None = None) -> Column:
@@ -57,10 +68,13 @@ def weight_map(weights: dict[str, int] | None = None) -> Column:
 
 def pattern_score(screeners: Column, weights: Column | None = None, t: Thresholds = DEFAULTS) -> Column:
     """Capped sum of weights over the distinct normalized names."""
+    return points_of(F.transform(screeners, normalize_screener), weights, t)
+
+
+def points_of(normalized: Column, weights: Column | None = None, t: Thresholds = DEFAULTS) -> Column:
     table = weight_map() if weights is None else weights
-    names = F.array_distinct(F.transform(screeners, normalize_screener))
     points = F.transform(
-        names,
+        F.array_distinct(normalized),
         lambda n: F.coalesce(F.try_element_at(table, n), F.lit(UNSEEN_SCREENER_WEIGHT)),
     )
     return F.least(F.aggregate(points, F.lit(0), lambda acc, p: acc + p), F.lit(t.pattern_cap))

@@ -28,6 +28,19 @@ def trailing(fn, value: Column, bars: int, min_bars: int | None = None, window=N
     return F.when(F.count(value).over(frame) >= need, fn(value).over(frame))
 
 
+def stacked(block: Column, size: int, blocks: int, window) -> list[Column]:
+    """The value of a ``size``-row block ending here and of the blocks just before it."""
+    return [block if i == 0 else F.lag(block, i * size).over(window) for i in range(blocks)]
+
+
+def total_of(blocks: list[Column]) -> Column:
+    """Sum of consecutive blocks; unknown unless every block is complete."""
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out + b
+    return out
+
+
 def add_segments(bars: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
     """``seg`` counts jumps of more than ``max_gap_days``; ``bars_since_gap`` is 1-based.
 
@@ -79,29 +92,54 @@ def add_indicators(bars: DataFrame, *, strict_segments: bool = False, t: Thresho
 
     Rolling windows run over the whole symbol and are then masked by contiguous
     history; ``strict_segments`` restricts the windows themselves to one segment.
+
+    A sliding frame re-reads its rows for every bar, so the long windows are put together
+    from short blocks: 20 and 50 bars from ten-bar sums, 150 and 200 from those of 50, the
+    year from 21-bar extremes (252 = 3 x 4 x 21).  Nothing is ever subtracted, so no precision is lost.
     """
     df = add_true_range(add_segments(bars, t=t))
     w = Window.partitionBy("symbol", "seg").orderBy("date") if strict_segments else by_symbol()
     close, tr = F.col("close"), F.col("tr")
-    high = trailing(F.max, close, t.year_bars, t.year_min_bars, w)
-    low = trailing(F.min, close, t.year_bars, t.year_min_bars, w)
+    if t.year_bars % 12:
+        raise ValueError("year_bars must be a multiple of 12")
+    month = t.year_bars // 12
+    frame = w.rowsBetween(-(month - 1), 0)
     df = df.withColumns({
+        "_c10": trailing(F.sum, close, 10, None, w),
+        "_t5": trailing(F.sum, tr, 5, None, w),
+        "_v20": trailing(F.avg, F.col("volume").cast("double"), 20, None, w),
+        "_hi": F.max(close).over(frame),
+        "_lo": F.min(close).over(frame),
+        "_seen": F.count(close).over(w.rowsBetween(-(t.year_min_bars - 1), 0)),
         "atr14": trailing(F.avg, tr, 14, 7, w),
-        "sma20": trailing(F.avg, close, 20, None, w),
-        "sma50": trailing(F.avg, close, 50, None, w),
-        "sma150": trailing(F.avg, close, 150, None, w),
-        "sma200": trailing(F.avg, close, 200, None, w),
-        "pct_from_52w_high": (F.try_divide(close, high) - 1) * 100,
-        "pct_from_52w_low": (F.try_divide(close, low) - 1) * 100,
-        "range_contraction_ratio": F.try_divide(
-            trailing(F.avg, tr, 5, None, w), trailing(F.avg, tr, 20, None, w)),
-        "rel_volume": F.try_divide(
-            F.col("volume"), trailing(F.avg, F.col("volume").cast("double"), 20, None, w)),
         "ret_20d": F.try_divide(close, F.lag("close", 20).over(w)) - 1,
     })
-    df = df.withColumn("atr_pct", F.try_divide(F.col("atr14"), close) * 100)
+    tens = stacked(F.col("_c10"), 10, 5, w)
+    df = df.withColumns({
+        "sma20": total_of(tens[:2]) / 20,
+        "_c50": total_of(tens),
+        "_hi": F.greatest(*stacked(F.col("_hi"), month, 4, w)),
+        "_lo": F.least(*stacked(F.col("_lo"), month, 4, w)),
+        "range_contraction_ratio": F.try_divide(
+            F.col("_t5") / 5, total_of(stacked(F.col("_t5"), 5, 4, w)) / 20),
+        "rel_volume": F.try_divide(F.col("volume"), F.col("_v20")),
+        "atr_pct": F.try_divide(F.col("atr14"), close) * 100,
+    })
+    fifties = stacked(F.col("_c50"), 50, 4, w)
+    df = df.withColumns({
+        "sma50": F.col("_c50") / 50,
+        "sma150": total_of(fifties[:3]) / 150,
+        "sma200": total_of(fifties) / 200,
+        "_hi": F.greatest(*stacked(F.col("_hi"), 4 * month, 3, w)),
+        "_lo": F.least(*stacked(F.col("_lo"), 4 * month, 3, w)),
+    })
+    long_enough = F.col("_seen") >= t.year_min_bars
+    df = df.withColumns({
+        "pct_from_52w_high": F.when(long_enough, (F.try_divide(close, F.col("_hi")) - 1) * 100),
+        "pct_from_52w_low": F.when(long_enough, (F.try_divide(close, F.col("_lo")) - 1) * 100),
+    })
     df = df.withColumn("trend_template_pass", trend_template())
-    return mask_untrusted(df).drop("tr")
+    return mask_untrusted(df).drop("tr", "_c10", "_c50", "_t5", "_v20", "_hi", "_lo", "_seen")
 
 
 def benchmark_returns(indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.screeners import in_category, pattern_score
+from ..functions.screeners import names_in, points_of, tag_screeners
 from ..operators.labels import add_labels
 from ..operators.ranking import percentile_rank, positions
 from ..operators.timeseries import latest_as_of, post_signal_stats
@@ -17,16 +17,18 @@ def add_score(sheet: DataFrame, *, weights: Column | None = None, cap_confluence
               t: Thresholds = DEFAULTS) -> DataFrame:
     """Score columns of rows that carry ``volume_pct`` and ``rs_vs_market``."""
     c = F.col
-    df = sheet.withColumns({
-        "breakout": in_category(c("screeners"), "breakout"),
-        "momentum": in_category(c("screeners"), "momentum"),
-        "base": in_category(c("screeners"), "base"),
-        "pattern_points": pattern_score(c("screeners"), weights, t),
-        "confluence_points": S.confluence_score(c("today_count"), c("count_diff"), c("new_screeners"), cap_confluence),
+    tagged = sheet.withColumns({
+        "_tags": tag_screeners(c("screeners")), "triggers": S.fresh_triggers(c("new_screeners"))})
+    df = tagged.withColumns({
+        "breakout": names_in(c("_tags"), "breakout"),
+        "momentum": names_in(c("_tags"), "momentum"),
+        "base": names_in(c("_tags"), "base"),
+        "pattern_points": points_of(F.transform("_tags", lambda x: x["norm"]), weights, t),
+        "confluence_points": S.confluence_score(c("today_count"), c("count_diff"), c("triggers"), cap_confluence),
         "momentum_points": S.momentum_volume_score(c("chg"), c("volume_pct"), t),
         "institutional_points": S.institutional_score(c("buy_qty"), c("sell_qty"), t),
         "rs_points": S.relative_strength_score(c("rs_vs_market"), t),
-    })
+    }).drop("_tags")
     plain = [c("pattern_points"), c("confluence_points"), c("momentum_points"), c("institutional_points")]
     return df.withColumns({
         "score": S.total_score(*plain, c("rs_points")),
@@ -49,9 +51,11 @@ def labeled_history(sheet: DataFrame, indicators: DataFrame, *, t: Thresholds =
     """Scored history with outcome labels.
 
     Labels need only (symbol, date, price), so they are computed on those three columns
-    before the wide row is assembled.
+    and joined; the wide rows never pass through the symbol windows.  ``sheet`` is read
+    more than once: pass a stored table.
     """
-    return score_history(add_labels(sheet, t=t), indicators, t=t)
+    labels = add_labels(sheet.select("symbol", "date", "price"), t=t).drop("price")
+    return score_history(sheet, indicators, t=t).join(labels, ["symbol", "date"], "left")
 
 
 def backtest_gate(df: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -112,7 +116,7 @@ def explain_candidates(scored: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFr
         "chg_to_peak": S.pct_move(c("price"), c("peak_price")),
         "reasoning": S.reasoning(
             c("breakout"), c("momentum"),
-            S.confluence_note(c("count_diff"), c("new_screeners")),
+            S.confluence_note(c("count_diff"), c("triggers")),
             S.momentum_note(c("chg"), c("volume_pct")),
             S.institutional_note(c("buy_qty"), c("sell_qty")),
             S.relative_strength_note(c("rs_vs_market"))),

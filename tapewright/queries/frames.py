@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.sheets import sheet_history
 from ..operators.timeseries import add_indicators, add_relative_strength
 from ..plans.scorecard import backtest_gate, labeled_history
+from ..session import cut_lineage
 from ..settings import DEFAULTS
 from ..sources import market_tables as M
 
@@ -20,7 +21,9 @@ def indicators(spark: SparkSession, sf: str, t=T) -> DataFrame:
 
 
 def sheet(spark: SparkSession, sf: str) -> DataFrame:
-    return sheet_history(M.screener_hits(spark, sf), M.bars(spark, sf), M.deals(spark, sf), M.sectors(spark, sf))
+    """The sheet history as a stored table, as the daily run leaves it: it is read repeatedly."""
+    return cut_lineage(
+        sheet_history(M.screener_hits(spark, sf), M.bars(spark, sf), M.deals(spark, sf), M.sectors(spark, sf)), "sheet")
 
 
 def labeled(spark: SparkSession, sf: str, t=T) -> DataFrame:

@@ -57,7 +57,7 @@ def x04(spark, sf):
 def x05(spark, sf):
     m = SH.compare_history(SH.merge_hits(M.screener_hits(spark, sf).withColumn("chg", F.lit(0.0)), ("symbol", "date")))
     return m.select("symbol", "date", S.confluence_score(
-        F.col("today_count"), F.col("count_diff"), F.col("new_screeners")).alias("confluence_points"))
+        F.col("today_count"), F.col("count_diff"), S.fresh_triggers(F.col("new_screeners"))).alias("confluence_points"))
 
 
 @query("x06_momentum_volume_score", SCORED_SQL + " select symbol, date, momentum_points from parts")
