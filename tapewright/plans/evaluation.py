@@ -145,11 +145,7 @@ def daily_picks(panel: DataFrame, k: int, score: str = "score", name: str | None
 
 
 def pick_paths(picks: DataFrame, panel: DataFrame, *, price: str = "price", t: Thresholds = DEFAULTS) -> DataFrame:
-    """Forward paths of the picks; the panel is read as (symbol, date, price) only.
-
-    Picks are flagged inside the symbol partition, so only their arrays are built and
-    leave the window stage.
-    """
+    """Forward paths of the picks; the panel is read as (symbol, date, price) only."""
     narrow = add_segments(panel.select("symbol", "date", F.col(price).alias("close")), t=t)
     paths = forward_returns(narrow, max(HORIZON_GRID), max_abs=t.max_abs_return)
     return picks.join(paths.select("symbol", "date", "path"), ["symbol", "date"])

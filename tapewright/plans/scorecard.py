@@ -126,11 +126,12 @@ def explain_candidates(scored: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFr
 def rank_candidates(scored: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Full ranking by score, ties by symbol.
 
-    Rows are numbered within (score, symbol prefix) cells and shifted by the cells above,
-    so a sheet of any size is ranked without one task per date.
+    Rows are numbered within (score, two-letter prefix) cells and shifted by the cells
+    above.  The cells per date are bounded by the alphabet, so a sheet of any size is
+    ranked without one task per date.
     """
     return positions(
-        scored, list(by), [(F.col("score"), True), (F.substring("symbol", 1, 4), False)],
+        scored, list(by), [(F.col("score"), True), (F.substring("symbol", 1, 2), False)],
         [F.col("symbol").asc()], "rank")
 
 

@@ -2,7 +2,6 @@
 
 from . import evaluation_q, events_q, joins_q, scoring_q, sources_q, windows_q  # noqa: F401
 from .registry import ORACLES, QUERIES
+from .windows_q import flagship
 
-
-def flagship(spark, sf):
-    return QUERIES["w09_relative_strength"](spark, sf)
+__all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -262,3 +262,34 @@ def w13b(spark, sf):
     df = M.bars(spark, sf).select("symbol", "date", "volume")
     return positions(df, ["date"], [(order_bucket(F.col("volume")), True)],
                      [F.col("volume").desc(), F.col("symbol")], "pos").drop("volume")
+
+
+FLAGSHIP = B.labels("closes", tp=12, sl=-8) + """,
+ranked as (select i.symbol, i.date, l.tradable_win, row_number() over (partition by i.date order by i.rs_vs_market desc, i.symbol) as rn
+  from ind i join lab l on l.symbol = i.symbol and l.date = i.date where i.rs_vs_market is not null and l.tradable_win is not null)"""
+
+
+def leaders_against_market(spark, sf, t):
+    """Per date: win rate of the ten strongest symbols beside that of all symbols."""
+    from ..plans.evaluation import precision_at_k_tradable
+    b = M.bars(spark, sf)
+    labels = L.add_labels(b.select("symbol", "date", F.col("close").alias("price")), t=t)
+    ind = TS.add_relative_strength(TS.add_indicators(b, t=t), t=t)
+    both = ind.select("symbol", "date", "rs_vs_market").join(
+        labels.select("symbol", "date", "tradable_win"), ["symbol", "date"])
+    return rounded(precision_at_k_tradable(both, 10, "rs_vs_market"), "precision_at_k", "baseline_win_rate")
+
+
+FLAGSHIP_RULES = replace(T, tp_pct=12.0, sl_pct=-8.0)
+
+
+@query("q00_leaders_against_market", B.with_(B.BARS, B.INDICATORS, "closes as (select symbol, date, close as price from bars)", FLAGSHIP) + f"""
+  select date, 10 as k, round(avg(tradable_win) filter (where rn <= 10), {R}) as precision_at_k, round(avg(tradable_win), {R}) as baseline_win_rate,
+    count(*) filter (where rn <= 10) as n_top from ranked group by date""")
+def q00(spark, sf):
+    return leaders_against_market(spark, sf, FLAGSHIP_RULES)
+
+
+def flagship(spark, sf):
+    """The same on the small tables, whose symbols rarely trade on consecutive days."""
+    return leaders_against_market(spark, sf, replace(FLAGSHIP_RULES, max_gap_days=400))

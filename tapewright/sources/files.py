@@ -55,29 +55,34 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases
     """Read CSV files whose headers differ, matching columns by trimmed name.
 
     Files are grouped by header (few distinct ones) and each group is one multi-file
-    scan; a column missing from a file is NULL.  All values are text; ``_path`` is kept.
+    scan; a column missing from a file is NULL.  All values are text; ``_path`` and
+    ``_seq`` (place in the file) are kept.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths, recursiveFileLookup=True).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
     headers = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    groups = defaultdict(list)
-    for row in headers.collect():          # one short row per file
-        groups[row.header].append(row.path)
-    if not groups:
+    distinct = [r.header for r in headers.select("header").distinct().limit(2).collect()]
+    if not distinct:
         raise FileNotFoundError(f"no files under {paths}")
+    if len(distinct) == 1:
+        groups = {distinct[0]: paths}
+    else:
+        # One short row per file, no more than Spark's own file listing keeps on the driver.
+        groups = defaultdict(list)
+        for row in headers.collect():
+            groups[row.header].append(row.path)
     parts = []
     for header, files in sorted(groups.items()):
         names = [h.strip().strip('"').strip() for h in header.lstrip("﻿").split(",")]
         if aliases:
             names = canonical_names(names)
         schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
-        # With a single header the folders are listed once instead of file by file.
-        where = paths if len(groups) == 1 else files
         parts.append(
-            spark.read.schema(schema).csv(where, header=True, enforceSchema=True, recursiveFileLookup=True)
-            .withColumn("_path", F.col("_metadata.file_path")))
+            spark.read.schema(schema).csv(files, header=True, enforceSchema=True, recursiveFileLookup=True)
+            .withColumns({"_path": F.col("_metadata.file_path"), "_seq": F.struct(
+                F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -149,6 +154,7 @@ def build_panel(bars: DataFrame, *, order: str | None = None) -> DataFrame:
     An aggregate with map-side combine, so duplicates never gather in one task.
     """
     rows = bars.where(F.col("symbol").isNotNull() & F.col("date").isNotNull() & (F.col("close") > 0))
+    order = order or ("_seq" if "_seq" in bars.columns else None)
     others = [c for c in bars.columns if c not in ("symbol", "date", order)]
     last_by = F.col(order) if order else F.struct(*[F.col(c) for c in others])
     kept = rows.groupBy("symbol", "date").agg(F.max_by(F.struct(*others), last_by).alias("r"))
