@@ -51,6 +51,11 @@ def has_canonical_name(path: Column) -> Column:
     return path.rlike(r"_\d{8}(?:\.csv)?(?:/[^/]*)?$")
 
 
+def file_path() -> Column:
+    """Path of the file a row came from, with URL escapes (spaces) undone."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases: bool = False) -> DataFrame:
     """Read CSV files whose headers differ, matching columns by trimmed name.
 
@@ -60,7 +65,7 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths, recursiveFileLookup=True).select(
-        "value", F.col("_metadata.file_path").alias("path"),
+        "value", file_path().alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
     headers = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
     distinct = [r.header for r in headers.select("header").distinct().limit(2).collect()]
@@ -81,7 +86,7 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases
         schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
         parts.append(
             spark.read.schema(schema).csv(files, header=True, enforceSchema=True, recursiveFileLookup=True)
-            .withColumns({"_path": F.col("_metadata.file_path"), "_seq": F.struct(
+            .withColumns({"_path": file_path(), "_seq": F.struct(
                 F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
