@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import resolve_trade
 from ..operators.ranking import add_deciles, top_k
 from ..operators.timeseries import add_segments, forward_returns
 from ..settings import (
@@ -154,18 +153,43 @@ def pick_paths(picks: DataFrame, panel: DataFrame, *, price: str = "price", t: T
 Cell = tuple[float, float, int]
 
 
-def trade_grid(paths: DataFrame, cells: Sequence[Cell]) -> DataFrame:
-    """Outcome statistics of every (tp, sl, bars) cell over the picked paths.
+def grid_outcomes(paths: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """One row per (pick, cell): tp, sl, h, ret, hold, outcome.
 
-    The fixed grid is unfolded next to each pick's short path (no join) and summed with
-    map-side combine; picks are top-k per date.
+    Each distinct level is looked up in the path once; a cell then only compares two bar
+    numbers.  The fixed grid is unfolded next to each pick, without a join.
     """
+    tps, sls, bars = (sorted({c[i] for c in cells}) for i in range(3))
+    path = F.col("path")
+
+    def first_at(levels, hit) -> Column:
+        """Bar of the first hit per level, 0 when there is none."""
+        listed = F.array(*[F.lit(float(x)) for x in levels])
+        return F.transform(listed, lambda x: F.array_position(F.transform(path, lambda r: hit(r, x)), True).cast("int"))
+
+    marks = F.array(*[F.element_at(path, F.least(F.lit(h), F.size(path))) for h in bars])
     grid = F.array(*[
-        F.struct(F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), F.lit(int(h)).alias("h"))
+        F.struct(F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), F.lit(int(h)).alias("h"),
+                 F.lit(tps.index(tp) + 1).alias("i"), F.lit(sls.index(sl) + 1).alias("j"), F.lit(bars.index(h) + 1).alias("m"))
         for tp, sl, h in cells])
-    runs = paths.where(F.size("path") > 0).select(F.explode(grid).alias("g"), "path").select(
-        "g.*", resolve_trade(F.col("path"), F.col("g.tp"), F.col("g.sl"), F.col("g.h")).alias("o"))
-    ret, kind = F.col("o.ret"), F.col("o.outcome")
+    found = paths.where(F.size(path) > 0).select(
+        "symbol", "date", F.size(path).alias("seen"), marks.alias("marks"),
+        first_at(tps, lambda r, x: r >= x).alias("win_at"), first_at(sls, lambda r, x: r <= -x).alias("stop_at"))
+    g = found.select("*", F.inline(grid))
+    w, s = F.element_at("win_at", F.col("i")), F.element_at("stop_at", F.col("j"))
+    won, stopped = (w > 0) & (w <= F.col("h")), (s > 0) & (s <= F.col("h"))
+    stop_first = stopped & (~won | (s < w))
+    return g.select(
+        "symbol", "date", "tp", "sl", "h",
+        F.when(stop_first, -F.col("sl")).when(won, F.col("tp")).otherwise(F.element_at("marks", F.col("m"))).alias("ret"),
+        F.when(stop_first, s).when(won, w).otherwise(F.least("h", "seen")).alias("hold"),
+        F.when(stop_first, "stop").when(won, "win").otherwise("timeout").alias("outcome"))
+
+
+def trade_grid(paths: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """Outcome statistics of every (tp, sl, bars) cell; picks are top-k per date."""
+    runs = grid_outcomes(paths, cells)
+    ret, kind = F.col("ret"), F.col("outcome")
 
     def share(name: str) -> Column:
         return F.avg((kind == name).cast("double")) * 100
@@ -175,7 +199,7 @@ def trade_grid(paths: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     stats = runs.groupBy("tp", "sl", "h").agg(
         F.count(F.lit(1)).alias("n"),
         share("win").alias("win_pct"), share("stop").alias("stop_pct"), share("timeout").alias("timeout_pct"),
-        F.avg(ret).alias("avg_ret"), F.median(ret).alias("median_ret"), F.avg("o.hold").alias("avg_hold"),
+        F.avg(ret).alias("avg_ret"), F.median(ret).alias("median_ret"), F.avg("hold").alias("avg_hold"),
         gains.alias("_g"), losses.alias("_l"))
     return stats.withColumns({
         "ret_per_session": F.try_divide("avg_ret", "avg_hold"),

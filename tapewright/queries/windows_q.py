@@ -147,7 +147,7 @@ LAB_SQL = B.with_(B.SHEET, B.LABELS)
 
 
 @query("w16_forward_path", LAB_SQL + f"""
-  select symbol, date, count(*)::int as steps, round(sum(r), {R}) as total, round(max(r), {R}) as best,
+  select symbol, date, count(*)::int as steps, round(sum(r), 8) as total, round(max(r), {R}) as best,
     round(arg_max(r, k), {R}) as last from lp group by symbol, date""")
 def w16(spark, sf):
     b = TS.add_segments(M.bars(spark, sf).withColumnRenamed("close", "price"), t=T)
@@ -155,8 +155,8 @@ def w16(spark, sf):
     p = F.col("path")
     return rounded(df.select(
         "symbol", "date", F.size(p).alias("steps"),
-        F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total"),
-        F.array_max(p).alias("best"), F.element_at(p, -1).alias("last")), "total", "best", "last")
+        F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 8).alias("total"),
+        F.array_max(p).alias("best"), F.element_at(p, -1).alias("last")), "best", "last")
 
 
 _maxes = [f"future_max_{h}d" for h in HORIZONS]

@@ -183,9 +183,8 @@ SHEET_NUMBERS = ["Price", "Volume", "Today_screener_count", "screener_count_diff
 def conform_sheet(raw: DataFrame) -> DataFrame:
     """Sheet rows with every expected column: missing ones NULL, suffixed quantities merged."""
     def quantity(side: str) -> Column:
-        if side in raw.columns:
-            return F.col(side)
-        return F.coalesce(column_or_null(raw, f"{side}_x"), column_or_null(raw, f"{side}_y"))
+        # A file has either the plain column or the suffixed pair; a history may mix both.
+        return F.coalesce(*[column_or_null(raw, f"{side}{suffix}") for suffix in ("", "_x", "_y")])
 
     source = {c: column_or_null(raw, c) for c in SHEET_TEXT + SHEET_NUMBERS}
     source["BUY_quantity"], source["SELL_quantity"] = quantity("BUY_quantity"), quantity("SELL_quantity")

@@ -184,6 +184,20 @@ def test_trade_resolution_cases(spark):
     assert [(o.outcome, o.ret, o.hold) for o in got] == [(k, r, h) for _, k, r, h in rows]
 
 
+def test_grid_outcomes_equal_single_resolution(spark):
+    from tapewright.plans.evaluation import grid_outcomes, search_cells
+
+    rng = np.random.default_rng(9)
+    rows = [("A", date(2020, 1, 1) + timedelta(days=i), [float(v) for v in np.cumsum(rng.normal(0, 4, rng.integers(0, 31)))])
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, date date, path array<double>")
+    got = grid_outcomes(df, search_cells()).join(df, ["symbol", "date"])
+    one = P.resolve_trade(F.col("path"), F.col("tp"), F.col("sl"), F.col("h"))
+    both = got.select("ret", "hold", "outcome", one.alias("o")).collect()
+    assert len(both) == sum(len(p) > 0 for *_, p in rows) * len(search_cells())
+    assert all((r.ret, r.hold, r.outcome) == (r.o.ret, r.o.hold, r.o.outcome) for r in both)
+
+
 # ---- ranks under skew ----------------------------------------------------------------
 
 def skewed(seed=11, n=4000):
