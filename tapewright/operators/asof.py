@@ -13,10 +13,10 @@ def session_calendar(bars: DataFrame) -> DataFrame:
     calendar day whatever the size of the table.
     """
     dates = bars.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("d"))
-    return dates.select(F.posexplode("d").alias("_i", "date"), "d").select(
-        "date", (F.col("_i") + 1).cast("int").alias("session"),
-        F.try_element_at("d", F.nullif(F.col("_i"), F.lit(0))).alias("prev_date"),
-    )
+    numbered = F.transform("d", lambda day, i: F.struct(
+        day.alias("date"), (i + 1).cast("int").alias("session"),
+        F.try_element_at("d", F.nullif(i, F.lit(0))).alias("prev_date")))
+    return dates.select(F.inline(numbered))
 
 
 def next_session(events: DataFrame, bars: DataFrame, event_date: str, name: str = "date") -> DataFrame:

@@ -69,7 +69,8 @@ def resolve_positions(positions: DataFrame, bars: DataFrame, run_date=None, *, t
 
     A position can use at most the next 20 bars of its symbol, so each one asks for those
     bar numbers by equality on (symbol, number).  No range join, and no symbol's full
-    history meets its full list of positions.
+    history meets its full list of positions.  ``positions`` is read several times: pass
+    the stored ledger.
     """
     changed = ["status", "exit_date", "exit_price", "realized_pct", "peak_pct", "days_held", "last_price"]
     is_open = F.col("status") == "OPEN"

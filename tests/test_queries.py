@@ -49,3 +49,12 @@ def test_matches_sql(name, spark, duck, sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
