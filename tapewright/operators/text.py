@@ -143,7 +143,11 @@ def mention_stats(mentions: DataFrame, sheet_date) -> DataFrame:
 
 
 def admin_calls(messages: DataFrame, symbols: DataFrame, sheet_date) -> DataFrame:
-    """Newest broadcast message per symbol that carries a target or a conviction tag."""
+    """Newest broadcast message per symbol that carries a target or a conviction tag.
+
+    With a time ``ts`` the earlier of two simultaneous messages counts; with dates alone
+    the later message of the day does.
+    """
     day = F.lit(sheet_date).cast("date")
     text = text_or_empty(F.col("text"))
     calls = messages.where(
@@ -151,7 +155,7 @@ def admin_calls(messages: DataFrame, symbols: DataFrame, sheet_date) -> DataFram
         & (F.upper(text).contains("TARGET") | text.rlike(CONVICTION)))
     picked = F.max_by(
         F.struct("date", admin_target(text).alias("target"), conviction_tag(text).alias("tag")),
-        F.struct("date", "message_id"))
+        F.struct("ts", -F.col("message_id")) if "ts" in messages.columns else F.struct("date", "message_id"))
     return symbol_mentions(calls, symbols).groupBy("symbol").agg(picked.alias("c")).select(
         "symbol", F.col("c.date").alias("call_date"), F.col("c.target.price").alias("target"),
         F.col("c.target.multiple").alias("target_multiple"), F.col("c.tag").alias("tag"),

@@ -108,14 +108,18 @@ def profit_factor(realized: Column) -> Column:
 
 
 def ledger_report(ledger: DataFrame) -> DataFrame:
-    """One row: counts by status, win rate, mean result, profit factor, open averages."""
+    """One row: counts by status, win rate, mean result, profit factor, open averages.
+
+    The profit factor is infinite when nothing was lost (NULL in the compact summary).
+    """
     closed, open_ = F.col("status").isin(*CLOSED), F.col("status") == "OPEN"
     realized = F.when(closed, F.col("realized_pct"))
     return ledger.agg(
         F.count(F.lit(1)).alias("picks"), F.count_if(open_).alias("open"), F.count_if(closed).alias("closed"),
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in CLOSED],
         (F.avg(F.when(closed, (F.col("status") == "TARGET").cast("double"))) * 100).alias("win_rate"),
-        F.avg(realized).alias("avg_realized"), profit_factor(realized).alias("profit_factor"),
+        F.avg(realized).alias("avg_realized"),
+        F.when(F.count_if(closed) > 0, F.coalesce(profit_factor(realized), F.lit(float("inf")))).alias("profit_factor"),
         F.avg(F.when(open_, (F.try_divide("last_price", "entry_price") - 1) * 100)).alias("open_unrealized"),
         F.avg(F.when(open_, F.col("peak_pct"))).alias("open_peak"))
 
@@ -141,7 +145,8 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("lens", "n", F.bround("win_pct", 0).cast("int").alias("win")))).alias("l"))
     return r.select(
         F.col("picks").alias("total"), "open", "closed", F.bround("win_rate", 0).cast("int").alias("win_rate"),
-        F.round("avg_realized", 2).alias("avg_realized"), F.round("profit_factor", 2).alias("profit_factor"),
+        F.round("avg_realized", 2).alias("avg_realized"),
+        F.when(F.col("profit_factor") != float("inf"), F.round("profit_factor", 2)).alias("profit_factor"),
         "target", "stopped", "expired", F.round("open_unrealized", 2).alias("open_unrealized"),
         lens.scalar().alias("lens"))
 

@@ -142,12 +142,19 @@ def triage_rows(candidates: DataFrame, *, leaders: DataFrame | None = None, seri
     if previous is not None:
         df = df.join(previous.select(
             "symbol", F.col("rank").alias("_pr"), F.col("score").alias("_ps")), "symbol", "left")
+        # Without any previous sheet nothing counts as new.
+        known = previous.agg((F.count(F.lit(1)) > 0).alias("k")).scalar()
         df = df.withColumns({
-            "is_new": c("_pr").isNull(), "rank_delta": c("_pr") - c("rank"), "score_delta": c("score") - c("_ps"),
+            "is_new": c("_pr").isNull() & known, "rank_delta": c("_pr") - c("rank"), "score_delta": c("score") - c("_ps"),
         }).drop("_pr", "_ps")
     if ledger is not None:
         df = df.join(ledger, "symbol", "left")
-    return df.withColumn("rs", F.round("rs_vs_market", 1))
+    name = F.col("stock_name") if "stock_name" in df.columns else F.col("symbol")
+    return df.withColumns({
+        "rs": F.round("rs_vs_market", 1), "name": F.substring(name, 1, 44),
+        "target": F.round("target_price", 2), "stop": F.round("stop_price", 2),
+        "rw_admin": has_call() if mentions is not None else F.lit(False),
+    })
 
 
 def triage_meta(rows: DataFrame, total_gated: DataFrame) -> DataFrame:

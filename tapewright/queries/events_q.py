@@ -276,7 +276,7 @@ tday as (select max(date) as d from live where date <= date '@DAY'), tprev as (s
 tri as (
   select f.symbol, f.rank, f.score, f.tier, f.phase, f.fresh, f.vol_ok, f.lagging, not f.calm as extended, f.sector, round(f.rs_vs_market, 1) as rs, coalesce(s.leader_days, 0) as leader_days,
     coalesce(s.leader_days >= 12, false) as persistent, p.symbol is null as is_new, f.score - p.score as score_delta, p.rank - f.rank as rank_delta, coalesce(m.mentions, 0) as mentions,
-    coalesce(m.admin_mentions, 0) as mention_admin
+    coalesce(m.admin_mentions, 0) as mention_admin, f.price, f.target_price, f.stop_price
   from flags f left join strips s on s.symbol = f.symbol left join (select * from live where date = (select d from tprev)) p on p.symbol = f.symbol
   left join stats m on m.symbol = f.symbol where f.date = (select d from tday) and f.rank <= 60)""".replace("@DAY", SHEET_DAY)
 TRIAGE_SQL = B.with_(B.SHEET, B.INDICATORS, RISK, NOTES, PHASES, LEADERS, STRIP, B.MESSAGES, _mention_sql(SHEET_DAY), TRIAGE)
@@ -354,6 +354,13 @@ def t03(spark, sf):
     return TR.strength_ladder(triage(spark, sf)).select("symbol", "score", "rs")
 
 
+@query("t04_ledger_picks", TRIAGE_SQL + f""" select date '{SHEET_DAY}' as entry_date, symbol, price as entry_price, {exact_round('target_price', 2)} as target,
+  {exact_round('stop_price', 2)} as stop, score, rs, tier, persistent, fresh, 'OPEN' as status from tri where rank <= 10""")
+def t04(spark, sf):
+    picks = LG.picks_from_triage(triage(spark, sf), SHEET_DAY, top=10)
+    return picks.select("entry_date", "symbol", "entry_price", "target", "stop", "score", "rs", "tier", "persistent", "fresh", "status")
+
+
 # ---- cohorts --------------------------------------------------------------------------
 
 COHORTS = RESOLVED + "," + PERSIST + "," + GAPS + """,

@@ -158,7 +158,9 @@ def test_closed_rows_stay_and_open_symbols_are_skipped(spark):
     both = LG.add_picks(led, picks)
     assert sorted((r.symbol, r.status) for r in both.collect()) == [("A", "OPEN"), ("B", "OPEN"), ("B", "TARGET")]
     r = LG.ledger_report(led).first()
-    assert (r.picks, r.open, r.closed, r.win_rate, r.profit_factor) == (2, 1, 1, 100.0, None)
+    assert (r.picks, r.open, r.closed, r.win_rate, r.profit_factor) == (2, 1, 1, 100.0, float("inf"))
+    flags = {c: F.lit(c == "ep") for c in LG.LENSES}
+    assert LG.ledger_summary(led.withColumns(flags)).first().profit_factor is None
 
 
 def random_market(seed, symbols=5, days=120):
