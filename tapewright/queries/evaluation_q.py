@@ -13,7 +13,7 @@ from ..session import cut_lineage
 from ..settings import HORIZONS
 from ..sources import market_tables as M
 from . import blocks as B
-from .frames import T, gated, indicators, labeled
+from .frames import T, gated, indicators, labeled, stored_indicators
 from .registry import query
 from .windows_q import DECILES_SQL, FIXED_SQL, GAPS, IND_SQL, pick, rounded
 
@@ -264,7 +264,7 @@ tested as (select test, count(*) filter (where pos) as pos_n, count(*) filter (w
 @query("a17_split_tests", B.with_(SCORED, FEATURES) + f""" select test, pos_n, neg_n, {pick('pos_win', 'neg_win', 'pos_touch', 'neg_touch', 'base_win')}, round(pos_win - neg_win, 6) as edge,
   case when pos_n < 40 or neg_n < 40 then 'n/a' when pos_win - neg_win >= 4 and pos_win > base_win then 'EDGE' when pos_win - neg_win >= 1.5 then 'weak' else 'none' end as verdict from tested""")
 def a17(spark, sf):
-    ind = cut_lineage(indicators(spark, sf), "indicators")
+    ind = stored_indicators(spark, sf, "close", "sma50", "deliv_per", "range_contraction_ratio", "benchmark_ret_20d", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans.scorecard import labeled_history
     from .frames import sheet
     panel = labeled_history(sheet(spark, sf), ind, t=T)
@@ -274,7 +274,7 @@ def a17(spark, sf):
 
 @query("a18_feature_frame", B.with_(SCORED, FEATURES) + f" select symbol, date, {pick('deliv_ratio', 'sector_pct', 'breadth', 'bench20')} from feat")
 def a18(spark, sf):
-    ind = cut_lineage(indicators(spark, sf), "indicators")
+    ind = stored_indicators(spark, sf, "close", "sma50", "deliv_per", "range_contraction_ratio", "benchmark_ret_20d", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans.scorecard import labeled_history
     from .frames import sheet
     f = RS.resolved(RS.feature_frame(labeled_history(sheet(spark, sf), ind, t=T), ind, M.sectors(spark, sf)))
@@ -399,7 +399,7 @@ runs as (
 
 @query("w21_exit_simulation", B.with_(SCORED, EXIT_SQL) + " select symbol, date, rule, round(ret, 6) as ret from runs")
 def w21(spark, sf):
-    ind = cut_lineage(indicators(spark, sf).select("symbol", "date", "close", "rs_vs_market", "atr_pct", "rel_volume"), "indicators")
+    ind = stored_indicators(spark, sf, "close", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans.scorecard import score_history
     from .frames import sheet
     picks = E.daily_picks(score_history(sheet(spark, sf), ind, t=T), 10)
@@ -411,7 +411,7 @@ def w21(spark, sf):
   select rule, n, round(expectancy, 6) as expectancy, round(win_pct, 6) as win_pct, round(avg_win, 6) as avg_win, round(avg_loss, 6) as avg_loss,
     round(expectancy - (select expectancy from st where rule = 'A'), 6) as delta_vs_fixed from st""")
 def a25(spark, sf):
-    ind = cut_lineage(indicators(spark, sf).select("symbol", "date", "close", "rs_vs_market", "atr_pct", "rel_volume"), "indicators")
+    ind = stored_indicators(spark, sf, "close", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans.scorecard import score_history
     from .frames import sheet
     table = RS.exit_rule_table(score_history(sheet(spark, sf), ind, t=T), ind, t=T).drop("name")
@@ -442,7 +442,7 @@ vd as (select ranking, date, h, avg(touched) filter (where rn <= 10) as precisio
 
 @query("a37_validate_rankings", B.with_(SCORED, _VALIDATE) + " select ranking, h as horizon_days," + _SUMMARY.replace("per_day", "vd") + " group by ranking, h")
 def a37(spark, sf):
-    ind = cut_lineage(indicators(spark, sf), "indicators")
+    ind = stored_indicators(spark, sf, "trend_template_pass", "range_contraction_ratio", "rel_volume", "rs_vs_market")
     g = stored(spark, sf, "symbol", "date", *LABELS)
     return rounded(E.validate_rankings(g, ind), *_SUM_COLS)
 

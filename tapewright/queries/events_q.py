@@ -19,7 +19,7 @@ from ..streaming import messages as SM
 from ..streaming import upsert as SU
 from . import blocks as B
 from .evaluation_q import RESOLVED
-from .frames import T, indicators, labeled
+from .frames import T, indicators, stored_indicators
 from .joins_q import LEADERS, STRIP, _last_two_sheets
 from .registry import query
 from .scoring_q import NOTES, PHASES, RISK, candidates
@@ -181,7 +181,7 @@ LEDGER_SQL = B.with_(B.SHEET, B.INDICATORS, RISK, NOTES, PHASES, LEADERS, GAPS,
 def positions(spark, sf):
     """Daily top three candidates as OPEN positions with their lens flags."""
     from ..operators.timeseries import add_gap_features
-    ind = cut_lineage(indicators(spark, sf), "indicators")
+    ind = stored_indicators(spark, sf, "open", "high", "low", "close", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans import scorecard as P
     from .frames import sheet
     c = P.score_watchlist(sheet(spark, sf), indicators=ind, by=("date",), t=T).where(F.col("rank") <= 3)
@@ -383,7 +383,7 @@ COHORT_SQL = B.with_(B.SCORED, COHORTS)
 
 
 def _cohort_rows(spark, sf):
-    ind = cut_lineage(indicators(spark, sf), "indicators")
+    ind = stored_indicators(spark, sf, "open", "high", "low", "close", "rs_vs_market", "atr_pct", "rel_volume")
     from ..plans.scorecard import labeled_history
     from .frames import sheet
     frame = cut_lineage(CO.cohort_frame(labeled_history(sheet(spark, sf), ind, t=T), ind, t=T), "cohorts")

@@ -32,3 +32,8 @@ def labeled(spark: SparkSession, sf: str, t=T) -> DataFrame:
 
 def gated(spark: SparkSession, sf: str, t=T) -> DataFrame:
     return backtest_gate(labeled(spark, sf, t), t=t)
+
+
+def stored_indicators(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The needed indicator columns as a stored table, for queries that read them repeatedly."""
+    return cut_lineage(indicators(spark, sf).select("symbol", "date", *columns), "indicators")
