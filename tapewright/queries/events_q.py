@@ -13,7 +13,6 @@ from ..plans import triage as TR
 from ..session import cut_lineage, shared_folder
 from ..settings import MENTION_STOPWORDS, RECOMMENDATION_STOPWORDS
 from ..sources import market_tables as M
-from ..sources import tables as TB
 from ..streaming import ledger as SL
 from ..streaming import messages as SM
 from ..streaming import upsert as SU

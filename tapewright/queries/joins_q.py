@@ -16,7 +16,7 @@ from ..plans import triage as TR
 from ..sources import files as FI
 from ..sources import market_tables as M
 from . import blocks as B
-from .evaluation_q import STRENGTH, TARGET_DAY, grid_sql, stored, _avgs, _pivot
+from .evaluation_q import STRENGTH, TARGET_DAY, grid_sql, _avgs, _pivot
 from .frames import T, indicators, sheet
 from .registry import query
 from .scoring_q import LIVE_SQL, candidates

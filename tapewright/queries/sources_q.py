@@ -270,7 +270,6 @@ def s19(spark, sf):
 
 @query("s20_screener_weights", B.with_(B.SHEET) + " select symbol, date, pattern_points, pattern_points as from_map from points")
 def s20(spark, sf):
-    listed = M.SCREENER_OF_CODE
     names = M.screener_hits(spark, sf).select("screener").distinct()
     built_in = TB.weights_column(None)
     from ..functions.screeners import normalize_screener, pattern_score
@@ -279,7 +278,6 @@ def s20(spark, sf):
         w.withColumns({"weight": F.lit(99), "_i": F.lit(0)})), "_i")
     merged = SH.merge_hits(M.screener_hits(spark, sf), ("symbol", "date"))
     out = TB.add_pattern_points(merged, table)
-    assert len(listed) == 15
     return out.select("symbol", "date", "pattern_points",
                       pattern_score(F.col("screeners"), TB.weights_column(table)).alias("from_map"))
 
