@@ -26,12 +26,16 @@ def local_session(cpus: int = 8, app: str = "tapewright", shuffle_partitions: in
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a temporary folder
-    is used instead.
+    Executors on other machines would not see a folder of the driver's machine, so a cluster without that setting is
+    an error. Only a session that runs on one machine altogether makes a folder of its own and sets it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tapewright-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tapewright/{purpose}-{uuid.uuid4().hex}"
 
 

