@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, url_rules
+from tapewright.session import shared_folder
+
+from . import bpe_automaton, language, quality, token_counts, url_rules
+from .columns import id_remainder
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +28,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_language_id(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = language.train(docs.where(id_remainder("doc_id", 5) != 0).select("text", "lang"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query
+def op4_bpe_automaton(spark, sf_dir):
+    path = public_tokenizers.path(TOKENIZER)
+    coded = bpe_automaton.decode_documents(bpe_automaton.encode_documents(_documents(spark, sf_dir), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), shared_folder(spark, "token-counts"))
+
+
 @_query
 def op6_url_filters(spark, sf_dir):
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark))
