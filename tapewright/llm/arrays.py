@@ -124,3 +124,38 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def super_kmers(
+    units: np.ndarray, rows: np.ndarray, width: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of consecutive ``width``-unit windows of one row that share their minimiser.
+
+    The minimiser of a window is the leftmost smallest hash among its ``gram``-unit grams, so equal windows have it at
+    the same place and no two windows of one run are equal. ``rows`` has the n + 1 unit offsets of the rows. Returns
+    minimiser value, hash of the units of the run, first unit and number of windows, in unit order.
+    """
+    n = len(units) - width + 1
+    none = np.zeros(0, np.uint64)
+    if n <= 0:
+        return none, none, none.astype(np.int64), none.astype(np.int64)
+    prefix = prefix_hashes(units)
+    grams = window_hashes(prefix, gram)
+    low = np.uint64((1 << max(1, int(len(grams)).bit_length())) - 1)
+    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    at = (sliding_min(key, width - gram + 1) & low).astype(np.int64)
+    sizes = np.diff(rows)
+    inside = np.zeros(n + 1, np.int32)  # windows that lie in one row
+    long_rows = sizes >= width
+    np.add.at(inside, rows[:-1][long_rows], 1)
+    np.add.at(inside, rows[1:][long_rows] - width + 1, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    new = inside.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+    begins = rows[:-1][long_rows]
+    new[begins] = True
+    starts = np.flatnonzero(new)
+    stops = np.append(starts[1:], n)
+    counted = np.concatenate([[0], np.cumsum(inside)])
+    windows = counted[stops] - counted[starts]
+    return grams[at[starts]], span_hashes(prefix, starts, starts + windows + width - 1), starts, windows

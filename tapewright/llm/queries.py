@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.session import shared_folder
 
-from . import bpe_automaton, language, quality, token_counts, url_rules
+from . import bpe_automaton, language, quality, suffix_array, superkmers, token_counts, url_rules
 from .columns import id_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,12 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@_query
+def op3_substring_dedup(spark, sf_dir):
+    found = superkmers.dedup_words(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op4_bpe_automaton(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
@@ -110,3 +116,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND NOT coalesce(n_words >= 60 AND n_stop_words / n_words < 0.01, false) AS kept
 FROM b
 """
+
+
+@_query
+def op10_suffix_array_dedup(spark, sf_dir):
+    found = suffix_array.dedup_bytes(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
