@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.session import shared_folder
 
-from . import bpe_automaton, language, quality, suffix_array, superkmers, token_counts, url_rules
+from . import bpe_automaton, jaccard, language, quality, suffix_array, superkmers, token_counts, url_rules
 from .columns import id_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,11 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), shared_folder(spark, "token-counts"))
 
 
+@_query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.component_ids(_documents(spark, sf_dir))
+
+
 @_query
 def op6_url_filters(spark, sf_dir):
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark))
