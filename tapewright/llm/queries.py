@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.session import shared_folder
 
-from . import bpe_automaton, jaccard, language, quality, suffix_array, superkmers, token_counts, url_rules
+from . import bpe_automaton, decontaminate, jaccard, language, quality, suffix_array, superkmers, token_counts, url_rules
 from .columns import id_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,11 @@ def op4_bpe_automaton(spark, sf_dir):
     )
 
 
+@_query
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), shared_folder(spark, "token-counts"))
