@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.session import shared_folder
 
-from . import bpe_automaton, decontaminate, jaccard, language, quality, suffix_array, superkmers, token_counts, url_rules
+from . import bpe_automaton, decontaminate, jaccard, language, pitman_yor, quality, suffix_array, superkmers, token_counts, url_rules
 from .columns import id_remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@_query
+def op2_pitman_yor_lm(spark, sf_dir):
+    return pitman_yor.score_documents(_documents(spark, sf_dir), id_remainder("doc_id", 5) == 1)
+
+
 @_query
 def op3_substring_dedup(spark, sf_dir):
     found = superkmers.dedup_words(_documents(spark, sf_dir))
