@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrays import LOWER, find_words, pieces, prefix_hashes, ranges, span_hashes, text_bytes, window_hashes, word_hashes
 from .columns import text_or_empty
@@ -215,21 +216,30 @@ def search_batch(texts: pa.Array, index: BlockMaxIndex, threshold: float = THRES
     return sorted(out)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_name: str = "doc_id", text: str = "text",
-               item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_share, answer_share): documents that hold a test item."""
-    spark = docs.sparkSession
+def _indexes(items: DataFrame, item_id: str, item_text: str) -> list:
+    """Broadcast indexes of the shards; each holds at most about ``SHARD_BYTES`` of item text."""
     given = items.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("t"))
     size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-2 * size // SHARD_BYTES))  # half full on average
-    asked = docs.select(F.col(id_name).alias("doc_id"), text_or_empty(text).alias("text"))
-    item_type = given.schema["item_id"].dataType.simpleString()
-    kinds = f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, score double, question_share double, answer_share double"
-
-    def of_shard(k: int) -> DataFrame:
+    out = []
+    for k in range(shards):
         rows = given.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(shards)) == k).collect()
-        shared = spark.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["t"]) for r in rows), key=lambda x: (str(x[0]), x[1]))))
+        index = BlockMaxIndex(sorted(((r["item_id"], r["t"]) for r in rows), key=lambda x: (str(x[0]), x[1])))
+        out.append(items.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_name: str = "doc_id", text: str = "text",
+               item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, question_share, answer_share): documents that hold a test item."""
+    asked = docs.select(F.col(id_name).alias("doc_id"), text_or_empty(text).alias("text"))
+    kinds = (
+        f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, "
+        "score double, question_share double, answer_share double"
+    )
+    arrow_item = to_arrow_type(items.schema[item_id].dataType)
 
+    def of_shard(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in pieces(batches, "text"):
@@ -238,11 +248,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     found.setdefault((r, index.items[i][0]), shares)
                 ids = batch.column(0).take(pa.array([r for r, _ in found], pa.int64()))
                 columns = [pa.array([s[k] for s in found.values()], pa.float64()) for k in range(3)]
-                yield pa.record_batch([ids, pa.array([i for _, i in found], arrow_item), *columns], ["doc_id", "item_id", "score", "question_share", "answer_share"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                yield pa.record_batch(
+                    [ids, pa.array([i for _, i in found], arrow_item), *columns],
+                    ["doc_id", "item_id", "score", "question_share", "answer_share"],
+                )
 
-        arrow_item = to_arrow_type(given.schema["item_id"].dataType)
         return asked.mapInArrow(run, kinds)
 
-    return reduce(DataFrame.union, map(of_shard, range(shards)))
+    return reduce(DataFrame.union, map(of_shard, _indexes(items, item_id, item_text)))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    asked = docs.toDF(*names)
+    own = f"c{docs.columns.index(text)}"
+
+    def clean(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, own):
+                stays = np.ones(batch.num_rows, bool)
+                for r, *_ in search_batch(batch.column(names.index(own)), shared.value, threshold):
+                    stays[r] = False
+                yield batch.filter(pa.array(stays))
+
+        return run
+
+    for shared in _indexes(items, item_id, item_text):
+        asked = asked.mapInArrow(clean(shared), schema)
+    return asked.toDF(*docs.columns)

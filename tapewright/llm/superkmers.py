@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import find_words, pieces, prefix_hashes, ranges, text_bytes, window_hashes
 from .windows import attach_ranges, kept_and_removed, keyed, real_id, repeated_windows, runs_of
@@ -65,10 +66,12 @@ def judge_windows(packed: pa.Array, copies: np.ndarray, first: np.ndarray, width
     return run[lo], base, base + hi - lo, known[lo]
 
 
-def dedup_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_name: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that stay, joined by one blank."""
-    rows = keyed(docs, id_name, text)
-    found = repeated_windows(rows, "word", width, gram, judge_windows, later_only=True)
+def dedup_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_name: str = "doc_id", text: str = "text",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) and the columns named in ``carry``: the words that stay, joined by one blank."""
+    found = repeated_windows(keyed(docs, id_name, text), "word", width, gram, judge_windows, later_only=True)
+    rows = keyed(docs, id_name, text, carry)
+    extra = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -89,12 +92,11 @@ def dedup_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_name:
                 kept.append(text[:-1].tobytes().decode("utf-8", "replace"))
                 removed.append(hi - lo - len(s))
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(rows)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                [batch.column(0), pa.array(np.diff(rows)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]],
+                ["doc_id", "n_words", "n_removed", "kept", *extra],
             )
 
-    return (
-        attach_ranges(rows, found)
-        .select(real_id().alias("doc_id"), "text", "cuts")
-        .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-    )
+    given = attach_ranges(rows, found).select(real_id().alias("doc_id"), "text", "cuts", *extra)
+    kinds = "".join(f", {c} {given.schema[c].dataType.simpleString()}" for c in extra)
+    out = given.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + kinds)
+    return out.select("doc_id", "n_words", "n_removed", "kept", *(F.col(c).alias(name) for c, name in zip(extra, carry, strict=True)))

@@ -32,12 +32,16 @@ NO_ID = 2**63 - 1
 BATCH_BYTES = 1_000_000
 
 
-def keyed(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """(id, hash, text): rows with the same id and text are copies of one row and share every finding."""
+def keyed(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, hash, text): rows with the same id and text are copies of one row and share every finding.
+
+    Columns named in ``carry`` follow as c0, c1, and so on, so that no name can clash.
+    """
     return docs.select(
         F.coalesce(F.col(id_name), F.lit(NO_ID)).cast("long").alias("id"),
         F.hash(text_or_empty(text_name)).alias("hash"),
         text_or_empty(text_name).alias("text"),
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
     )
 
 
