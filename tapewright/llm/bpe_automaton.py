@@ -11,8 +11,8 @@ of a table: the state of w is a copy of the state of ``right[w]``; the arc w ent
 arc (u, v) ends at that step. Spelled out, the arcs would be a table of tokens by tokens; ``arc`` reads one of them
 from the gadgets, and what it has read is kept in the transition table.
 
-Since BPE of every prefix of a word is one accepted path, encoding keeps for each prefix the last token of its path:
-it is the only token that ends there and has an arc from the path before it. Decoding emits the labels of the arcs.
+Every string of bytes has one accepted path, so a word is encoded by following arcs from its start, longest label
+first, and going back where no arc goes on. Decoding emits the labels of the arcs.
 
 Texts are cut at places where the pre-splitting pattern always cuts, equal pieces of a batch are encoded once, and
 the results are put together with array operations. Rows are independent: no shuffle, no state beyond a bounded
@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,15 @@ class MergeAutomaton:
         for step, pair in enumerate(data["model"]["merges"]):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(step, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max(map(len, self.ids), default=0)
+        # only labels that a gadget or the alphabet made are arcs
+        self.ids = {label: i for label, i in self.ids.items() if self.born[i] >= 0 or len(label) == 1}
+        self.reach: dict[bytes, int] = {}  # longest label by its first three bytes
+        for label in self.ids:
+            if len(label) > 2:
+                self.reach[label[:3]] = max(self.reach.get(label[:3], 0), len(label))
         self.table: dict[int, bool] = {}
+        self.words = regex.compile(PATTERN)
+        self.found_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         ends = np.cumsum([0, *map(len, self.labels)])
         self.label_starts, self.label_sizes = ends[:-1], np.diff(ends)
         self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
@@ -104,43 +113,55 @@ class MergeAutomaton:
                 return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        if word in self.ids and len(word) == 1:
-            return [self.ids[word]]
-        ids, longest, n = self.ids, self.longest, len(word)
-        last = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or self.arc(last[start], token)) and (start > 0 or self._whole(token)):
-                    last[end] = token
-                    break
+        """The accepted path: longest tokens first, and back where no arc goes on.
+
+        A place that was once left for good is never entered again, because the path to it is always the same.
+        """
+        ids, reach, table, n = self.ids, self.reach, self.table, len(word)
+        path: list[int] = []
+        at, dead = 0, set()
+        size = min(reach.get(word[:3], 2), n)
+        while at < n:
+            while size:
+                token = ids.get(word[at : at + size])
+                if token is not None and at + size not in dead:
+                    if not path:
+                        break
+                    known = table.get(path[-1] << 32 | token)
+                    if self.arc(path[-1], token) if known is None else known:
+                        break
+                size -= 1
+            if size:
+                path.append(token)
+                at += size
+                size = min(reach.get(word[at : at + 3], 2), n - at)
+            elif path:
+                dead.add(at)
+                last = len(self.labels[path.pop()])
+                at -= last
+                size = last - 1
             else:
                 raise ValueError("the vocabulary lacks a byte")
+        return path
+
+    def encode_text(self, text: str, memo: dict[bytes, bytes]) -> bytes:
+        """32-bit ids of any text. ``memo`` may know some of its words."""
+        parts = self.found_special.split(text) if self.special and self.found_special.search(text) else [text]
         out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
-
-    def _whole(self, token: int) -> bool:
-        """A token is the path of its own bytes when a gadget or the alphabet made it."""
-        return self.born[token] >= 0 or len(self.labels[token]) == 1
-
-    def encode_text(self, text: str) -> list[int]:
-        import regex
-
-        parts = [text]
-        if any(s in text for s in self.special):
-            found = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
-            parts = regex.split(f"({found})", text)
-        out: list[int] = []
         for part in parts:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
-                for word in regex.findall(PATTERN, part):
-                    out.extend(self.encode_word(word.encode()))
-        return out
+                for word in map(str.encode, self.words.findall(part)):
+                    out.append(memo.get(word) or array("i", self.encode_word(word)).tobytes())
+        return b"".join(out)
+
+    def encode_piece(self, piece: bytes, memo: dict[bytes, bytes]) -> bytes:
+        """32-bit ids of a piece; a blank and letters are one word, anything else is split."""
+        text = piece.decode("utf-8", "replace")
+        if (text[1:] if text[0] == " " else text).isalpha():
+            return array("i", self.encode_word(piece)).tobytes()
+        return self.encode_text(text, memo)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all labels one after the other."""
@@ -149,20 +170,23 @@ class MergeAutomaton:
 
 @functools.lru_cache(maxsize=2)
 def automaton(path: str) -> tuple[MergeAutomaton, Memo]:
-    return MergeAutomaton(path), Memo()
+    return MergeAutomaton(path), Memo(400_000)
 
 
 def encode_batch(texts: pa.Array, path: str) -> pa.Array:
     machine, memo = automaton(path)
     distinct, index, rows = chunks(texts, list(machine.special))
     new = [x for x in distinct if x not in memo]
-    results = [np.array(machine.encode_text(x.decode("utf-8", "replace")), np.int32) for x in new]
-    fresh = dict(zip(new, results, strict=True))
-    found = [fresh[x] if x in fresh else memo[x] for x in distinct]
+    results = [machine.encode_piece(x, memo) for x in new]
+    if len(new) == len(distinct):
+        found = results
+    else:
+        fresh = dict(zip(new, results, strict=True))
+        found = [fresh[x] if x in fresh else memo[x] for x in distinct]
     memo.keep(new, results)
-    sizes = np.array([len(x) for x in found] or [0], np.int64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    flat = np.frombuffer(b"".join(found), np.int32)
     ids = flat[ranges(starts[index], sizes[index])] if len(index) else flat[:0]
     ends = np.concatenate([[0], np.cumsum(sizes[index])]) if len(index) else np.zeros(1, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(ids))
@@ -181,7 +205,7 @@ def encode_documents(docs: DataFrame, path: str, id_name: str = "doc_id", text:
     """(doc_id, ids): the token ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 6_000_000):
             yield pa.record_batch([batch.column(0), encode_batch(batch.column(1), path)], ["doc_id", "ids"])
 
     given = docs.select(F.col(id_name).alias("doc_id"), F.col(text).alias("text"))
