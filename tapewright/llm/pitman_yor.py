@@ -41,22 +41,26 @@ from tapewright.session import cut_lineage
 from .arrays import LOWER, find_words, mix, pieces, ranges, text_bytes, word_hashes
 from .columns import text_or_empty
 
-CONTEXTS = 1024
+CONTEXTS = 512
 #: Sweeps, and how many of them at the end are averaged.
 SWEEPS, KEPT = 4, 2
 CONCENTRATION = 1.0
 #: Tokens per chunk.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_200_000
 END = mix(np.array([1], np.uint64))[0]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers by significance; the upper ones are mostly zero and shrink away in storage."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit numbers, compressed byte by byte of the same significance; the upper ones are mostly zero."""
+    planes = np.ascontiguousarray(numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(numbers) else b""
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    if not data:
+        return np.zeros(0, "<u4")
+    planes = pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,18 +92,23 @@ def _packed(bits: int, chunk_tokens: int):
     def finish(number: int, parts: list) -> pa.RecordBatch:
         tokens, context, train = (np.concatenate([p[k] for p in parts]) for k in range(3))
         words, which = np.unique(tokens, return_inverse=True)
-        cells, index = np.unique(which.astype(np.uint64) * np.uint64(CONTEXTS + 1) + context, return_inverse=True)
+        parts[:] = [p[3:] for p in parts]
+        which *= CONTEXTS + 1
+        which += context
+        del tokens, context
+        cells, index = np.unique(which, return_inverse=True)
+        del which
         counts = np.bincount(index, weights=train, minlength=len(cells)).astype(np.uint32)
         word_of, context_of = np.divmod(cells.astype(np.int64), CONTEXTS + 1)
         per_word = np.bincount(word_of, minlength=len(words)).astype(np.uint32)
         edge = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(words)])
         cell_edge = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edge]
-        rows = [(number, -1, np.concatenate([p[3] for p in parts]).tolist(), np.concatenate([p[4] for p in parts]).tolist(),
-                 np.concatenate([p[5] for p in parts]).tolist(), _planes(index), None, None, None, None)]
+        rows = [(number, -1, np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(),
+                 np.concatenate([p[2] for p in parts]).tolist(), _planes(index), None, None, None, None)]
         for b in np.flatnonzero(np.diff(edge)):
             w, c = slice(edge[b], edge[b + 1]), slice(cell_edge[b], cell_edge[b + 1])
             rows.append((number, int(b), None, None, None, None, words[w].tobytes(), _planes(per_word[w]),
-                         context_of[c].astype("<u2").tobytes(), _planes(counts[c])))
+                         _planes(context_of[c]), _planes(counts[c])))
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 5]
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
@@ -137,7 +146,7 @@ class Cells(NamedTuple):
 
 def _unpack(words: bytes, cells: bytes, contexts: bytes, counts: bytes) -> Cells:
     own = np.frombuffer(words, np.uint64)
-    return Cells(own, np.repeat(np.arange(len(own)), _from_planes(cells)), np.frombuffer(contexts, "<u2").astype(np.int64), _from_planes(counts).astype(np.int64))
+    return Cells(own, np.repeat(np.arange(len(own)), _from_planes(cells)), _from_planes(contexts).astype(np.int64), _from_planes(counts).astype(np.int64))
 
 
 def _merge(parts: list[Cells]) -> Cells:
@@ -305,7 +314,7 @@ def _answered(shared):
                 at = np.searchsorted(cells.words, asked.words)
                 place = np.searchsorted(key, at[asked.word] * (CONTEXTS + 1) + asked.context)
                 per_cell = np.bincount(asked.word, minlength=len(asked.words))
-                out.append((chunk, bucket, scores[place].astype(np.float32).tobytes(), _planes(per_cell), counts[at].tobytes()))
+                out.append((chunk, bucket, _planes(scores[place].astype(np.float32).view("<u4")), _planes(per_cell), pa.compress(counts[at].tobytes(), "zstd", asbytes=True)))
             if out:
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["chunk", "bucket", "scores", "cells", "counts"])
@@ -317,8 +326,10 @@ def _summed(tokens: int, words: int):
     """Document rows from a chunk (first) and the answers to its cells in bucket order."""
 
     def finish(ids, held, sizes, numbers, answers) -> pa.RecordBatch:
-        scores = np.concatenate([np.frombuffer(a[0], np.float32) for a in answers]).astype(np.float64)
-        counts = np.concatenate([np.repeat(np.frombuffer(a[2], np.int64), _from_planes(a[1])) for a in answers])
+        scores = np.concatenate([_from_planes(a[0]).view(np.float32) for a in answers]).astype(np.float64)
+        per_word = [_from_planes(a[1]) for a in answers]
+        words_seen = [np.frombuffer(pa.decompress(a[2], 8 * len(n), "zstd", asbytes=True), np.int64) for a, n in zip(answers, per_word, strict=True)]
+        counts = np.concatenate([np.repeat(c, n) for c, n in zip(words_seen, per_word, strict=True)])
         index = _from_planes(numbers)
         bounds = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         count = counts[index]
