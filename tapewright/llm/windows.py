@@ -8,7 +8,8 @@ minimiser. So only minimisers tell where repeats can be:
 3. where all runs of a minimiser are equal, every window of them repeats, and nothing has to be looked at;
 4. the other minimisers are contested: of each distinct run one copy is cut from its document and travels as one
    packed string to the bucket of its minimiser, where a ``judge`` finds the equal windows;
-5. the findings go back from the distinct runs to all places by an equi-join on the digest.
+5. the findings go back from the distinct runs to all places by an equi-join on the digest; runs of step 3 pass it
+   unmatched.
 
 A passage that a third of all documents hold is therefore one row after step 2 and one string in step 4; the joins in
 steps 2 and 5 are plain equi-joins of narrow rows which adaptive execution may split.
@@ -129,7 +130,7 @@ def _judged(judge: Callable, width: int):
         run, begin, end, first = judge(table["packed"].combine_chunks(), number("copies"), number("first"), width)
         return pa.record_batch(
             [pa.array(number("body")[run]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(first.astype(np.int64))],
-            ["body", "begin", "end", "known"],
+            ["body", "begin", "end", "smallest"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +168,10 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
         .where("n > 1 AND known < last" if later_only else "n > 1")
         .select("mini", "known", (F.col("low") != F.col("high")).alias("contested"))
     )
+    # both uses of this join need all its columns, so both read one exchange of the runs
     marked = runs.join(shared, "mini")
-    covered = lambda begin, end: (begin.alias("begin"), (end + F.lit(width - 1)).alias("end"))
-    counts = F.col("id") > F.col("known") if later_only else F.lit(True)
-    plain = marked.where(~F.col("contested") & counts).select("id", "hash", *covered(F.col("start"), F.col("start") + F.col("windows")))
-    contested = marked.where("contested")
     place = F.struct("id", "hash", "start", "windows", "mini")
-    distinct = contested.groupBy("body").agg(F.min(place).alias("p"), F.count("*").alias("copies"))
+    distinct = marked.where("contested").groupBy("body").agg(F.min(place).alias("p"), F.count("*").alias("copies"))
     chosen = distinct.groupBy("p.id", "p.hash").agg(
         F.collect_list(F.struct("p.start", "p.windows", "p.mini", "body", "copies", F.col("p.id").alias("first"))).alias("chosen")
     )
@@ -186,10 +184,18 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
     findings = (
         packed.repartition("mini")
         .sortWithinPartitions("mini")
-        .mapInArrow(_judged(judge, width), "body long, begin long, end long, known long")
+        .mapInArrow(_judged(judge, width), "body long, begin long, end long, smallest long")
+    )
+    # a run that is not contested is found as a whole
+    found = marked.join(findings, "body", "left").where(~F.col("contested") | F.col("begin").isNotNull())
+    if later_only:
+        found = found.where(F.col("id") > F.coalesce("smallest", "known"))
+    return found.select(
+        "id",
+        "hash",
+        (F.col("start") + F.coalesce("begin", F.lit(0))).alias("begin"),
+        (F.col("start") + F.coalesce("end", F.col("windows")) + F.lit(width - 1)).alias("end"),
     )
-    back = contested.select("id", "hash", "start", "body").join(findings, "body").where(counts)
-    return plain.union(back.select("id", "hash", *covered(F.col("start") + F.col("begin"), F.col("start") + F.col("end"))))
 
 
 def runs_of(flag: np.ndarray, group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
