@@ -68,6 +68,11 @@ def _repeated_words(windows: Column, words: Column) -> Column:
     )
 
 
+def _computed(*fields: Column) -> Column:
+    """A struct that is computed once: a filter on it is not pushed below, where it would repeat the work per element."""
+    return F.explode(F.array(F.struct(*fields)))
+
+
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``m`` of counts.
 
@@ -92,7 +97,7 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         )
         .withColumn(
             "m",
-            F.struct(
+            _computed(
                 F.size("words").cast("long").alias("n_words"),
                 F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                 F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),

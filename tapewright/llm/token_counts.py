@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT, id_
     first = digested.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("first"))
     misses = first.join(cached_counts(spark, cache, version), "digest", "left_anti")
     chosen = digested.withColumn("first", F.coalesce("doc_id", F.lit(-1))).join(misses, ["digest", "first"], "left_semi")
+    chosen = chosen.dropDuplicates(["digest", "first"])  # rows that occur twice; partitioned by the join already
     encoded = chosen.select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
     encoded.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return (
