@@ -28,10 +28,19 @@ def trading_days(spark: SparkSession, start, end, holidays: list[str] | None = N
     return date_spine(bounds).where(is_trading_day(F.col("date"), holidays))
 
 
-def previous_trading_day(day: Column, holidays: list[str] | None = None, look_back: int = 30) -> Column:
-    """Last trading day strictly before ``day`` (closures are shorter than the look-back)."""
-    before = F.sequence(F.date_sub(day, look_back), F.date_sub(day, 1))
-    return F.array_max(F.filter(before, lambda d: is_trading_day(d, holidays)))
+def previous_trading_day(day: Column, holidays: list[str] | None = None) -> Column:
+    """Last trading day strictly before ``day``.
+
+    Among one weekday more than there are holidays one must be open, so the look-back
+    follows from the holiday list.  Most days are answered by the first two weeks.
+    """
+    closed = HOLIDAYS_DDMMYYYY if holidays is None else holidays
+
+    def within(days: int) -> Column:
+        before = F.sequence(F.date_sub(day, days), F.date_sub(day, 1))
+        return F.array_max(F.filter(before, lambda d: is_trading_day(d, closed)))
+
+    return F.coalesce(within(14), within(7 * (len(set(closed)) // 5 + 2)))
 
 
 def missing_weekdays(dates: DataFrame, start=None, end=None) -> DataFrame:

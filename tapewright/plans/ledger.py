@@ -69,8 +69,8 @@ def resolve_positions(positions: DataFrame, bars: DataFrame, run_date=None, *, t
 
     A position can use at most the next 20 bars of its symbol, so each one asks for those
     bar numbers by equality on (symbol, number).  No range join, and no symbol's full
-    history meets its full list of positions.  ``positions`` is read several times: pass
-    the stored ledger.
+    history meets its full list of positions.  Positions of one symbol and entry date ask
+    once and share the bars.  ``positions`` is read several times: pass the stored ledger.
     """
     changed = ["status", "exit_date", "exit_price", "realized_pct", "peak_pct", "days_held", "last_price"]
     is_open = F.col("status") == "OPEN"
@@ -78,7 +78,7 @@ def resolve_positions(positions: DataFrame, bars: DataFrame, run_date=None, *, t
     numbered = bars.select(
         "symbol", "date", "high", "low", "close",
         F.row_number().over(Window.partitionBy("symbol").orderBy("date")).alias("bar_no"))
-    keyed = open_.join(bars_before_map(open_, bars, "entry_date"), ["symbol", "entry_date"])
+    keyed = bars_before_map(open_, bars, "entry_date")
     asked = keyed.select(
         "symbol", "entry_date", "bars_before",
         F.explode(F.sequence(F.col("bars_before") + 1, F.col("bars_before") + t.time_stop_bars)).alias("bar_no"))
@@ -156,10 +156,11 @@ def unrealized() -> Column:
 
 
 def symbol_status(ledger: DataFrame) -> DataFrame:
-    """Newest position of each symbol."""
+    """Newest position of each symbol; of one date an open one, then the one updated, closed or targeted last."""
     info = F.struct("status", "entry_date", unrealized().alias("unreal"), F.col("peak_pct").alias("peak"),
                     F.coalesce("days_held", F.lit(0)).alias("days"), F.col("realized_pct").alias("realized"))
-    return ledger.groupBy("symbol").agg(F.max_by(info, F.col("entry_date")).alias("ledger"))
+    return ledger.groupBy("symbol").agg(F.max_by(info, F.struct(
+        "entry_date", F.col("status") == "OPEN", "exit_date", "target", "stop", "status")).alias("ledger"))
 
 
 def open_positions(ledger: DataFrame) -> DataFrame:

@@ -424,12 +424,12 @@ def st1(spark, sf):
 
 @query("st1b_mention_windows", B.with_(B.MESSAGES) + """, x as (select e.ts, regexp_extract(m.text, '(SYM[A-Z])', 1) as symbol, regexp_full_match(m.sender, '-?[0-9]+') as admin from messages m join events e on e.event_id = m.message_id),
   w as (select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as window_start, symbol, count(*) as mentions, count(*) filter (where admin) as admin_mentions from x group by all)
-  select window_start, window_start + interval 1 day as window_end, symbol, mentions, admin_mentions from w where window_start + interval 1 day <= (select max(ts) - interval 1 day from events)""")
+  select window_start, window_start + interval 1 day as window_end, symbol, mentions, admin_mentions from w""")
 def st1b(spark, sf):
     out, ckpt = shared_folder(spark, "windows"), shared_folder(spark, "windows-checkpoint")
-    windows = SM.mention_windows(M.messages_with_time(_events_stream(spark, sf)), M.listed_companies(spark, sf), window="1 day", delay="1 day")
-    SM.run_to_table(windows, out, ckpt)
-    return spark.read.schema(windows.schema).parquet(out)
+    windows = SM.mention_windows(M.messages_with_time(_events_stream(spark, sf)), M.listed_companies(spark, sf), window="1 day")
+    SM.run_updates(windows, out, ckpt)
+    return SM.latest_rows_of(spark, out, ("window_start", "window_end", "symbol"))
 
 
 @query("st2_ledger_stream", LEDGER_SQL + " select symbol, entry_date, status, exit_date, exit_price, realized_pct, peak_pct, days_held from led where status <> 'OPEN'")

@@ -187,7 +187,7 @@ def j17(spark, sf):
 def _last_two_sheets(spark, sf):
     from ..session import cut_lineage
     ranked = candidates(spark, sf).where(F.col("date") <= F.lit(SHEET_DAY).cast("date"))
-    c = cut_lineage(ranked.where(F.col("date") >= F.date_sub(F.lit(SHEET_DAY).cast("date"), 30)), "candidates")
+    c = cut_lineage(ranked, "candidates")
     today = FI.latest_rows(c)
     newest = c.agg(F.max("date")).first()[0]
     return today, FI.latest_rows(c, before=newest)

@@ -271,7 +271,7 @@ def s19(spark, sf):
 @query("s20_screener_weights", B.with_(B.SHEET) + " select symbol, date, pattern_points, pattern_points as from_map from points")
 def s20(spark, sf):
     names = M.screener_hits(spark, sf).select("screener").distinct()
-    built_in = TB.weights_column(None)
+    built_in = TB.builtin_weights()
     from ..functions.screeners import normalize_screener, pattern_score
     w = names.withColumn("weight", F.try_element_at(built_in, normalize_screener(F.col("screener")))).dropna()
     table = TB.clean_weights(w.withColumn("_i", F.lit(1)).unionByName(
@@ -279,7 +279,7 @@ def s20(spark, sf):
     merged = SH.merge_hits(M.screener_hits(spark, sf), ("symbol", "date"))
     out = TB.add_pattern_points(merged, table)
     return out.select("symbol", "date", "pattern_points",
-                      pattern_score(F.col("screeners"), TB.weights_column(table)).alias("from_map"))
+                      pattern_score(F.col("screeners"), built_in).alias("from_map"))
 
 
 @query("s21_message_high_water", B.with_(B.MESSAGES) + """

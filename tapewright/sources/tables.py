@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.screeners import normalize_screener, weight_map
 from ..settings import SCREENER_WEIGHTS
 
-# A screener list is configuration; above this many rows weights are joined, not mapped.
-MAX_WEIGHT_ROWS = 2_000
-
-
 def replace_dates(df: DataFrame, path: str) -> None:
     """Write ``df`` so that exactly its dates are replaced in the table at ``path``.
 
@@ -44,17 +42,9 @@ def clean_weights(raw: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("screener").agg(F.max_by("weight", "_o").alias("weight"))
 
 
-def weights_column(weights: DataFrame | None) -> Column:
-    """Weights as a map column; the built-in list when no table is given.
-
-    The table's size is checked first; ``add_pattern_points`` handles a larger one.
-    """
-    if weights is None:
-        return weight_map(SCREENER_WEIGHTS)
-    rows = weights.select("screener", "weight").limit(MAX_WEIGHT_ROWS + 1).collect()
-    if len(rows) > MAX_WEIGHT_ROWS:
-        raise ValueError("too many weights for a map; use add_pattern_points")
-    return weight_map({r.screener: r.weight for r in rows})
+def builtin_weights() -> Column:
+    """The built-in weights as a map column; a table of weights is joined by ``add_pattern_points``."""
+    return weight_map(SCREENER_WEIGHTS)
 
 
 def add_pattern_points(sheet: DataFrame, weights: DataFrame, cap: int = 30, unseen: int = 3) -> DataFrame:
@@ -84,14 +74,28 @@ def new_messages(incoming: DataFrame, log: DataFrame | None) -> DataFrame:
             .where(F.col("message_id") > F.coalesce("last_id", F.lit(0))).drop("last_id"))
 
 
-def append_messages(spark: SparkSession, incoming: DataFrame, path: str) -> int:
-    """Append the new messages to the log at ``path``; returns how many were added."""
-    try:
-        log = spark.read.parquet(path)
-    except Exception as err:
-        if "PATH_NOT_FOUND" not in str(err) and "UNABLE_TO_INFER_SCHEMA" not in str(err):
-            raise
-        log = None
-    before = 0 if log is None else log.count()
-    new_messages(incoming, log).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+def stored_marks(spark: SparkSession, path: str, without: str = "") -> DataFrame:
+    """(group_id, last_id) from the marks kept beside the log at ``path``, but for those of the batch ``without``."""
+    spark.range(0).select(F.lit("").alias("group_id"), F.lit(0).cast("long").alias("last_id")).withColumn(
+        "batch", F.lit("")).write.mode("overwrite").parquet(f"{path}_marks/none")
+    marks = spark.read.schema("group_id string, last_id long, batch string").option("recursiveFileLookup", True).parquet(f"{path}_marks")
+    return marks.where(F.col("batch") != without).groupBy("group_id").agg(F.max("last_id").alias("last_id"))
+
+
+def append_messages(spark: SparkSession, incoming: DataFrame, path: str, batch: str | None = None) -> int:
+    """Append the new messages to the log at ``path``; returns how many were added.
+
+    Only the marks, one row per group and batch, are read, never the log.  A named ``batch`` that is delivered again
+    replaces what its first delivery wrote.
+    """
+    name = batch or uuid.uuid4().hex
+    marks = stored_marks(spark, path, name)
+    rows = (incoming.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+            .dropDuplicates(["group_id", "message_id"])
+            .join(marks, "group_id", "left").where(F.col("last_id").isNull() | (F.col("message_id") > F.col("last_id"))).drop("last_id"))
+    own = f"{path}/batch={name}"
+    rows.write.mode("overwrite").parquet(own)
+    added = spark.read.schema(rows.schema).parquet(own)
+    added.groupBy("group_id").agg(F.max("message_id").cast("long").alias("last_id")).withColumn(
+        "batch", F.lit(name)).write.mode("overwrite").parquet(f"{path}_marks/{name}")
+    return added.count()

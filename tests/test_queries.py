@@ -18,8 +18,9 @@ SAMPLE = [
     "w28_ledger_bar_walk", "w29_date_runs", "x04_pattern_score", "x11_total_score", "x12_reasoning_text",
     "x17_checks_and_tier", "a03_delivery_averages", "a09_decile_table", "a10_precision_at_10", "a16_parameter_search",
     "a20_weight_generation", "a23_mention_precedence", "a25_exit_rule_table", "a29_cohorts", "j02_sheet_assembly",
-    "j12_next_own_bar", "j17_sheet_diff", "j19_symbol_mentions", "d05_missing_ranges", "r05_recommendations",
-    "st1b_mention_windows", "st2_ledger_stream",
+    "j12_next_own_bar", "j19_symbol_mentions", "d05_missing_ranges", "r05_recommendations",
+    "st1_message_ingest", "st1b_mention_windows", "st2_ledger_stream", "st3_stream_upsert", "s20_screener_weights",
+    "d02_previous_trading_day", "a34_ledger_context", "j17_sheet_diff", "a31_sheet_changes", "p06_setup_presets",
 ]
 
 

@@ -146,8 +146,10 @@ def test_weight_tables_agree(spark):
                                   "symbol string, date date, screeners array<string>")
     known = w.dropna()
     joined = {r.symbol: r.pattern_points for r in TB.add_pattern_points(sheet, known).collect()}
-    mapped = {r.symbol: r.x for r in sheet.select("symbol", SC.pattern_score(F.col("screeners"), TB.weights_column(known)).alias("x")).collect()}
-    assert joined == mapped == {"A": 12, "B": 0}
+    assert joined == {"A": 12, "B": 0}
+    many = spark.range(3000).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("screener"), F.lit(2).alias("weight"))
+    wide = sheet.limit(1).withColumn("screeners", F.array(F.lit("s2999"), F.lit("s7"), F.lit("none")))
+    assert TB.add_pattern_points(wide, many).first().pattern_points == 7
 
 
 @pytest.mark.parametrize("wins,n,want", [(26, 130, 11), (10, 130, 0), (100, 130, 12), (10, 40, 3)])

@@ -1,6 +1,6 @@
 """Sources, sinks, ledger and streams."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -13,6 +13,7 @@ from tapewright.plans import ledger as LG
 from tapewright.sources import files as FI
 from tapewright.sources import tables as TB
 from tapewright.streaming import ledger as SL
+from tapewright.streaming import messages as SM
 from tapewright.streaming import upsert as SU
 from tapewright.streaming.messages import run_to_table
 
@@ -112,6 +113,9 @@ def test_calendar(spark):
     assert got == [date(2025, 8, 14), date(2025, 8, 18)]
     d = spark.range(1).select(C.previous_trading_day(F.lit("2025-08-18").cast("date")).alias("d")).first().d
     assert d == date(2025, 8, 14)
+    closure = [(date(2020, 3, 2) + timedelta(days=k)).strftime("%d%m%Y") for k in range(40)]
+    d = spark.range(1).select(C.previous_trading_day(F.lit("2020-04-13").cast("date"), closure).alias("d")).first().d
+    assert d == date(2020, 2, 28)
 
 
 # ---- ledger -------------------------------------------------------------------------------
@@ -144,6 +148,13 @@ def test_bar_walk(spark, bars, status, price, realized, peak, days):
     assert (r.status, r.exit_price, r.realized_pct, r.peak_pct, r.days_held) == (status, price, realized, peak, days)
 
 
+def test_two_picks_of_one_symbol_and_day(spark):
+    other = position()[:3] + (105.0, 90.0) + position()[5:]
+    bars = [("A", date(2020, 1, 1) + timedelta(days=i), 101.0 + i, 99.0, 100.0) for i in range(1, 6)]
+    df = LG.resolve_positions(spark.createDataFrame([position(), other], POSITION), spark.createDataFrame(bars, BAR), "2020-06-01")
+    assert sorted((r.target, r.status, r.days_held) for r in df.collect()) == [(105.0, "TARGET", 4), (120.0, "OPEN", 5)]
+
+
 def test_entry_day_bar_does_not_count(spark):
     bars = [("A", date(2020, 1, 1), 500.0, 1.0, 100.0)]
     r = LG.resolve_positions(spark.createDataFrame([position()], POSITION), spark.createDataFrame(bars, BAR), "2020-06-01").first()
@@ -206,6 +217,23 @@ def test_stream_upsert_keeps_the_newest_version(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         SU.upsert_dates(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
     assert sorted((r.symbol, r.v) for r in spark.read.parquet(out).collect()) == [("A", 5), ("B", 1)]
+    # A later part of the same date adds rows, and an older version changes nothing.
+    spark.createDataFrame([("C", day, 7, 1), ("A", day, 9, 1)], schema).write.mode("append").parquet(src)
+    SU.upsert_dates(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
+    assert sorted((r.symbol, r.v) for r in spark.read.parquet(out).collect()) == [("A", 5), ("B", 1), ("C", 7)]
+
+
+def test_message_stream_is_exactly_once(spark, tmp_path):
+    schema = "group_id string, message_id long, text string, ts timestamp"
+    src, out, ckpt = (str(tmp_path / p) for p in ("src", "out", "ckpt"))
+    deliveries = ([("g", 1, "x", 1)], [("g", 2, "x", 20)], [("g", 3, "x", 21), ("g", 5, "x", 21)],
+                  [("g", 6, "x", 2), ("g", 1, "x", 22), ("h", 1, "x", 1), ("h", 2, " ", 1)])
+    for rows in deliveries:
+        stamped = [(g, i, t, datetime(2020, 1, d)) for g, i, t, d in rows]
+        spark.createDataFrame(stamped, schema).write.mode("append").parquet(src)
+        SM.ingest_messages(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
+    got = sorted((r.group_id, r.message_id) for r in spark.read.parquet(out).collect())
+    assert got == [("g", 1), ("g", 2), ("g", 3), ("g", 5), ("g", 6), ("h", 1)]
 
 
 def test_small_cohort_falls_back(spark):
