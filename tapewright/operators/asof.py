@@ -23,9 +23,10 @@ def next_session(events: DataFrame, bars: DataFrame, event_date: str, name: str
     """Map each event date to the first trading date on or after it (market calendar).
 
     Distinct dates of both sides are merged and looked at forward; the resulting map has
-    one row per calendar date and is broadcast.
+    one row per calendar date.  An event time counts by its date.
     """
-    cal = bars.select(F.col("date").alias("d")).distinct().withColumn("_session", F.col("d"))
+    events = events.withColumn(event_date, F.col(event_date).cast("date"))
+    cal = bars.select(F.col("date").cast("date").alias("d")).distinct().withColumn("_session", F.col("d"))
     asked = events.select(F.col(event_date).alias("d")).distinct().withColumn(
         "_session", F.lit(None).cast("date"))
     spine = cal.unionByName(asked).groupBy("d").agg(F.max("_session").alias("_session"))
@@ -33,7 +34,7 @@ def next_session(events: DataFrame, bars: DataFrame, event_date: str, name: str
     ahead = Window.orderBy("d").rowsBetween(0, Window.unboundedFollowing)
     mapped = spine.select(
         F.col("d").alias(event_date), F.first("_session", ignorenulls=True).over(ahead).alias(name))
-    return events.join(F.broadcast(mapped), event_date, "left")
+    return events.join(mapped, event_date, "left")
 
 
 def next_bar_map(events: DataFrame, bars: DataFrame, event_date: str, name: str = "date") -> DataFrame:

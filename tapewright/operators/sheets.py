@@ -47,7 +47,7 @@ def compare_history(merged: DataFrame) -> DataFrame:
     The previous row of a symbol counts only when it is from the previous sheet date, so
     a window over the symbol replaces a self-join.
     """
-    cal = F.broadcast(session_calendar(merged).select("date", "prev_date"))
+    cal = session_calendar(merged).select("date", "prev_date")
     seen = F.lag("date").over(by_symbol()) == F.col("prev_date")
     df = merged.join(cal, "date")
     df = df.withColumns({

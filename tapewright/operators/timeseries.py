@@ -150,9 +150,9 @@ def benchmark_returns(indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> Dat
 def add_relative_strength(indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
     """Percentage points of 20-bar return above the benchmark's; unknown without it.
 
-    The broadcast side has at most one row per calendar date.
+    The joined side has at most one row per calendar date.
     """
-    bench = F.broadcast(benchmark_returns(indicators, t=t))
+    bench = benchmark_returns(indicators, t=t)
     return indicators.join(bench, "date", "left").withColumn(
         "rs_vs_market", (F.col("ret_20d") - F.col("benchmark_ret_20d")) * 100)
 

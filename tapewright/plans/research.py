@@ -13,6 +13,7 @@ from ..operators.labels import exit_simulation, fixed_outcome
 from ..operators.ranking import average_rank, group_quantile, percentile_rank, top_k
 from ..operators.text import precedence_mentions
 from ..operators.timeseries import add_delivery_ratio, add_gap_features
+from ..session import cut_lineage
 from ..settings import DEFAULTS, HIGH_FREQUENCY_DESKS, Thresholds
 from .evaluation import best_first, daily_picks
 
@@ -64,8 +65,7 @@ def feature_frame(panel: DataFrame, indicators: DataFrame, sectors: DataFrame) -
     own = add_delivery_ratio(indicators).select(
         "symbol", "date", "deliv_ratio", "range_contraction_ratio")
     strength = sector_strength(indicators, sectors).select("date", "sector", "sector_pct")
-    # One row per calendar date.
-    day = F.broadcast(breadth_history(indicators))
+    day = breadth_history(indicators)
     return (
         panel.select("symbol", "date", "sector", "score", "screeners", "tradable_win", "upside_touched_20d")
         .join(own, ["symbol", "date"], "left").join(strength, ["date", "sector"], "left").join(day, "date", "left"))
@@ -79,45 +79,47 @@ def verdict(edge: Column, pos_win: Column, base: Column, pos_n: Column, neg_n: C
         .otherwise("none"))
 
 
-def split_tests(tests: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """Positive against negative cohort per test; an unknown feature counts as negative."""
-    out = None
+def split_tests(rows: DataFrame, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Positive against negative cohort per test; an unknown feature counts as negative.
+
+    A test is (universe, feature), both conditions on ``rows``.  All tests are counted in one
+    aggregate and unfolded into one row each.
+    """
+    counted = []
     for name, (universe, mask) in tests.items():
-        pos = is_true(mask)
+        pos, within = is_true(mask), is_true(universe)
 
         def rate(col: str, side: Column) -> Column:
             return F.avg(F.when(side, F.col(col))) * 100
 
-        row = universe.agg(
-            F.count_if(pos).alias("pos_n"), F.count_if(~pos).alias("neg_n"),
-            rate("win", pos).alias("pos_win"), rate("win", ~pos).alias("neg_win"),
-            rate("touch", pos).alias("pos_touch"), rate("touch", ~pos).alias("neg_touch"),
-            (F.avg("win") * 100).alias("base_win"),
-        ).withColumn("test", F.lit(name)).withColumn("edge", F.col("pos_win") - F.col("neg_win"))
-        row = row.withColumn("verdict", verdict(
-            F.col("edge"), F.col("pos_win"), F.col("base_win"), F.col("pos_n"), F.col("neg_n")))
-        out = row if out is None else out.unionByName(row)
-    return out
+        counted.append(F.struct(
+            F.count_if(within & pos).alias("pos_n"), F.count_if(within & ~pos).alias("neg_n"),
+            rate("win", within & pos).alias("pos_win"), rate("win", within & ~pos).alias("neg_win"),
+            rate("touch", within & pos).alias("pos_touch"), rate("touch", within & ~pos).alias("neg_touch"),
+            rate("win", within).alias("base_win"), F.lit(name).alias("test")))
+    out = rows.agg(F.array(*counted).alias("t")).select(F.inline("t")).withColumn("edge", F.col("pos_win") - F.col("neg_win"))
+    return out.withColumn("verdict", verdict(
+        F.col("edge"), F.col("pos_win"), F.col("base_win"), F.col("pos_n"), F.col("neg_n")))
 
 
 def feature_tests(features: DataFrame) -> DataFrame:
     """The five standing feature tests within the daily top 10 or top 40.
 
-    ``features`` is used several times; pass a stored table.  The shortlist is at most 40
-    rows per date, so its exact quantile state is bounded by the calendar.
+    The shortlist, at most 40 rows per date, is ranked once and stored; its exact quantile
+    state is bounded by the calendar.  ``features`` is read once more for the breadth of all days.
     """
-    short = ranked_shortlist(features, 40)
-    top10 = short.where(F.col("rank") <= 10)
+    short = cut_lineage(ranked_shortlist(features, 40), "shortlist")
+    top10, all_of_it = F.col("rank") <= 10, F.lit(True)
     per_day = resolved(features).where(F.col("breadth").isNotNull()).groupBy("date", "breadth").agg(
         F.count(F.lit(1)).alias("n"))
     median_breadth = per_day.agg(F.percentile("breadth", 0.5, F.col("n"))).scalar()
     tight = short.agg(F.percentile("range_contraction_ratio", 0.33)).scalar()
-    return split_tests({
+    return split_tests(short, {
         "F1 breadth": (top10, F.col("breadth") > median_breadth),
         "F1b benchmark trend": (top10, F.col("bench20") > 0),
-        "F2 sector strength": (short, F.col("sector_pct") >= 0.75),
-        "F3 delivery trend": (short, F.col("deliv_ratio") >= 1.3),
-        "F4 squeeze": (short, F.col("range_contraction_ratio") <= tight),
+        "F2 sector strength": (all_of_it, F.col("sector_pct") >= 0.75),
+        "F3 delivery trend": (all_of_it, F.col("deliv_ratio") >= 1.3),
+        "F4 squeeze": (all_of_it, F.col("range_contraction_ratio") <= tight),
     })
 
 

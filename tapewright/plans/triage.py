@@ -24,11 +24,11 @@ def recent_sessions(bars: DataFrame, as_of, n: int) -> DataFrame:
 def leadership(indicators: DataFrame, as_of, *, t: Thresholds = DEFAULTS) -> DataFrame:
     """Per symbol: 20-session strip, leader counts, pivot and emerging flags, sparkline.
 
-    Only the last 20 market dates are read (20 broadcast rows), so a symbol gathers at
+    Only the last 20 market dates are read (20 joined rows), so a symbol gathers at
     most 20 small structs.
     """
     cols = ["open", "high", "low", "close", "rel_volume"]
-    recent = indicators.join(F.broadcast(recent_sessions(indicators, as_of, t.strip_days)), "date")
+    recent = indicators.join(recent_sessions(indicators, as_of, t.strip_days), "date")
     per = recent.groupBy("symbol").agg(
         F.array_sort(F.collect_list(F.struct("slot", *cols, F.col("rs_vs_market").alias("rs")))).alias("r"),
         F.max("slots").alias("slots"))
@@ -80,7 +80,7 @@ def leadership_history(indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> Da
     Market dates are numbered, so "the last 20 sessions" is a range frame over the number
     and a symbol's absent days simply do not count.
     """
-    cal = F.broadcast(session_calendar(indicators).select("date", "session"))
+    cal = session_calendar(indicators).select("date", "session")
     lead = is_true(F.col("rs_vs_market") >= t.leader_rs).cast("int")
     w = Window.partitionBy("symbol").orderBy("session")
     back = w.rangeBetween(-(t.strip_days - 1), 0)

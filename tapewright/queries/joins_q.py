@@ -132,7 +132,7 @@ def j09(spark, sf):
   select i.symbol, i.date, round(d.breadth, 6) as breadth from ind i left join d on d.date = i.date""")
 def j10(spark, sf):
     ind = indicators(spark, sf).select("symbol", "date", "close", "sma50", "benchmark_ret_20d")
-    day = F.broadcast(RS.breadth_history(ind).select("date", "breadth"))      # one row per calendar date
+    day = RS.breadth_history(ind).select("date", "breadth")      # one row per calendar date
     return rounded(ind.select("symbol", "date").join(day, "date", "left"), "breadth")
 
 

@@ -112,10 +112,10 @@ def column_or_null(df: DataFrame, name: str) -> Column:
 def prefer_source(df: DataFrame, priority: str = "_priority", date: str = "date") -> DataFrame:
     """Keep each date only from its best-ranked source.
 
-    The per-date choice has one row per calendar date, so it is broadcast.
+    The per-date choice has one row per calendar date.
     """
     best = df.groupBy(date).agg(F.min(priority).alias("_best"))
-    return (df.join(F.broadcast(best), date)
+    return (df.join(best, date)
             .where(F.col(priority) == F.col("_best")).drop("_best", priority))
 
 

@@ -162,9 +162,9 @@ def test_generated_weight(spark, wins, n, want):
 def test_split_test_counts_unknown_as_negative(spark):
     rows = [(1.0, 1, 1)] * 50 + [(None, 0, 0)] * 50
     df = spark.createDataFrame(rows, "f double, win int, touch int")
-    r = RS.split_tests({"t": (df, F.col("f") > 0)}).first()
+    r = RS.split_tests(df, {"t": (F.lit(True), F.col("f") > 0)}).first()
     assert (r.pos_n, r.neg_n, r.edge, r.verdict) == (50, 50, 100.0, "EDGE")
-    few = RS.split_tests({"t": (df.limit(60), F.col("f") > 0)}).first()
+    few = RS.split_tests(df.limit(60), {"t": (F.lit(True), F.col("f") > 0)}).first()
     assert few.verdict == "n/a"
 
 
