@@ -59,7 +59,7 @@ class ContextTrees:
             code = (np.concatenate([code[:1] * 0, code[:-1]]) << np.uint64(8)) | data  # the last k bytes as one number
             whole = into >= k - 1
             nodes, at = np.unique(code[whole], return_inverse=True)
-            counts = np.bincount(at * many + language[whole], minlength=len(nodes) * many).reshape(-1, many).astype(float)
+            counts = np.bincount(at * many + language[whole], minlength=len(nodes) * many).reshape(len(nodes), many).astype(float)
             if k == 1:
                 before, shorter = np.zeros(len(nodes), np.int64), None
             else:
@@ -123,9 +123,10 @@ def labelled_sample(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, lang:
     )
     rows = rows.withColumn("n", F.octet_length("text")).where(F.col("n") <= sample_bytes // 10)
     rows = rows.withColumn("h", F.xxhash64("text"))
-    share = rows.groupBy("lang").agg(F.sum("n").alias("all"))
-    chosen = rows.join(share, "lang").where((F.col("h").cast("double") / 2.0**63 + 1) / 2 <= sample_bytes / F.col("all"))
-    samples: dict[str, list[bytes]] = {r["lang"]: [] for r in share.select("lang").collect()}
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    share = F.create_map(*(F.lit(x) for name, n in totals.items() for x in (name, sample_bytes / n))) if totals else None
+    chosen = rows.where((F.col("h").cast("double") / 2.0**63 + 1) / 2 <= share[F.col("lang")]) if totals else rows.limit(0)
+    samples: dict[str, list[bytes]] = {name: [] for name in totals}
     room = dict.fromkeys(samples, sample_bytes)
     for r in chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h", "text").toLocalIterator():
         data = r["text"].encode()
