@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.session import cut_lineage
+
 from .arrays import find_words, pieces, ranges, super_kmers, text_bytes, word_hashes
 from .columns import text_or_empty
 
@@ -168,6 +170,7 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
         .where("n > 1 AND known < last" if later_only else "n > 1")
         .select("mini", "known", (F.col("low") != F.col("high")).alias("contested"))
     )
+    shared = cut_lineage(shared, "shared-minimisers")  # the join then meets two plain exchanges, which may be split where a key is hot
     # both uses of this join need all its columns, so both read one exchange of the runs
     marked = runs.join(shared, "mini")
     place = F.struct("id", "hash", "start", "windows", "mini")
