@@ -8,10 +8,12 @@ candidate only if that holds under every one of several orders; only then are th
 * All orders put frequent tokens last. Frequency is read from a table of counters of fixed size, filled from all
   documents; tokens of one frequency level are ordered by a hash, and each order has its own hash. An order need not
   know exact frequencies, it only has to be the same for all documents, so no link is lost.
-* The first order makes the postings. In every posting list each class meets the list's first ``LEADERS`` classes,
-  which is every other class in a short list. In longer lists the classes still in another component than most of the
+* The first order makes the postings. A pair counts at a token only if enough of both sets is left from there on. In
+  every posting list each class meets the list's first ``LEADERS`` classes, those with the fewest rarer tokens, which
+  is every other class in a short list. In longer lists the classes still in another component than most of the
   list then meet all of the list from other components. Pairs inside one component are not looked at, so a group of
   near copies costs about its size, and no link between components is missed.
+* Before any set travels, pairs are dropped whose counts over 128 token classes differ by more than linked sets can.
 * Candidates are compared where the leader's set is; members' sets come by, sorted behind it, one at a time. Common
   leaders are spread over salted copies.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.session import cut_lineage
@@ -40,9 +42,11 @@ PERCENT = 85
 #: Seeds of the token orders.
 ORDERS = (1, 2, 3)
 #: Counters of the frequency table, as a power of two, and counters per row of it.
-COUNTER_BITS = 22
+COUNTER_BITS = 24
 SLICE_BITS = 16
-LEADERS = 8
+LEADERS = 4
+#: Token classes that are counted per document to tell unlike sets apart before any set travels.
+SPREAD = 128
 #: Members of a leader per salted copy of its set.
 MEMBERS_PER_COPY = 2000
 
@@ -65,20 +69,37 @@ def set_digest(tokens: np.ndarray) -> int:
     return int(mix(np.bitwise_xor.reduce(mix(tokens), keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0]) if len(tokens) else 0
 
 
+def spread(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of ``SPREAD`` classes (255: as many or more)."""
+    return np.minimum(np.bincount((tokens % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes()
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
 class TokenOrder:
-    """Keys that order tokens: frequency level first, then a hash of the order's own."""
+    """Keys that order tokens: frequency level first, then a hash of the order's own.
+
+    The first order has a level per count up to 127 and eight per doubling beyond; the others have coarse levels, which
+    tell common tokens from the rest and leave the order among the rest to their hashes.
+    """
 
-    def __init__(self, counters: np.ndarray):
-        self.counters, self.shift = counters, np.uint64(64 - int(len(counters)).bit_length() + 1)
-        self.unit = 2 * int(counters.sum(dtype=np.int64)) // len(counters) + 1
+    def __init__(self, fine: np.ndarray):
+        self.fine, self.shift = fine, np.uint64(64 - int(len(fine)).bit_length() + 1)
+        every = np.arange(256.0)
+        counts = np.where(every < 128, every, 128 * 2 ** ((every - 128) / 8))
+        unit = 2 * (np.bincount(fine, minlength=256) @ counts) // len(fine) + 1
+        self.coarse = np.frexp(counts // unit)[1].astype(np.uint8)
+
+    @staticmethod
+    def levels(counters: np.ndarray) -> np.ndarray:
+        beyond = 128 + 8 * np.log2(np.clip(counters, 128, 2**23) / 128)
+        return np.where(counters < 128, counters, np.minimum(beyond, 255)).astype(np.uint8)
 
     def keys(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        count = self.counters[(mix(tokens) >> self.shift).astype(np.int64)] // self.unit
-        level = np.frexp(count.astype(np.float64))[1].astype(np.uint64)
+        level = self.fine[(mix(tokens) >> self.shift).astype(np.int64)]
+        level = (level if order == ORDERS[0] else self.coarse[level]).astype(np.uint64)
         return (level << np.uint64(56)) | (mix(tokens ^ np.uint64(0x51ED270B * order)) >> np.uint64(8))
 
     def prefix(self, tokens: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
@@ -91,21 +112,22 @@ def _profiles():
     """One row per document, and at the end of the task its counters in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
-        names = ["id", "hash", "n", "class", "slice", "counts"]
+        counters = np.zeros(1 << COUNTER_BITS, np.uint16)
+        names = ["id", "hash", "n", "class", "spread", "slice", "counts"]
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column(2))
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            np.add.at(counters, (mix(every) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            at, times = np.unique((mix(every) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
+            counters[at] = np.minimum(counters[at] + times, 65_000)
             nothing = pa.nulls(len(sets))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_digest, sets), pa.int64()),
-                 nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+                 pa.array(map(spread, sets), pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         for k, part in enumerate(np.minimum(counters, 255).astype(np.uint8).reshape(-1, 1 << SLICE_BITS)):
             if part.any():
                 yield pa.record_batch(
                     [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                     pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                     pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
 
     return run
 
@@ -114,25 +136,25 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
+            sums[k] = sums.get(k, 0) + np.frombuffer(pa.decompress(counts, 1 << SLICE_BITS, "zstd", asbytes=True), np.uint8).astype(np.int64)
     if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([TokenOrder.levels(v).tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
 
 def token_order(profiles: DataFrame) -> TokenOrder:
     """The frequency table has a fixed number of counters, whatever the input."""
-    counters = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
+    levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
     slices = profiles.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
     for r in slices.mapInArrow(_summed, "slice int, counts binary").toLocalIterator():
-        counters[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return TokenOrder(np.minimum(counters.ravel(), 2**31 - 1).astype(np.int32))
+        levels[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+    return TokenOrder(levels.ravel())
 
 
 def _postings(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in pieces(batches, "text"):
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column(2)):
                 digest = set_digest(s)
                 if len(s) and digest not in seen:  # copies within the task add nothing
@@ -140,22 +162,32 @@ def _postings(shared, percent: int):
                         seen.add(digest)
                     p = order.prefix(s, ORDERS[0], percent)
                     tokens.append(p)
+                    places.append(np.arange(len(p)))
                     classes.append(digest)
                     sizes.append((len(p), len(s)))
             if tokens:
                 counts = [a for a, _ in sizes]
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(classes, counts)), pa.array(np.repeat([b for _, b in sizes], counts))],
-                    ["token", "class", "n"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(classes, counts)), pa.array(np.repeat([b for _, b in sizes], counts)),
+                     pa.array(np.concatenate(places))],
+                    ["token", "class", "n", "place"],
                 )
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        sets = shingle_sets(batch.column(1))
-        yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
+def _sets_by_request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of a text for every comparison it takes part in."""
+    for batch in pieces(batches, "text", 200_000):
+        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(0))], pa.binary())
+        lists = batch.column(1)
+        row = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+        asked = lists.flatten()
+        for at in range(0, len(row), 2000):
+            part = asked.slice(at, 2000)
+            yield pa.record_batch(
+                [part.field("leader"), part.field("member"), part.field("salt"), sets.take(row.slice(at, 2000))], ["leader", "member", "salt", "tokens"]
+            )
 
 
 def _compared(shared, percent: int):
@@ -182,56 +214,89 @@ def _compared(shared, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, shared, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, shared, percent: int) -> DataFrame:
     """Links among (leader, member) pairs. Each member's set travels once per leader, a leader's once per copy."""
     copies = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_PER_COPY).cast("int").alias("copies"))
-    salted = pairs.join(copies, "leader").withColumn("salt", F.pmod(F.col("member"), F.col("copies")).cast("int"))
-    members = salted.join(sets.withColumnRenamed("class", "member"), "member").select("leader", "member", "salt", "tokens")
-    leaders = copies.select("leader", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")).join(
-        sets.withColumnRenamed("class", "leader"), "leader"
+    members = pairs.join(copies, "leader").select(
+        F.col("member").alias("class"), "leader", "member", F.pmod(F.col("member"), F.col("copies")).cast("int").alias("salt")
     )
-    together = leaders.select("leader", F.lit(None).cast("long").alias("member"), "salt", "tokens").union(members)
-    ordered = together.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
+    leaders = copies.select(
+        F.col("leader").alias("class"), "leader", F.lit(None).cast("long").alias("member"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
+    )
+    # a class takes part in a bounded number of comparisons per list it is in, so its requests are a short list
+    asked = leaders.union(members).groupBy("class").agg(F.collect_list(F.struct("leader", "member", "salt")).alias("asked"))
+    sets = texts.join(asked, "class").select("text", "asked").mapInArrow(_sets_by_request, "leader long, member long, salt int, tokens binary")
+    ordered = sets.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
     return ordered.select("leader", "member", "tokens").mapInArrow(_compared(shared, percent), "u long, v long")
 
 
+def _not_apart(pairs: DataFrame, spreads: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose counts per token class allow a link.
+
+    The counts of two sets differ by at most the number of tokens that only one of them has, and linked sets have at
+    most (100 - percent) / (100 + percent) of their summed sizes of those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SPREAD).astype(np.int16) for k in (3, 4)]
+            apart = np.abs(counts[0] - counts[1]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * batch.column(2).to_numpy()
+            yield pa.record_batch(batch.columns[:2], ["leader", "member"]).filter(pa.array(near))
+
+    side = lambda name: spreads.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("spread").alias(f"spread_{name}"))
+    both = pairs.join(side("leader"), "leader").join(side("member"), "member")
+    return both.select("leader", "member", F.col("n_leader") + F.col("n_member"), "spread_leader", "spread_member").mapInArrow(run, "leader long, member long")
+
+
 def _fitting(percent: int):
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("leader") != F.col("member"))
+    """Whether this may be the first common token of a linked pair.
+
+    The sizes must allow a link, and so must what is left of both sets from this token on: linked sets have at least
+    percent / (100 + percent) of their summed sizes in common, and all of it from their first common token on.
+    """
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
+    return (
+        (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        & ((100 + percent) * left >= percent * (F.col("n") + F.col("m")))
+        & (F.col("leader") != F.col("member"))
+    )
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, hash, n_shingles, component): every row with the size of its set and the smallest id it is connected to."""
     rows = keyed(docs, id_name, text)
     profiles = cut_lineage(
-        rows.mapInArrow(_profiles(), "id long, hash int, n long, class long, slice int, counts binary"), "shingle-profiles"
+        rows.mapInArrow(_profiles(), "id long, hash int, n long, class long, spread binary, slice int, counts binary"), "shingle-profiles"
     )
     order = token_order(profiles)
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    people = profiles.where("slice IS NULL").select("id", "hash", "n", "class")
+    people = profiles.where("slice IS NULL").select("id", "hash", "n", "class", "spread")
     postings = (
-        rows.mapInArrow(_postings(shared, percent), "token long, class long, n long")
-        .repartition("token")  # one exchange for the lists, their sizes and the join of both
+        rows.mapInArrow(_postings(shared, percent), "token long, class long, n long, place long")
+        .repartition("token")  # one exchange for the lists and their sizes
         .groupBy("token", "class")
-        .agg(F.first("n").alias("n"))
+        .agg(F.first("n").alias("n"), F.first("place").alias("place"))
     )
-    met = postings.groupBy("token").agg(F.count("*").alias("size"))
-    lists = cut_lineage(postings.join(met.where("size > 1"), "token"), "postings")
+    lists = cut_lineage(postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"), "postings")
     ranked = F.row_number().over(_by_token())
-    leading = lists.select("token", F.col("class").alias("leader"), F.col("n").alias("m"), ranked.alias("k")).where(F.col("k") <= LEADERS)
+    leading = lists.select("token", F.col("class").alias("leader"), F.col("n").alias("m"), F.col("place").alias("q"), ranked.alias("k")).where(F.col("k") <= LEADERS)
     first_pairs = (
         lists.withColumnRenamed("class", "member").join(leading, "token").where(_fitting(percent))
         .select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
     )
-    chosen = people.join(lists.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "hash")).alias("p"))
-    sets = cut_lineage(
-        rows.join(chosen.select("p.id", "p.hash", "class"), ["id", "hash"]).dropDuplicates(["class"]).select("class", "text")
-        .mapInArrow(_sets, "class long, tokens binary"), "shingle-sets",
-    )
-    links = cut_lineage(_verify(first_pairs, sets, shared, percent), "jaccard-links")
+    chosen = people.join(lists.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "hash", "n", "spread")).alias("p"))
+    texts = cut_lineage(
+        rows.join(chosen.select("p.id", "p.hash", "class"), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("class", "text"), "shingle-texts"
+    )
+    spreads = cut_lineage(chosen.select("class", "p.n", "p.spread"), "shingle-spreads")
+    first_pairs = cut_lineage(_not_apart(first_pairs, spreads, percent), "jaccard-pairs")
+    links = cut_lineage(_verify(first_pairs, texts, shared, percent), "jaccard-links")
     labels = connected_components(links)
-    rest = cut_lineage(_pairs_between(lists.where(F.col("size") > LEADERS + 1), labels, percent), "jaccard-pairs")
+    rest = _pairs_between(lists.where(F.col("size") > LEADERS + 1), labels, percent)
+    rest = cut_lineage(_not_apart(rest, spreads, percent), "jaccard-pairs")
     if not rest.isEmpty():
-        labels = connected_components(links.union(_verify(rest, sets, shared, percent)))
+        labels = connected_components(links.union(_verify(rest, texts, shared, percent)))
     smallest = people.where("n > 0").groupBy("class").agg(F.min("id").alias("own"))
     of_class = smallest.join(labels.select(F.col("u").alias("class"), F.col("v").alias("label")), "class", "left").withColumn(
         "label", F.coalesce("label", "class")
@@ -243,9 +308,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_
 
 
 def _by_token():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("token").orderBy("class")
+    """Classes with the fewest rarer tokens first: the middle of a group of near copies leads it."""
+    return Window.partitionBy("token").orderBy("place", "class")
 
 
 def _pairs_between(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -256,9 +320,9 @@ def _pairs_between(lists: DataFrame, labels: DataFrame, percent: int) -> DataFra
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     mixed = labelled.join(largest.select("token", F.col("top.label").alias("top")), "token")
-    minor = mixed.where("label != top").select("token", F.col("class").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
+    minor = mixed.where("label != top").select("token", F.col("class").alias("leader"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("label").alias("other"))
     return (
-        mixed.select("token", F.col("class").alias("member"), "n", "label").join(minor, "token")
+        mixed.select("token", F.col("class").alias("member"), "n", "place", "label").join(minor, "token")
         .where(_fitting(percent) & (F.col("label") != F.col("other")))
         .select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
     )
