@@ -1,7 +1,7 @@
 """N-gram Jaccard join with several global token orders.
 
-A document is the set of its distinct 4-word shingles. Sets with intersection over union of at least 0.85 share a
-token among the first n - ceil(0.85 n) + 1 tokens of each under *any* common order of all tokens. A pair is a
+A document is the set of its distinct word shingles, of four words unless told otherwise. Sets with intersection over
+union of at least 0.85 (``percent``) share a token among the first n - ceil(0.85 n) + 1 tokens of each under *any* common order of all tokens. A pair is a
 candidate only if that holds under every one of several orders; only then are the whole sets compared.
 
 * Equal sets are one class from the start; everything below is about classes.
@@ -17,8 +17,8 @@ candidate only if that holds under every one of several orders; only then are th
 * Candidates are compared where the leader's set is; members' sets come by, sorted behind it, one at a time. Common
   leaders are spread over salted copies.
 
-Defined cases: null or empty text has no shingles and links with nothing. Under four words the whole sequence is the
-one shingle. A null id sorts after all ids; a component of only such rows has a null id. Repeated rows stay.
+Defined cases: null or empty text has no shingles and links with nothing. Under a shingle's words the whole sequence is
+the one shingle. A null id sorts after all ids; a component of only such rows has a null id. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -108,14 +108,14 @@ class TokenOrder:
         return np.sort(np.partition(keys, size - 1)[:size]) if size else keys
 
 
-def _profiles():
+def _profiles(shingle: int):
     """One row per document, and at the end of the task its counters in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, np.uint16)
         names = ["id", "hash", "n", "class", "spread", "slice", "counts"]
         for batch in pieces(batches, "text"):
-            sets = shingle_sets(batch.column(2))
+            sets = shingle_sets(batch.column(2), shingle)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at, times = np.unique((mix(every) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
             counters[at] = np.minimum(counters[at] + times, 65_000)
@@ -150,12 +150,12 @@ def token_order(profiles: DataFrame) -> TokenOrder:
     return TokenOrder(levels.ravel())
 
 
-def _postings(shared, percent: int):
+def _postings(shared, percent: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in pieces(batches, "text"):
             tokens, classes, sizes, places = [], [], [], []
-            for s in shingle_sets(batch.column(2)):
+            for s in shingle_sets(batch.column(2), shingle):
                 digest = set_digest(s)
                 if len(s) and digest not in seen:  # copies within the task add nothing
                     if len(seen) < 1_000_000:
@@ -176,18 +176,22 @@ def _postings(shared, percent: int):
     return run
 
 
-def _sets_by_request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_by_request(shingle: int):
     """The set of a text for every comparison it takes part in."""
-    for batch in pieces(batches, "text", 200_000):
-        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(0))], pa.binary())
-        lists = batch.column(1)
-        row = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
-        asked = lists.flatten()
-        for at in range(0, len(row), 2000):
-            part = asked.slice(at, 2000)
-            yield pa.record_batch(
-                [part.field("leader"), part.field("member"), part.field("salt"), sets.take(row.slice(at, 2000))], ["leader", "member", "salt", "tokens"]
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 200_000):
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(0), shingle)], pa.binary())
+            lists = batch.column(1)
+            row = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+            asked = lists.flatten()
+            for at in range(0, len(row), 2000):
+                part = asked.slice(at, 2000)
+                yield pa.record_batch(
+                    [part.field("leader"), part.field("member"), part.field("salt"), sets.take(row.slice(at, 2000))], ["leader", "member", "salt", "tokens"]
+                )
+
+    return run
 
 
 def _compared(shared, percent: int):
@@ -214,7 +218,7 @@ def _compared(shared, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, shared, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, shared, percent: int, shingle: int) -> DataFrame:
     """Links among (leader, member) pairs. Each member's set travels once per leader, a leader's once per copy."""
     copies = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_PER_COPY).cast("int").alias("copies"))
     members = pairs.join(copies, "leader").select(
@@ -225,7 +229,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared, percent: int) -> DataFra
     )
     # a class takes part in a bounded number of comparisons per list it is in, so its requests are a short list
     asked = leaders.union(members).groupBy("class").agg(F.collect_list(F.struct("leader", "member", "salt")).alias("asked"))
-    sets = texts.join(asked, "class").select("text", "asked").mapInArrow(_sets_by_request, "leader long, member long, salt int, tokens binary")
+    sets = texts.join(asked, "class").select("text", "asked").mapInArrow(_sets_by_request(shingle), "leader long, member long, salt int, tokens binary")
     ordered = sets.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
     return ordered.select("leader", "member", "tokens").mapInArrow(_compared(shared, percent), "u long, v long")
 
@@ -263,17 +267,17 @@ def _fitting(percent: int):
     )
 
 
-def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, hash, n_shingles, component): every row with the size of its set and the smallest id it is connected to."""
     rows = keyed(docs, id_name, text)
     profiles = cut_lineage(
-        rows.mapInArrow(_profiles(), "id long, hash int, n long, class long, spread binary, slice int, counts binary"), "shingle-profiles"
+        rows.mapInArrow(_profiles(shingle), "id long, hash int, n long, class long, spread binary, slice int, counts binary"), "shingle-profiles"
     )
     order = token_order(profiles)
     shared = docs.sparkSession.sparkContext.broadcast(order)
     people = profiles.where("slice IS NULL").select("id", "hash", "n", "class", "spread")
     postings = (
-        rows.mapInArrow(_postings(shared, percent), "token long, class long, n long, place long")
+        rows.mapInArrow(_postings(shared, percent, shingle), "token long, class long, n long, place long")
         .repartition("token")  # one exchange for the lists and their sizes
         .groupBy("token", "class")
         .agg(F.first("n").alias("n"), F.first("place").alias("place"))
@@ -291,12 +295,12 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_
     )
     spreads = cut_lineage(chosen.select("class", "p.n", "p.spread"), "shingle-spreads")
     first_pairs = cut_lineage(_not_apart(first_pairs, spreads, percent), "jaccard-pairs")
-    links = cut_lineage(_verify(first_pairs, texts, shared, percent), "jaccard-links")
+    links = cut_lineage(_verify(first_pairs, texts, shared, percent, shingle), "jaccard-links")
     labels = connected_components(links)
     rest = _pairs_between(lists.where(F.col("size") > LEADERS + 1), labels, percent)
     rest = cut_lineage(_not_apart(rest, spreads, percent), "jaccard-pairs")
     if not rest.isEmpty():
-        labels = connected_components(links.union(_verify(rest, texts, shared, percent)))
+        labels = connected_components(links.union(_verify(rest, texts, shared, percent, shingle)))
     smallest = people.where("n > 0").groupBy("class").agg(F.min("id").alias("own"))
     of_class = smallest.join(labels.select(F.col("u").alias("class"), F.col("v").alias("label")), "class", "left").withColumn(
         "label", F.coalesce("label", "class")

@@ -46,3 +46,13 @@ def test_whole_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert 0 < len(out) < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(len(r["ids"]) == r["n_tokens"] for r in out) and len({r["doc_id"] for r in out}) == len(out)
+
+
+def test_near_copies_of_five_word_shingles(spark, sf_dir):
+    words = [f"w{i}" for i in range(204)]  # 200 shingles of five words
+    edited = lambda a, z: " ".join(words[:a] + [f"new{i}" for i in range(a, z)] + words[z:])
+    # a contiguous edit of k words loses k + 4 shingles of five: 178 / 222 is 0.802 (4 words: 180 / 222 is 0.811), 177 / 223 is 0.794
+    texts = [" ".join(words), edited(80, 98), edited(80, 99).replace("w", "v"), " ".join(words).replace("w", "v"), "a b", "a b", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 6]
