@@ -7,8 +7,8 @@ segment that a document holds lies whole in one passage. Postings are kept in bl
 their largest weight. For all passages of a batch at once, the largest weights of their terms are summed per block;
 blocks that cannot reach the threshold are skipped, and in the others block-max WAND walks the postings, which
 returns all segments at or above the threshold. Each (document, item) found is then verified: 0.8 of the five-word
-shingles of the item's question must be in the document and half of the words of its answer in the passage. The
-answer is the last sentence of an item, the question what is before it (an item of one sentence is both).
+shingles of the item's question must be in the document and half of the words of its answer in the passages of the
+document that segments of the item were found in, with 64 words around each. The answer is the last sentence of an item, the question what is before it (an item of one sentence is both).
 
 The index goes to executors in shards of bounded size; a benchmark larger than a shard is searched shard by shard,
 with statistics of the shard, as search engines do. Documents are not shuffled.
@@ -191,26 +191,30 @@ def search_batch(texts: pa.Array, index: BlockMaxIndex, threshold: float = THRES
         keys.append(((base[own] + block - shift)[ok].astype(np.uint64) << np.uint64(32)) | term[known[ok]].astype(np.uint64))
     keys = np.unique(np.concatenate(keys))
     passage, terms = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    best = np.bincount(passage, weights=index.largest[terms], minlength=len(row))
-    able = best[passage] >= threshold - 1e-9
+    bound = np.bincount(passage, weights=index.largest[terms], minlength=len(row))
+    able = bound[passage] >= threshold - 1e-9
     passage, terms = passage[able], terms[able]
     asked, block = index.promising(passage, terms, threshold)
     lo, hi = np.searchsorted(passage, asked), np.searchsorted(passage, asked, side="right")
-    found: dict[tuple[int, int], tuple[float, int]] = {}
+    found: dict[tuple[int, int], tuple[float, set[int]]] = {}  # best score and all passages
     for p, k, a, b in zip(asked.tolist(), block.tolist(), lo.tolist(), hi.tolist(), strict=True):
         for segment, score in index.search(terms[a:b].tolist(), threshold, k):
             key = int(row[p]), index.item_of[segment]
-            found[key] = max(found.get(key, (0.0, p)), (score, p), key=lambda x: x[0])
+            best_score, places = found.get(key, (0.0, set()))
+            places.add(p)
+            found[key] = max(best_score, score), places
     out, grams = [], {}
     prefix = prefix_hashes(words) if found else None
-    for (r, i), (score, p) in found.items():
+    for (r, i), (score, places) in found.items():
         _, (size, shingles), answer = index.items[i]
         if size not in grams:
             grams[size] = window_hashes(prefix, size)
         here = grams[size][rows[r] : max(rows[r], rows[r + 1] - size + 1)]
         question_share = float(np.isin(shingles, here).mean())
-        span = slice(max(rows[r], first[p] - SEGMENT), min(rows[r + 1], last[p] + SEGMENT))
-        answer_share = float(np.isin(answer, words[span]).mean())
+        near = np.zeros(rows[r + 1] - rows[r], bool)  # an item of several segments is found in several passages
+        for p in places:
+            near[max(0, first[p] - SEGMENT - rows[r]) : last[p] + SEGMENT - rows[r]] = True
+        answer_share = float(np.isin(answer, words[rows[r] : rows[r + 1]][near]).mean())
         if question_share >= QUESTION_SHARE and answer_share >= ANSWER_SHARE:
             out.append((r, i, score, question_share, answer_share))
     return sorted(out)

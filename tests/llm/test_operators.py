@@ -356,6 +356,20 @@ def test_planted_items_are_found(spark, small, sf_dir, awkward, empty):
     assert decontaminate.find_leaks(awkward, odd.limit(0)).count() == 0 and decontaminate.without_leaks(empty, odd).count() == 0
 
 
+@pytest.mark.parametrize("answer", [12, 300])
+def test_items_of_many_segments_are_found_whole(spark, answer):
+    r = random.Random(8)
+    sentence = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+    item = " ".join([*(sentence(10) for _ in range((400 - answer) // 10)), sentence(answer)])
+    items = spark.createDataFrame([(1, item), (2, sentence(30))], "item_id long, text string")
+    # the place of the item moves against the passages; the last document has the question only
+    rows = [(i, f"{sentence(17 * i + 1)} {item} {sentence(200)}") for i in range(8)] + [(8, item.rsplit(". ", 1)[0] + ". " + sentence(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in found) == [(i, 1) for i in range(8)] and all(x["answer_share"] == 1 for x in found)
+    assert [x["doc_id"] for x in decontaminate.without_leaks(docs, items).collect()] == [8]
+
+
 # --- URL and quality rules -------------------------------------------------------------------------------------------
 
 
