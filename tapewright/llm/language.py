@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import pieces, text_bytes
@@ -30,7 +30,7 @@ from .columns import text_or_empty
 UNDETERMINED = "und"
 #: Longest context in bytes.
 ORDER = 4
-#: Bytes of labelled text that are learned per language, taken as whole rows in the order of a content hash.
+#: Bytes of labelled text that are learned per language, taken as distinct texts in the order of a content hash.
 SAMPLE_BYTES = 300_000
 
 
@@ -113,19 +113,26 @@ class ContextTrees:
 
 
 def labelled_sample(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, lang: str = "lang", text: str = "text") -> dict[str, list[bytes]]:
-    """At most ``sample_bytes`` of whole distinct texts per language, chosen by a hash of their content.
+    """At most ``sample_bytes`` of distinct texts per language, chosen by a hash of their content.
 
-    The share of a language is the bound over its bytes, so no language is ordered or gathered as a whole; a text
-    over a tenth of the bound is left to the others.
+    The share of a language is the bound over the bytes of its distinct texts, so no language is ordered or gathered
+    as a whole. A text over a tenth of the bound is left to the others where those fill the bound. Where they do not,
+    such texts follow by their hash; the last of them is cut at the bound.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    rows = rows.withColumn("n", F.octet_length("text")).where(F.col("n") <= sample_bytes // 10)
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
-    share = F.create_map(*(F.lit(x) for name, n in totals.items() for x in (name, sample_bytes / n))) if totals else None
-    chosen = rows.where((F.col("h").cast("double") / 2.0**63 + 1) / 2 <= share[F.col("lang")]) if totals else rows.limit(0)
+    rows = rows.withColumn("n", F.octet_length("text")).withColumn("h", F.xxhash64("text"))
+    short = F.col("n") <= sample_bytes // 10
+    # copies are one row of (language, hash, bytes) from here on; per language come back its bytes and its first long texts
+    distinct = rows.groupBy("lang", "h").agg(F.min("n").alias("n"))
+    totals = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum(F.when(short, F.col("n")).otherwise(0)).alias("n")).collect()}
+    scarce = [name for name, n in totals.items() if n < sample_bytes]
+    # each is over a tenth of the bound, so ten of them fill it
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    following = distinct.where(F.col("lang").isin(scarce) & ~short).withColumn("k", rank).where("k <= 10").collect() if scarce else []
+    share = F.create_map(*(F.lit(x) for name, n in totals.items() for x in (name, sample_bytes / max(n, 1)))) if totals else None
+    chosen = rows.where(short & ((F.col("h").cast("double") / 2.0**63 + 1) / 2 <= share[F.col("lang")])) if totals else rows.limit(0)
     samples: dict[str, list[bytes]] = {name: [] for name in totals}
     room = dict.fromkeys(samples, sample_bytes)
     for r in chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h", "text").toLocalIterator():
@@ -133,6 +140,15 @@ def labelled_sample(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, lang:
         if len(data) <= room[r["lang"]]:
             room[r["lang"]] -= len(data)
             samples[r["lang"]].append(data)
+    if following:
+        asked = {(r["lang"], r["h"]) for r in following}
+        longer = rows.where(~short & F.col("lang").isin(scarce) & F.col("h").isin([h for _, h in asked]))
+        longer = longer.select("lang", "h", F.substring("text", 1, sample_bytes).alias("text"))
+        for r in longer.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toLocalIterator():
+            data = r["text"].encode()[: room[r["lang"]]].decode("utf-8", "ignore").encode()  # ends with a whole character
+            if (r["lang"], r["h"]) in asked and data:
+                room[r["lang"]] -= len(data)
+                samples[r["lang"]].append(data)
     return {k: v for k, v in samples.items() if v}
 
 

@@ -243,6 +243,22 @@ def test_language_of_held_out_documents(small):
     assert (found.lang_pred == found.lang).mean() > 0.98 and found.score.between(0, 1).all()
 
 
+def test_copies_and_long_texts_leave_the_sample_full(spark):
+    r = random.Random(6)
+    text = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [("copied", text("abc ", 1000))] * 400 + [("copied", text("abc ", 1000)) for _ in range(20)]
+    rows += [("long", text("äöü ", 5000)) for _ in range(30)] + [("mixed", text("xyz ", 5000)), ("mixed", text("xyz ", 900))]
+    rows += [("short", text("mno ", 500)) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    samples = language.labelled_sample(docs, 20_000)
+    size = {k: sum(map(len, v)) for k, v in samples.items()}
+    assert size["copied"] >= 19_000 and len(set(samples["copied"])) == len(samples["copied"])  # 21 distinct texts of 1000 bytes
+    assert 19_999 <= size["long"] <= 20_000 and size["mixed"] == 5900 and 10_000 <= size["short"] <= 20_000
+    assert all(x.decode() for x in samples["long"])
+    few = language.labelled_sample(docs.where("lang = 'copied'").limit(400), 20_000)
+    assert few["copied"]
+
+
 def test_code_lengths_follow_the_definition():
     r = random.Random(2)
     samples = {x: ["".join(r.choice(letters) for _ in range(200)).encode() for _ in range(3)] for x, letters in (("a", "abc "), ("b", "bcde"))}
