@@ -2,7 +2,7 @@
 
 Every context has a restaurant: its customers are the training tokens that follow the context, its tables serve words,
 and each table sends one customer to the parent restaurant that all contexts share. A context is the word before a
-token, hashed into ``CONTEXTS`` classes (one more class is the start of a text). The base measure of the parent is
+token (or the start of a text), told apart by its 64-bit hash. The base measure of the parent is
 diffuse: each new table of the parent is a new word, so the probability of *some word never seen* is the parent's
 new-table probability, and the probabilities of all known words and of the unknown one sum to 1.
 
@@ -16,8 +16,11 @@ choose together. After the burn-in sweeps the predictive probabilities of the ke
 text is the sum of their logarithms.
 
 How it runs. Documents are packed into chunks: a list of distinct (word, context) cells with counts, and a cell number
-for each token. Cells go to the bucket of their word, so all that a word needs but the totals per context (a vector of
-fixed length) is in one place, whatever the word's frequency. A bucket replays its sweeps from a fixed seed, so a lost
+for each token. Cells go to the bucket of their word, so all that a word needs but the totals per context is in one
+place, whatever the word's frequency. A bucket knows its contexts by name; its share of their totals goes to the part
+of the context, one number per bucket and context, and the sums come back to the buckets that asked. A cell with one
+customer has one table in every sweep, so sweeps only read and send the cells with more (``alone`` has what the others
+add to their words); the last one answers for all contexts. A bucket replays its sweeps from a fixed seed, so a lost
 task repeats itself exactly. The probabilities return to the chunks that asked, and each chunk sums them by document.
 What is shuffled are cells, not tokens: a word is one row per chunk and context, however often it occurs.
 
@@ -41,6 +44,7 @@ from tapewright.session import cut_lineage
 from .arrays import LOWER, find_words, mix, pieces, ranges, text_bytes, word_hashes
 from .columns import text_or_empty
 
+#: Contexts of cells that come without names.
 CONTEXTS = 512
 #: Sweeps, and how many of them at the end are averaged.
 SWEEPS, KEPT = 4, 2
@@ -48,6 +52,8 @@ CONCENTRATION = 1.0
 #: Tokens per chunk.
 CHUNK_TOKENS = 1_200_000
 END = mix(np.array([1], np.uint64))[0]
+#: The context of a text's first token, before all others.
+START = np.uint64(0)
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -63,8 +69,21 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _longs(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed in the same way."""
+    planes = np.ascontiguousarray(numbers.astype("<i8", copy=False).reshape(-1).view(np.uint8).reshape(-1, 8).T)
+    return numbers.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) if numbers.size else b""
+
+
+def _from_longs(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    planes = pa.decompress(data[8:], 8 * int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash and context class of every token, and the n + 1 token offsets of the rows."""
+    """Word hash of every token, whether it begins a row, and the n + 1 token offsets of the rows."""
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, rows = find_words(data, offsets)
@@ -73,15 +92,14 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = np.empty(bounds[-1], np.uint64)
     tokens[ranges(bounds[:-1], np.diff(rows))] = word_hashes(data, starts, ends)
     tokens[bounds[1:] - 1] = END
-    context = np.zeros(len(tokens), np.uint16)
-    context[1:] = 1 + (mix(tokens[:-1]) % np.uint64(CONTEXTS)).astype(np.uint16)
-    context[bounds[:-1]] = 0
-    return tokens, context, bounds
+    begins = np.zeros(len(tokens), bool)
+    begins[bounds[:-1]] = True
+    return tokens, begins, bounds
 
 
 CHUNK_SCHEMA = (
     "chunk long, bucket int, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
-    "words binary, cells binary, contexts binary, counts binary"
+    "words binary, cells binary, contexts binary, counts binary, names binary"
 )
 _NAMES = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
@@ -90,26 +108,30 @@ def _packed(bits: int, chunk_tokens: int):
     """Chunks (bucket -1) and their cells by bucket of the word; a bucket is the upper bits of the word's hash."""
 
     def finish(number: int, parts: list) -> pa.RecordBatch:
-        tokens, context, train = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        tokens, begins, train = (np.concatenate([p[k] for p in parts]) for k in range(3))
         words, which = np.unique(tokens, return_inverse=True)
         parts[:] = [p[3:] for p in parts]
-        which *= CONTEXTS + 1
-        which += context
-        del tokens, context
+        context = np.zeros(len(tokens), np.int64)  # 0: start of a text, otherwise the number of the word before and 1
+        context[1:] = which[:-1] + 1
+        context[begins] = 0
+        which = which * (len(words) + 1) + context
+        del tokens, begins, context
         cells, index = np.unique(which, return_inverse=True)
         del which
         counts = np.bincount(index, weights=train, minlength=len(cells)).astype(np.uint32)
-        word_of, context_of = np.divmod(cells.astype(np.int64), CONTEXTS + 1)
+        word_of, context_of = np.divmod(cells, len(words) + 1)
+        hashes = np.append(START, words)
         per_word = np.bincount(word_of, minlength=len(words)).astype(np.uint32)
         edge = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(words)])
         cell_edge = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edge]
         rows = [(number, -1, np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(),
-                 np.concatenate([p[2] for p in parts]).tolist(), _planes(index), None, None, None, None)]
+                 np.concatenate([p[2] for p in parts]).tolist(), _planes(index), None, None, None, None, None)]
         for b in np.flatnonzero(np.diff(edge)):
             w, c = slice(edge[b], edge[b + 1]), slice(cell_edge[b], cell_edge[b + 1])
+            own, at = np.unique(context_of[c], return_inverse=True)
             rows.append((number, int(b), None, None, None, None, words[w].tobytes(), _planes(per_word[w]),
-                         _planes(context_of[c]), _planes(counts[c])))
-        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 5]
+                         _planes(at), _planes(counts[c]), hashes[own].tobytes()))
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 6]
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +139,10 @@ def _packed(bits: int, chunk_tokens: int):
 
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in pieces(batches, "text"):
-            tokens, context, bounds = tokens_of(batch.column(2))
+            tokens, begins, bounds = tokens_of(batch.column(2))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             sizes = np.diff(bounds)
-            parts.append((tokens, context, np.repeat(~held, sizes), np.array(batch.column(0).to_pylist(), object), held, sizes))
+            parts.append((tokens, begins, np.repeat(~held, sizes), np.array(batch.column(0).to_pylist(), object), held, sizes))
             size += len(tokens)
             if size >= chunk_tokens:
                 yield finish(number, parts)
@@ -132,60 +154,95 @@ def _packed(bits: int, chunk_tokens: int):
 
 
 class Cells(NamedTuple):
-    """Training counts of a bucket: sorted words, and for each (word, context) cell its word, context and count."""
+    """Training counts of a bucket: sorted words, and for each (word, context) cell its word, context and count.
+
+    ``names`` has the sorted hashes of the contexts; ``alone`` what cells that are left out add to each word's tables.
+    """
 
     words: np.ndarray
     word: np.ndarray
     context: np.ndarray
     count: np.ndarray
+    names: np.ndarray | None = None
+    alone: np.ndarray | None = None
 
     @property
     def key(self) -> np.ndarray:
-        return self.word * (CONTEXTS + 1) + self.context
+        return self.word * (CONTEXTS + 1 if self.names is None else len(self.names)) + self.context
+
+    def at_parent(self, tables: np.ndarray) -> np.ndarray:
+        found = np.bincount(self.word, weights=tables, minlength=len(self.words))
+        return found if self.alone is None else found + self.alone
 
+    def per_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=values, minlength=len(self.names)).astype(np.int64)
 
-def _unpack(words: bytes, cells: bytes, contexts: bytes, counts: bytes) -> Cells:
+
+def _unpack(words: bytes, cells: bytes, contexts: bytes, counts: bytes, names: bytes) -> Cells:
     own = np.frombuffer(words, np.uint64)
-    return Cells(own, np.repeat(np.arange(len(own)), _from_planes(cells)), _from_planes(contexts).astype(np.int64), _from_planes(counts).astype(np.int64))
+    return Cells(own, np.repeat(np.arange(len(own)), _from_planes(cells)), _from_planes(contexts).astype(np.int64), _from_planes(counts).astype(np.int64),
+                 np.frombuffer(names, np.uint64))
 
 
 def _merge(parts: list[Cells]) -> Cells:
-    words = np.unique(np.concatenate([p.words for p in parts]))
-    key = np.concatenate([np.searchsorted(words, p.words)[p.word] * (CONTEXTS + 1) + p.context for p in parts])
+    words, names = (np.unique(np.concatenate([p[k] for p in parts])) for k in (0, 4))
+    key = np.concatenate([np.searchsorted(words, p.words)[p.word] * len(names) + np.searchsorted(names, p.names)[p.context] for p in parts])
     cells, index = np.unique(key, return_inverse=True)
-    word, context = np.divmod(cells, CONTEXTS + 1)
-    return Cells(words, word, context, np.bincount(index, weights=np.concatenate([p.count for p in parts]), minlength=len(cells)).astype(np.int64))
+    word, context = np.divmod(cells, max(len(names), 1))
+    return Cells(words, word, context, np.bincount(index, weights=np.concatenate([p.count for p in parts]), minlength=len(cells)).astype(np.int64), names)
+
+
+def several(cells: Cells) -> Cells:
+    """The cells with more than one customer, their words and contexts; the rest is in ``alone``."""
+    chosen = cells.count > 1
+    words, word = np.unique(cells.word[chosen], return_inverse=True)
+    names, context = np.unique(cells.context[chosen], return_inverse=True)
+    alone = np.bincount(cells.word[cells.count == 1], minlength=len(cells.words))[words]
+    return Cells(cells.words[words], word, context, cells.count[chosen], cells.names[names], alone)
+
+
+CELLS_SCHEMA = "bucket int, several boolean, words binary, cells binary, contexts binary, counts binary, names binary, alone binary"
+_CELLS = [x.split()[0] for x in CELLS_SCHEMA.split(", ")]
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket from rows in bucket order. Chunks are merged a few at a time."""
+    """Two rows per bucket, all cells and those of ``several``, from rows in bucket order. Chunks are merged a few at a time."""
+
+    def row(bucket: int, part: bool, c: Cells) -> pa.RecordBatch:
+        alone = np.zeros(0, np.int64) if c.alone is None else c.alone
+        data = (c.words.tobytes(), _planes(c.word), _planes(c.context), _longs(c.count), c.names.tobytes(), _longs(alone))
+        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([part]), *(pa.array([x], pa.binary()) for x in data)], _CELLS)
 
-    def row(bucket: int, parts: list[Cells]) -> pa.RecordBatch:
+    def rows(bucket: int, parts: list[Cells]) -> Iterator[pa.RecordBatch]:
         c = _merge(parts)
-        data = (c.words.tobytes(), c.word.astype("<u4").tobytes(), c.context.astype("<u2").tobytes(), c.count.tobytes())
-        return pa.record_batch([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["bucket", "words", "cells", "contexts", "counts"])
+        yield row(bucket, False, c)
+        yield row(bucket, True, several(c))
 
     bucket, parts = None, []
     for batch in batches:
         columns = batch.to_pydict()
-        for b, *data in zip(*(columns[k] for k in ("bucket", "words", "cells", "contexts", "counts")), strict=True):
+        for b, *data in zip(*(columns[k] for k in ("bucket", "words", "cells", "contexts", "counts", "names")), strict=True):
             if b != bucket and parts:
-                yield row(bucket, parts)
+                yield from rows(bucket, parts)
                 parts = []
             bucket = b
             parts.append(_unpack(*data))
             if len(parts) >= 16:
                 parts = [_merge(parts)]
     if parts:
-        yield row(bucket, parts)
+        yield from rows(bucket, parts)
 
 
-def _stored(words: bytes, cells: bytes, contexts: bytes, counts: bytes) -> Cells:
-    return Cells(np.frombuffer(words, np.uint64), np.frombuffer(cells, "<u4").astype(np.int64), np.frombuffer(contexts, "<u2").astype(np.int64), np.frombuffer(counts, np.int64))
+def _stored(words: bytes, cells: bytes, contexts: bytes, counts: bytes, names: bytes, alone: bytes) -> Cells:
+    return Cells(np.frombuffer(words, np.uint64), _from_planes(cells).astype(np.int64), _from_planes(contexts).astype(np.int64), _from_longs(counts),
+                 np.frombuffer(names, np.uint64), _from_longs(alone) if alone else None)
 
 
 class Model(NamedTuple):
-    """Totals of the training tokens and, for every sweep so far, the tables per context."""
+    """Totals of the training tokens and, for every sweep so far, the tables per context.
+
+    Where the vectors per context only have the contexts of a bucket, ``totals`` has the tables of all contexts together.
+    """
 
     tokens: int
     words: int
@@ -193,6 +250,10 @@ class Model(NamedTuple):
     discount: float
     parent_discount: float
     tables: tuple[np.ndarray, ...]
+    totals: tuple[int, ...] = ()
+
+    def all_tables(self, sweep: int) -> int:
+        return self.totals[sweep] if self.totals else self.tables[sweep].sum()
 
 
 def reseat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -215,13 +276,13 @@ def seatings(cells: Cells, model: Model, bucket: int) -> Iterator[tuple[np.ndarr
     """Tables of every cell and customers of every word in the parent: at first, then after each sweep known so far and one more."""
     tables = (cells.count > 0).astype(np.int64)
     for sweep, known in enumerate(model.tables):
-        at_parent = np.bincount(cells.word, weights=tables, minlength=len(cells.words))
+        at_parent = cells.at_parent(tables)
         yield tables, at_parent
-        p = np.maximum(at_parent - model.parent_discount, 0) / (CONCENTRATION + known.sum())
+        p = np.maximum(at_parent - model.parent_discount, 0) / (CONCENTRATION + model.all_tables(sweep))
         weight = (CONCENTRATION + model.discount * known)[cells.context] * p[cells.word]
         rng = np.random.Generator(np.random.Philox(key=[bucket, sweep]))
         tables = reseat(cells.count, weight, model.discount, rng)
-    yield tables, np.bincount(cells.word, weights=tables, minlength=len(cells.words))
+    yield tables, cells.at_parent(tables)
 
 
 def predictive(cells: Cells, model: Model, bucket: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +290,8 @@ def predictive(cells: Cells, model: Model, bucket: int) -> tuple[np.ndarray, np.
     kept = min(KEPT, len(model.tables))
     total = np.zeros(len(cells.word))
     states = list(seatings(cells, model, bucket))[: len(model.tables)][-kept:]
-    for (tables, at_parent), known in zip(states, model.tables[-kept:], strict=True):
-        all_tables = CONCENTRATION + known.sum()
+    for sweep, (tables, at_parent) in enumerate(states, len(model.tables) - kept):
+        known, all_tables = model.tables[sweep], CONCENTRATION + model.all_tables(sweep)
         unseen = (CONCENTRATION + model.parent_discount * model.words) / all_tables
         p = np.where(at_parent > 0, (at_parent - model.parent_discount) / all_tables, unseen)
         back = (CONCENTRATION + model.discount * known) / (CONCENTRATION + model.customers)
@@ -239,80 +300,194 @@ def predictive(cells: Cells, model: Model, bucket: int) -> tuple[np.ndarray, np.
     return np.log10(total / kept), np.bincount(cells.word, weights=cells.count, minlength=len(cells.words)).astype(np.int64)
 
 
-def _sweep(shared):
+#: Rows of the totals per context: values are a list of vectors over the contexts that were asked for, one after the other.
+TOTALS_SCHEMA = "bucket int, several boolean, round int, part int, names binary, values binary, total long"
+_TOTALS = [x.split()[0] for x in TOTALS_SCHEMA.split(", ")]
+
+
+def _request(bucket: int, several: bool, number: int, bits: int, names: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch | None:
+    """A bucket's share of the totals of its contexts, for each part of them; a part is the upper bits of a name."""
+    edge = np.searchsorted(names >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    rows = [
+        (bucket, several, number, int(k), names[a:z].tobytes(), _longs(np.concatenate([v[a:z] for v in values])), None)
+        for k, a, z in ((k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge)))
+    ]
+    return _totals_batch(rows) if rows else None
+
+
+def _totals_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], _TOTALS)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per context for all buckets that asked, from rows in the order of parts; a row with bucket -1 has the sum of the last vector."""
+
+    def reply(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        asked = [np.frombuffer(r[4], np.uint64) for r in rows]
+        given = [_from_longs(r[5]).reshape(-1, len(x)) for r, x in zip(rows, asked, strict=True)]
+        names, index = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.zeros((len(given[0]), len(names)), np.int64)
+        for k, own in enumerate(sums):
+            np.add.at(own, index, np.concatenate([g[k] for g in given]))
+        yield _totals_batch([(-1, False, rows[0][2], rows[0][3], None, None, int(sums[-1].sum()))])
+        at = np.split(index, np.cumsum([len(x) for x in asked])[:-1])
+        for k in range(0, len(rows), 256):
+            yield _totals_batch([(*r[:4], None, _longs(sums[:, i]), None) for r, i in zip(rows[k : k + 256], at[k : k + 256], strict=True)])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*batch.to_pydict().values(), strict=True):
+            if held and held[0][3] != row[3]:
+                yield from reply(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from reply(held)
+
+
+def _first_totals(bits: int):
+    """Requests for customers and cells per context. Rows of ``several`` only ask."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CONTEXTS + 1, np.int64)
         for batch in batches:
-            columns = batch.to_pydict()
-            for bucket, *data in zip(*columns.values(), strict=True):
-                cells = _stored(*data)
-                tables = list(seatings(cells, shared.value, bucket))[-1][0]
-                sums += np.bincount(cells.context, weights=tables, minlength=CONTEXTS + 1).astype(np.int64)
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["context", "tables"])
+            for bucket, part, *data in zip(*batch.to_pydict().values(), strict=True):
+                c = _stored(*data)
+                shares = [c.per_context(x) * (not part) for x in (c.count, c.count > 0)]
+                if (request := _request(bucket, part, 0, bits, c.names, shares)) is not None:
+                    yield request
 
     return run
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context: customers and cells; and under negative keys words, words and cells that occur once and twice."""
-    sums: dict[int, int] = {}
+def _of_bucket(cells: Cells, model: Model, answers: dict[int, list], sweeps: int) -> Model:
+    """The model for the contexts of ``cells``, from the answers to its bucket by round, each in the order of parts."""
+
+    def vectors(number: int) -> np.ndarray:
+        found = [_from_longs(values).reshape(many, -1) for many, values in answers[number]]
+        return np.concatenate(found, axis=1)
+
+    if not len(cells.names):
+        return model._replace(customers=np.zeros(0, np.int64), tables=tuple(np.zeros(0, np.int64) for _ in model.totals))
+    customers, first = vectors(0)
+    tables = [first]
+    # answers of the rounds before the last are for the contexts of cells with several customers; no other cell depends on them
+    active = np.unique(cells.context[cells.count > 1])
+    for number in range(1, len(model.totals)):
+        known = first.copy()
+        if number < sweeps and number in answers:
+            known[active] += vectors(number)[0]
+        tables.append(known)
+    if sweeps in answers and sweeps > 0:
+        last = vectors(sweeps)
+        for k, extra in enumerate(last[::-1]):
+            tables[-1 - k] = first + extra
+    return model._replace(customers=customers, tables=tuple(tables))
+
+
+def _many(number: int, sweeps: int) -> int:
+    """Vectors in the answers of a round."""
+    return 2 if number == 0 else min(KEPT, sweeps + 1) if number == sweeps else 1
 
-    def add(keys, values):
-        for k, v in zip(keys, values, strict=True):
-            sums[int(k)] = sums.get(int(k), 0) + int(v)
 
+def _sweep(shared, number: int, sweeps: int, bits: int):
+    """From buckets (cells, then the answers to them) to requests for the tables beyond the first of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, cells, part, answers = None, None, None, {}
+
+        def request() -> pa.RecordBatch | None:
+            if not len(cells.names):
+                return None
+            states = [t for t, _ in seatings(cells, _of_bucket(cells, shared.value, answers, sweeps), bucket)]
+            extra = [cells.per_context(np.maximum(t - 1, 0)) for t in states[-_many(number, sweeps) :]]
+            return _request(bucket, part, number, bits, cells.names, extra)
+
+        for batch in batches:
+            for b, r, own, values, *data in zip(*batch.to_pydict().values(), strict=True):
+                if r < 0:
+                    if cells is not None and (made := request()) is not None:
+                        yield made
+                    bucket, cells, part, answers = b, _stored(*data), own, {}
+                else:
+                    answers.setdefault(r, []).append((_many(r, sweeps), values))
+        if cells is not None and (made := request()) is not None:
+            yield made
+
+    return run
+
+
+def _with_answers(cells: DataFrame, answers: list[DataFrame], part: bool) -> DataFrame:
+    """(bucket, round, part, several, values, cells ...): the cells of every bucket and the answers to it."""
+    data = _CELLS[2:]
+    head = cells.where(F.col("several") == part).select(
+        "bucket", F.lit(-1).alias("round"), F.lit(-1).alias("part"), "several", F.lit(None).cast("binary").alias("values"), *data
+    )
+    for number, found in enumerate(answers):
+        # the rounds between the first and the last answer cells of several customers; all cells replay them too
+        own = F.col("several") == part if number == 0 else F.lit(True)
+        head = head.union(found.where((F.col("bucket") >= 0) & own).select("bucket", "round", "part", "several", "values", *(F.lit(None).cast("binary").alias(k) for k in data)))
+    return head
+
+
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens; words; words of one and two tables at first; cells of one and two customers."""
+    sums = np.zeros(6, np.int64)
     for batch in batches:
-        for _, *data in zip(*batch.to_pydict().values(), strict=True):
+        for _, _, *data in zip(*batch.to_pydict().values(), strict=True):
             c = _stored(*data)
-            seen = c.count > 0
-            customers = np.bincount(c.context, weights=c.count, minlength=CONTEXTS + 1)
-            kinds = np.bincount(c.context[seen], minlength=CONTEXTS + 1)
-            add(np.arange(CONTEXTS + 1), customers)
-            add(np.arange(CONTEXTS + 1) + CONTEXTS + 1, kinds)
-            at_parent = np.bincount(c.word[seen], minlength=len(c.words))
-            add((-1, -2, -3, -4, -5), ((at_parent > 0).sum(), (at_parent == 1).sum(), (at_parent == 2).sum(), (c.count == 1).sum(), (c.count == 2).sum()))
-    keys = [k for k, v in sums.items() if v]
-    yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([sums[k] for k in keys], pa.int64())], ["key", "value"])
-
-
-def fit(cells: DataFrame, sweeps: int = SWEEPS) -> Model:
-    """Totals and sweeps. The driver sees one number per context and sweep, never cells."""
+            at_parent = np.bincount(c.word[c.count > 0], minlength=len(c.words))
+            sums += [c.count.sum(), (at_parent > 0).sum(), (at_parent == 1).sum(), (at_parent == 2).sum(), (c.count == 1).sum(), (c.count == 2).sum()]
+    yield pa.record_batch([pa.array(range(6), pa.int32()), pa.array(sums)], ["key", "value"])
+
+
+def fit(cells: DataFrame, bits: int, sweeps: int = SWEEPS) -> tuple[Model, list[DataFrame]]:
+    """Totals of all tokens, and the answers of all rounds. The driver sees one number per sweep, never cells or contexts."""
     spark = cells.sparkSession
-    columns = cells.select("bucket", "words", "cells", "contexts", "counts")
-    totals = {r["key"]: r["value"] for r in columns.mapInArrow(_totals, "key int, value long").groupBy("key").agg(F.sum("value").alias("value")).collect()}
-    of = lambda shift: np.array([totals.get(k + shift, 0) for k in range(CONTEXTS + 1)], np.int64)
-    customers, kinds = of(0), of(CONTEXTS + 1)
-    share = lambda once, twice: min(0.95, max(0.05, totals.get(once, 0) / max(1, totals.get(once, 0) + 2 * totals.get(twice, 0))))
-    model = Model(int(customers.sum()), totals.get(-1, 0), customers, share(-4, -5), share(-2, -3), (kinds,))
-    for _ in range(sweeps):
+    found = cells.where("NOT several").mapInArrow(_word_totals, "key int, value long").groupBy("key").agg(F.sum("value").alias("value")).collect()
+    n, words, *rest = (dict.fromkeys(range(6), 0) | {r["key"]: r["value"] for r in found}).values()
+    share = lambda once, twice: min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+
+    def meet(requests: DataFrame, number: int) -> tuple[DataFrame, int]:
+        by_part = requests.repartition("part").sortWithinPartitions("part", "bucket", "several")
+        stored = cut_lineage(by_part.mapInArrow(_met, TOTALS_SCHEMA), f"lm-totals-{number}")
+        return stored, stored.where("bucket < 0").agg(F.sum("total")).first()[0] or 0
+
+    first, tables = meet(cells.mapInArrow(_first_totals(bits), TOTALS_SCHEMA), 0)
+    model = Model(n, words, np.zeros(0, np.int64), share(*rest[2:]), share(*rest[:2]), (), (tables,))
+    answers = [first]
+    for number in range(1, sweeps + 1):
         shared = spark.sparkContext.broadcast(model)
-        found = columns.mapInArrow(_sweep(shared), "context int, tables long").groupBy("context").agg(F.sum("tables").alias("tables")).collect()
-        tables = np.zeros(CONTEXTS + 1, np.int64)
-        for r in found:
-            tables[r["context"]] = r["tables"]
-        model = model._replace(tables=(*model.tables, tables))
-    return model
+        given = _with_answers(cells, answers, number < sweeps)
+        ordered = given.repartition("bucket").sortWithinPartitions("bucket", "round", "part").select("bucket", "round", "several", "values", *_CELLS[2:])
+        replies, extra = meet(ordered.mapInArrow(_sweep(shared, number, sweeps, bits), TOTALS_SCHEMA), number)
+        answers.append(replies)
+        model = model._replace(totals=(*model.totals, tables + extra))
+    return model, answers
 
 
-def _answered(shared):
+def _answered(shared, sweeps: int):
     """For the cells of each chunk, probabilities from the bucket's model, which comes first in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_bucket, cells, key, scores, counts = None, None, None, None, None
+        model_bucket, cells, key, scores, counts, answers = None, None, None, None, None, {}
         for batch in batches:
             columns = batch.to_pydict()
             out = []
-            for bucket, chunk, *data in zip(*columns.values(), strict=True):
-                if chunk is None:
-                    cells = _stored(*data)
-                    model_bucket, key = bucket, cells.key
-                    scores, counts = predictive(cells, shared.value, bucket)
+            for bucket, number, chunk, values, *data in zip(*columns.values(), strict=True):
+                if chunk is None and number < 0:
+                    cells, model_bucket, scores, answers = _stored(*data), bucket, None, {}
                     continue
                 assert bucket == model_bucket
-                asked = _unpack(*data)
+                if chunk is None:
+                    answers.setdefault(number, []).append((_many(number, sweeps), values))
+                    continue
+                if scores is None:
+                    key = cells.key
+                    scores, counts = predictive(cells, _of_bucket(cells, shared.value, answers, sweeps), bucket)
+                asked = _unpack(*data[:-1])
                 at = np.searchsorted(cells.words, asked.words)
-                place = np.searchsorted(key, at[asked.word] * (CONTEXTS + 1) + asked.context)
+                place = np.searchsorted(key, at[asked.word] * len(cells.names) + np.searchsorted(cells.names, asked.names)[asked.context])
                 per_cell = np.bincount(asked.word, minlength=len(asked.words))
                 out.append((chunk, bucket, _planes(scores[place].astype(np.float32).view("<u4")), _planes(per_cell), pa.compress(counts[at].tobytes(), "zstd", asbytes=True)))
             if out:
@@ -366,15 +541,19 @@ def score_documents(docs: DataFrame, held_out: Column, id_name: str = "doc_id",
     bits = max(1, min(20, (parts - 1).bit_length()))
     given = docs.select(F.col(id_name).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_or_empty(text).alias("text"))
     packed = cut_lineage(given.mapInArrow(_packed(bits, chunk_tokens), CHUNK_SCHEMA), "lm-chunks")
-    lists = packed.where("bucket >= 0").select("bucket", "chunk", "words", "cells", "contexts", "counts")
+    lists = packed.where("bucket >= 0").select("bucket", "chunk", "words", "cells", "contexts", "counts", "names")
     by_bucket = lists.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    cells = cut_lineage(by_bucket.drop("chunk").mapInArrow(_merged, "bucket int, words binary, cells binary, contexts binary, counts binary"), "lm-cells")
-    model = fit(cells, sweeps)
+    cells = cut_lineage(by_bucket.drop("chunk").mapInArrow(_merged, CELLS_SCHEMA), "lm-cells")
+    model, totals = fit(cells, bits, sweeps)
     shared = spark.sparkContext.broadcast(model)
-    first = cells.select("bucket", F.lit(None).cast("long").alias("chunk"), "words", "cells", "contexts", "counts")
+    absent = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    first = _with_answers(cells, totals, False).withColumn("chunk", absent("long", "chunk"))
+    asked = lists.select("bucket", F.lit(sweeps + 1).alias("round"), F.lit(-1).alias("part"), absent("boolean", "several"), absent("binary", "values"),
+                         "words", "cells", "contexts", "counts", "names", absent("binary", "alone"), "chunk")
     answers = (
-        first.union(lists).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
-        .mapInArrow(_answered(shared), "chunk long, bucket int, scores binary, cells binary, counts binary")
+        first.union(asked).repartition("bucket").sortWithinPartitions("bucket", "round", "part", "chunk")
+        .select("bucket", "round", "chunk", "values", *_CELLS[2:])
+        .mapInArrow(_answered(shared, sweeps), "chunk long, bucket int, scores binary, cells binary, counts binary")
     )
     nothing = [F.lit(None).cast("binary").alias(k) for k in ("scores", "cells", "counts")]
     heads = packed.where("bucket < 0").select("chunk", "bucket", "ids", "held", "sizes", "tokens", *nothing)

@@ -336,6 +336,38 @@ def test_probabilities_of_a_context_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_contexts_do_not_share_restaurants(spark):
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("before"), F.col("id") % 1500, F.lit(" after"), F.col("id") % 1500).alias("text"))
+    found = pitman_yor.score_documents(docs.repartition(3), id_remainder("doc_id", 5) == 1, chunk_tokens=10_000)
+    # the first word is one of 1500 (log10: -3.18), the others follow from it
+    assert found.where("held_out").agg(F.avg("score")).first()[0] > -3.4
+
+
+def test_scores_of_buckets_that_exchange_totals(small):
+    rows = rows_of(small)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows])
+    tokens, begins, bounds = pitman_yor.tokens_of(pa.array([t for _, t in rows]))
+    before = np.where(begins, pitman_yor.START, np.append(pitman_yor.START, tokens[:-1]))
+    (words, w), (names, c) = (np.unique(x, return_inverse=True) for x in (tokens, before))
+    key, index = np.unique(w * len(names) + c, return_inverse=True)
+    word, context = np.divmod(key, len(names))
+    count = np.bincount(index, weights=np.repeat(~held, np.diff(bounds))).astype(np.int64)
+    bucket = (words >> np.uint64(62)).astype(int)  # four partitions
+    vector = lambda of, x: np.bincount(of, weights=x, minlength=len(names)).astype(np.int64)
+    own = [np.flatnonzero(bucket[word] == b) for b in range(4)]
+    cells = [pitman_yor.Cells(words[bucket == b], word[own[b]] - np.searchsorted(bucket, b), context[own[b]], count[own[b]]) for b in range(4)]
+    at_parent = np.bincount(word[count > 0], minlength=len(words))
+    share = lambda x: min(0.95, max(0.05, (x == 1).sum() / max(1, (x == 1).sum() + 2 * (x == 2).sum())))
+    model = pitman_yor.Model(int(count.sum()), int((at_parent > 0).sum()), vector(context, count), share(count), share(at_parent), (vector(context, count > 0),))
+    for _ in range(pitman_yor.SWEEPS):
+        tables = sum(vector(x.context, list(pitman_yor.seatings(x, model, b))[-1][0]) for b, x in enumerate(cells))
+        model = model._replace(tables=(*model.tables, tables))
+    score = np.concatenate([pitman_yor.predictive(x, model, b)[0] for b, x in enumerate(cells)])
+    wanted = dict(zip((i for i, _ in rows), np.add.reduceat(score[index], bounds[:-1]), strict=True))
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(small, id_remainder("doc_id", 5) == 1, chunk_tokens=20_000).collect()}
+    assert found.keys() == wanted.keys() and np.allclose([found[i] for i in wanted], list(wanted.values()), rtol=1e-5)
+
+
 def test_scores_without_training_documents(small):
     found = pitman_yor.score_documents(small.limit(5), F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and abs(r["score"]) < 1e-9 and abs(r["base_score"]) < 1e-9 for r in found)
