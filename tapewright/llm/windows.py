@@ -8,6 +8,8 @@ minimiser. So only minimisers tell where repeats can be:
 3. where all runs of a minimiser are equal, every window of them repeats, and nothing has to be looked at;
 4. the other minimisers are contested: of each distinct run one copy is cut from its document and travels as one
    packed string to the bucket of its minimiser, where a ``judge`` finds the equal windows;
+   A minimiser of more than ``CROWD`` runs would fill a task: its distinct runs are taken apart into windows, which an
+   aggregate by 128-bit digest counts wherever they are;
 5. the findings go back from the distinct runs to all places by an equi-join on the digest; runs of step 3 pass it
    unmatched.
 
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tapewright.session import cut_lineage
 
-from .arrays import find_words, pieces, ranges, super_kmers, text_bytes, word_hashes
+from .arrays import find_words, mix, pieces, prefix_hashes, ranges, span_hashes, super_kmers, text_bytes, window_hashes, word_hashes
 from .columns import text_or_empty
 
 #: Sorts after all ids; stands for a null id.
 NO_ID = 2**63 - 1
+#: Runs of a contested minimiser from which its windows are counted by digest instead of in one task.
+CROWD = 10_000
 #: Text that a bucket task works on at once.
 BATCH_BYTES = 1_000_000
 
@@ -107,8 +111,8 @@ def _cut(unit: str, width: int):
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(packed)])
             yield pa.record_batch(
-                [pa.array(field(k)) for k in ("mini", "body", "copies", "first")] + [strings.cast(pa.binary())],
-                ["mini", "body", "copies", "first", "packed"],
+                [pa.array(field(k)) for k in ("mini", "body", "copies", "first", "crowded")] + [strings.cast(pa.binary())],
+                ["mini", "body", "copies", "first", "crowded", "packed"],
             )
 
     return run
@@ -123,6 +127,59 @@ def _single_spaces(packed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return out, np.add.reduceat(lengths, rows[:-1]) if len(sizes) else sizes
 
 
+def _taken_apart(unit: str, width: int):
+    """One row per window of a run: two independent digests of its units and its place in the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "packed", BATCH_BYTES // 4):
+            units, rows = _units(batch.column(3), unit)
+            if unit == "word":  # a second hash of each word, of its mixed bytes
+                data, offsets = text_bytes(batch.column(3))
+                starts, ends, _ = find_words(data, offsets)
+                other = span_hashes(prefix_hashes(mix(data.astype(np.uint64) + np.uint64(257))), starts, ends)
+            else:
+                other = mix(units.astype(np.uint64) + np.uint64(257))
+            windows = np.diff(rows) - width + 1
+            at = ranges(rows[:-1], windows)
+            row = np.repeat(np.arange(len(windows)), windows)
+            field = lambda k: batch.column(k).to_numpy()[row]  # noqa: E731, B023
+            digests = [window_hashes(prefix_hashes(x), width)[at].view(np.int64) for x in (units, other)]
+            yield pa.record_batch(
+                [*map(pa.array, digests), pa.array((at - rows[row]).astype(np.int64)), *(pa.array(field(k)) for k in range(3))],
+                ["one", "two", "begin", "body", "copies", "first"],
+            )
+
+    return run
+
+
+def _joined_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal ranges of a run's repeated windows with one smallest id; a run has fewer windows than two widths."""
+    for batch in batches:
+        lists = batch.column(1)
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        begin, smallest = (lists.flatten().field(k).to_numpy() for k in ("begin", "smallest"))
+        if not len(begin):
+            continue
+        new = np.ones(len(begin), bool)
+        new[1:] = (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + 1) | (smallest[1:] != smallest[:-1])
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(begin)) - 1
+        yield pa.record_batch(
+            [batch.column(0).take(pa.array(row[lo])), pa.array(begin[lo]), pa.array(begin[hi] + 1), pa.array(smallest[lo])], ["body", "begin", "end", "smallest"]
+        )
+
+
+def _counted(packed: DataFrame, unit: str, width: int) -> DataFrame:
+    """Findings in the runs of crowded minimisers. No group of equal windows or runs is gathered; both joins are plain equi-joins."""
+    windows = packed.select("body", "copies", "first", "packed").mapInArrow(
+        _taken_apart(unit, width), "one long, two long, begin long, body long, copies long, first long"
+    )
+    several = windows.groupBy("one", "two").agg(F.sum("copies").alias("n"), F.min("first").alias("smallest")).where("n > 1")
+    found = windows.join(several.select("one", "two", "smallest"), ["one", "two"])
+    by_run = found.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("begin", "smallest"))).alias("windows"))
+    return by_run.mapInArrow(_joined_ranges, "body long, begin long, end long, smallest long")
+
+
 def _judged(judge: Callable, width: int):
     """Whole minimisers at a time, several of them together up to a bounded size."""
 
@@ -168,27 +225,34 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
         runs.groupBy("mini")
         .agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("known"), F.max("id").alias("last"))
         .where("n > 1 AND known < last" if later_only else "n > 1")
-        .select("mini", "known", (F.col("low") != F.col("high")).alias("contested"))
+        .select("mini", "known", (F.col("low") != F.col("high")).alias("contested"), (F.col("n") > CROWD).alias("crowded"))
     )
     shared = cut_lineage(shared, "shared-minimisers")  # the join then meets two plain exchanges, which may be split where a key is hot
     # both uses of this join need all its columns, so both read one exchange of the runs
     marked = runs.join(shared, "mini")
-    place = F.struct("id", "hash", "start", "windows", "mini")
+    place = F.struct("id", "hash", "start", "windows", "mini", "crowded")
     distinct = marked.where("contested").groupBy("body").agg(F.min(place).alias("p"), F.count("*").alias("copies"))
     chosen = distinct.groupBy("p.id", "p.hash").agg(
-        F.collect_list(F.struct("p.start", "p.windows", "p.mini", "body", "copies", F.col("p.id").alias("first"))).alias("chosen")
+        F.collect_list(F.struct("p.start", "p.windows", "p.mini", "p.crowded", "body", "copies", F.col("p.id").alias("first"))).alias("chosen")
     )
     packed = (
         rows.join(chosen, ["id", "hash"])
         .dropDuplicates(["id", "hash"])
         .select("text", "chosen")
-        .mapInArrow(_cut(unit, width), "mini long, body long, copies long, first long, packed binary")
+        .mapInArrow(_cut(unit, width), "mini long, body long, copies long, first long, crowded boolean, packed binary")
     )
+    some = shared.where("contested AND crowded").limit(1).count() > 0
+    if some:
+        packed = cut_lineage(packed, "contested-runs")  # read by both ways of judging
     findings = (
-        packed.repartition("mini")
+        (packed.where("NOT crowded") if some else packed)
+        .select("mini", "body", "copies", "first", "packed")
+        .repartition("mini")
         .sortWithinPartitions("mini")
         .mapInArrow(_judged(judge, width), "body long, begin long, end long, smallest long")
     )
+    if some:
+        findings = findings.union(_counted(packed.where("crowded"), unit, width))
     # a run that is not contested is found as a whole
     found = marked.join(findings, "body", "left").where(~F.col("contested") | F.col("begin").isNotNull())
     if later_only:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe_automaton, decontaminate, jaccard, language, pitman_yor, quality, suffix_array, superkmers, token_counts, url_rules
+from tapewright.llm import bpe_automaton, decontaminate, jaccard, language, pitman_yor, quality, suffix_array, superkmers, token_counts, url_rules, windows
 from tapewright.llm.columns import id_remainder
 from tapewright.session import shared_folder
 
@@ -122,6 +122,28 @@ def test_bytes_of_repeated_strings(which, request):
     same(found, wanted)
 
 
+@pytest.mark.parametrize("which", ["awkward", "small", "crowd"])
+def test_crowded_minimisers_are_counted_by_digest(which, request, spark, monkeypatch):
+    monkeypatch.setattr(windows, "CROWD", 20)
+    judged = []
+    counted = windows._counted
+    monkeypatch.setattr(windows, "_counted", lambda *x: judged.append(x) or counted(*x))
+    if which == "crowd":
+        r = random.Random(9)
+        word = lambda: f"w{r.randrange(10**7)}"
+        phrase, passage = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(60))
+        texts = [" ".join([*(word() for _ in range(60)), phrase, *(word() for _ in range(60))]) for _ in range(60)]
+        texts += [f"{word()} {passage} {word()}" for _ in range(40)] + texts[:5]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    else:
+        docs = request.getfixturevalue(which)
+    rows = rows_of(docs)
+    same(tuples(superkmers.dedup_words(docs)), cut_words(rows))
+    found = [(r[0], r[1], r[2], [tuple(s) for s in r[3]], bytes(r[4])) for r in suffix_array.dedup_bytes(docs).collect()]
+    same(found, cut_bytes(rows))
+    assert len(judged) == 2 or which != "crowd"
+
+
 def test_suffix_array_and_common_prefixes():
     for seed in range(120):
         r = random.Random(seed)
