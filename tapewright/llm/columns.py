@@ -25,9 +25,13 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, SPACES), lambda w: w != "")
 
 
+def id_checksum(name: str) -> Column:
+    """crc32 of the id as text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
+
+
 def id_remainder(name: str, modulus: int) -> Column:
-    """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
+    return id_checksum(name) % modulus
 
 
 def fresh(df: DataFrame, name: str) -> str:
