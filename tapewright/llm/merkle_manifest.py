@@ -4,20 +4,22 @@ Every row is a leaf. Leaves of one group ascend by id and get ranks; every two c
 until one is left, and the remaining nodes of all groups, ordered by group, go on in the same way to the root. A node
 carries its level and the interval of leaf ranks that it covers, so
 
-* the ancestors of a node are the nodes whose interval contains its interval. They are found by an equi-join on group,
-  level and bucket (the interval's begin divided by the width of the level) and a check of the containment;
+* the ancestors of a node are the nodes whose interval contains its interval;
 * the siblings of the node below an ancestor are what is left of the ancestor's interval without the node's.
 
 Levels are taken in bands of ``BAND``: one aggregate builds the subtrees over ``2 ** BAND`` consecutive nodes, whose
-topmost nodes are the leaves of the next band. A node is therefore asked for by at most ``2 ** BAND`` others, however
-large the tree, and a row's path is put together from its path within each band. Ranks come from one range partition
-of narrow rows, numbered in place and shifted by the counts of the partitions before, so no group is ordered in one
-task. Nothing but the root and the largest group's size comes to the driver.
+topmost nodes are the leaves of the next band. A subtree is one row, with the nodes that it nests. The join that
+attaches ancestors meets a member with the subtree on top of it by group and bucket (the member's place divided by the
+width of the band's highest level); the containment of intervals then picks the ancestors among the nested nodes. So a
+subtree is asked for by at most ``2 ** BAND`` members, however large the tree, and the path of a row is its path in
+the lowest band followed by that of its subtree. Ranks come from one range partition of narrow rows, numbered in place
+and shifted by the counts of the partitions before, so no group is ordered in one task. Nothing but the root and the
+largest group's size comes to the driver.
 
 Defined cases: a null group is a group of its own and leads. Null ids come first; rows of one id are ordered by their
 digest; rows that are equal throughout are leaves of their own. A null field counts as ``-``. A group of one row is
-its own top. An empty table has no rows and the root None. Fields are named by the caller, other columns are ignored
-whatever their names; a very long text is digested as a whole.
+its own top. An empty table has no rows. Fields are named by the caller, other columns are ignored whatever their
+names; a very long text is digested as a whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tapewright.session import cut_lineage
 
 #: Levels that one aggregate builds.
-BAND = 8
+BAND = 5
 
 
 def digest(*parts: Column) -> Column:
@@ -63,8 +65,12 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return stored.join(shifts, [group, "_part"]).withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
 def _subtree(nodes: Column, whole: Column) -> Column:
-    """Levels above ``nodes``: ``BAND`` of them, or up to the only node where the group ends in this band."""
+    """``nodes`` and the levels above: ``BAND`` of them, or up to the only node where the group ends in this band."""
 
     def pairs(x: Column) -> Column:
         last = ((F.size(x) - 1) / 2).cast("int")
@@ -77,102 +83,114 @@ def _subtree(nodes: Column, whole: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(BAND)), F.array(nodes).cast("array<array<string>>"), grown)
 
 
+def _nested(levels: Column, base: int) -> Column:
+    """Labelled nodes of a subtree above its members, from the lowest level up: level, interval and children."""
+    shift = lambda value, by: F.call_function("shiftleft", value, by)
+    interval = lambda place, level: (
+        shift(place, level).alias("low"),
+        (F.least(shift(place + 1, level), F.col("n")) - 1).alias("high"),
+    )
+
+    def one_level(h: Column) -> Column:
+        first = shift(F.col("block"), (F.lit(BAND) - h).cast("int"))  # place of the leftmost node of this level
+        children = lambda i: F.transform(
+            F.slice(levels[h - 1], 2 * i + 1, 2),
+            lambda d, j: F.struct(*interval(2 * (first + i) + j, base + h - 1), F.unhex(d).alias("digest")),
+        )
+        return F.transform(levels[h], lambda d, i: F.struct((base + h).alias("level"), *interval(first + i, base + h), children(i).alias("children")))
+
+    heights = F.filter(F.sequence(F.lit(1), F.lit(BAND)), lambda h: h < F.size(levels))
+    return F.flatten(F.transform(heights, one_level))
+
+
+_NO_STEPS = "array<struct<left:binary,right:binary>>"
+
+
+def _attach(members: DataFrame, subtrees: DataFrame, base: int, how: str) -> DataFrame:
+    """``members`` (group, idx, n and more) with ``steps``: the siblings left and right of each ancestor, lowest level first."""
+    low = F.call_function("shiftleft", F.col("idx"), F.lit(base))
+    high = F.least(F.call_function("shiftleft", F.col("idx") + 1, F.lit(base)), F.col("n")) - 1
+    contains = lambda node, a, b: (node.low <= a) & (b <= node.high)
+    digest_of = lambda found: F.get(F.transform(found, lambda c: c.digest), 0)
+    ancestors = F.filter("nested", lambda v: contains(v, F.col("own_low"), F.col("own_high")))
+    steps = F.transform(
+        ancestors,
+        lambda v: F.struct(
+            digest_of(F.filter(v.children, lambda c: c.high < F.col("own_low"))).alias("left"),
+            digest_of(F.filter(v.children, lambda c: c.low > F.col("own_high"))).alias("right"),
+        ),
+    )
+    bucketed = members.withColumn("bucket", F.shiftright("idx", BAND)).withColumn("own_low", low).withColumn("own_high", high)
+    over = subtrees.select("group", F.col("block").alias("bucket"), "nested", "upper")
+    none = F.array().cast(_NO_STEPS)
+    return (
+        bucketed.join(over, ["group", "bucket"], how)
+        .withColumn("steps", F.coalesce(F.concat(steps.cast(_NO_STEPS), "upper"), none))
+        .drop("bucket", "own_low", "own_high", "nested", "upper")
+    )
+
+
 @dataclass
 class Forest:
-    """``nodes``: (group, level, low, high, digest, children) of all levels above the leaves; ``tops``: (group, digest);
-    ``paths``: (group, rank, steps), for each leaf the siblings left and right of its ancestors, level by level."""
+    """``tops``: (group, digest); ``subtrees``: per band its subtrees, with the path above each in ``upper``."""
+
+    tops: DataFrame
+    subtrees: list[DataFrame]
 
-    nodes: DataFrame | None
-    tops: DataFrame | None
-    paths: DataFrame | None
+    def paths(self, leaves: DataFrame) -> DataFrame:
+        """``leaves`` with ``steps``, the siblings left and right of every ancestor."""
+        members = leaves.withColumn("idx", F.col("rank"))
+        return _attach(members, self.subtrees[0], 0, "inner").drop("idx")
 
+    def nodes(self) -> DataFrame:
+        """(group, level, low, high, children) of all nodes above the leaves."""
+        found = [s.select("group", F.explode("nested").alias("v")).select("group", "v.*") for s in self.subtrees]
+        out = found[0]
+        for more in found[1:]:
+            out = out.union(more)
+        return out
 
-def grow(leaves: DataFrame) -> Forest:
+
+def grow(leaves: DataFrame) -> Forest | None:
     """Trees over ``leaves`` (group, rank, n, digest), one per group. ``leaves`` should be stored, as it is read several times."""
     largest = leaves.agg(F.max("n")).first()[0]
     if largest is None:
-        return Forest(None, None, None)
-    # idx: number of the node at level ``base``; n: leaves of the group
+        return None
+    # idx: place of the node on level ``base``; n: leaves of the group
     current = leaves.select("group", F.col("rank").alias("idx"), "n", "digest")
-    base, asked, built = 0, [], []
+    base, bands = 0, []
     while True:
-        width = 1 << (base + BAND)
-        whole = F.col("n") <= width
-        blocks = (
+        ends = F.col("n") <= 1 << (base + BAND)
+        built = (
             current.groupBy("group", F.shiftright("idx", BAND).alias("block"))
             .agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("given"), F.first("n").alias("n"))
-            .select("group", "block", "n", _subtree(F.col("given.digest"), whole).alias("levels"))
-        )
-        by_level = blocks.select("group", "block", "n", "levels", F.posexplode("levels").alias("h", "digests"))
-        below = F.when(F.col("h") > 0, F.col("levels")[F.col("h") - 1])
-        one_by_one = by_level.select(
-            "group", "block", "n", "h", below.alias("below"), (F.col("h") == F.size("levels") - 1).alias("top"), F.posexplode("digests").alias("p", "digest")
-        )
-        level = F.lit(base) + F.col("h")
-        low = lambda idx, lv: F.call_function("shiftleft", idx, lv)
-        high = lambda idx, lv: F.least(F.call_function("shiftleft", idx + 1, lv), F.col("n")) - 1
-        bucket = F.call_function("shiftleft", F.col("block"), (F.lit(BAND) - F.col("h")).cast("int")) + F.col("p")
-        child = lambda d, i: F.struct(
-            low(2 * F.col("bucket") + i, F.col("level") - 1).alias("low"), high(2 * F.col("bucket") + i, F.col("level") - 1).alias("high"), d.alias("digest")
-        )
-        nodes = (
-            one_by_one.withColumn("bucket", bucket)
-            .withColumn("level", level)
+            .withColumn("given", F.transform("given", lambda x: _hex(x.digest)))
+            .withColumn("levels", _subtree(F.col("given"), ends))
             .select(
-                "group", "level", "bucket", "n", "digest", "top",
-                low(F.col("bucket"), F.col("level")).alias("low"),
-                high(F.col("bucket"), F.col("level")).alias("high"),
-                F.transform(F.slice("below", 2 * F.col("p") + 1, 2), child).alias("children"),
+                "group", "block", "n", ends.alias("ends"), _nested(F.col("levels"), base).alias("nested"),
+                F.unhex(F.element_at("levels", -1)[0]).alias("digest"),
             )
         )
-        nodes = cut_lineage(nodes, "merkle-nodes")
-        built.append(nodes.where(F.col("level") > base))
-        asked.append(_ancestors(current, nodes.where(F.col("level") > base), base))
-        if largest <= width:
-            break
-        current = nodes.where(F.col("top") & (F.col("n") > width)).select("group", F.col("bucket").alias("idx"), "n", "digest")
-        tops_here = nodes.where(F.col("top") & (F.col("n") <= width))
-        tops = tops_here if base == 0 else tops.union(tops_here)  # noqa: F821
+        bands.append(cut_lineage(built, "merkle-subtrees"))
         base += BAND
-    last = nodes.where("top")
-    tops = last if base == 0 else tops.union(last)
-    paths = asked[-1]
-    for steps in reversed(asked[:-1]):
-        upper = paths.select("group", F.col("idx").alias("block"), F.col("steps").alias("upper"))
-        joined = steps.withColumn("block", F.shiftright("idx", BAND)).join(upper, ["group", "block"], "left")
-        paths = joined.select("group", "idx", F.concat("steps", F.coalesce("upper", F.array().cast(upper.schema["upper"].dataType))).alias("steps"))
-    every = built[0]
-    for more in built[1:]:
-        every = every.union(more)
-    return Forest(
-        every.select("group", "level", "low", "high", "digest", "children"),
-        tops.select("group", "digest"),
-        paths.withColumnRenamed("idx", "rank"),
-    )
-
-
-def _ancestors(members: DataFrame, nodes: DataFrame, base: int) -> DataFrame:
-    """(group, idx, steps): for each node of level ``base`` the siblings below its ancestors of one band."""
-    low = F.call_function("shiftleft", F.col("idx"), F.lit(base))
-    high = F.least(F.call_function("shiftleft", F.col("idx") + 1, F.lit(base)), F.col("n")) - 1
-    wanted = members.select(
-        "group", "idx", low.alias("own_low"), high.alias("own_high"), F.explode(F.sequence(F.lit(base + 1), F.lit(base + BAND))).alias("level")
-    ).withColumn("bucket", F.call_function("shiftright", F.col("own_low"), F.col("level")))
-    contained = wanted.join(nodes.select("group", "level", "bucket", "low", "high", "children"), ["group", "level", "bucket"]).where(
-        "low <= own_low AND own_high <= high"
-    )
-    beside = lambda test: F.concat_ws("", F.transform(F.filter("children", test), lambda c: c.digest))
-    step = F.struct(
-        "level", beside(lambda c: c.high < F.col("own_low")).alias("left"), beside(lambda c: c.low > F.col("own_high")).alias("right")
-    )
-    found = contained.select("group", "idx", step.alias("step")).groupBy("group", "idx").agg(F.sort_array(F.collect_list("step")).alias("steps"))
-    none = F.array().cast(found.schema["steps"].dataType)
-    return members.select("group", "idx").join(found, ["group", "idx"], "left").select("group", "idx", F.coalesce("steps", none).alias("steps"))
+        if largest <= 1 << base:
+            break
+        current = bands[-1].where("NOT ends").select("group", F.col("block").alias("idx"), "n", "digest")
+    tops = bands[0].where("ends")
+    for more in bands[1:]:
+        tops = tops.union(more.where("ends"))
+    done = [bands[-1].withColumn("upper", F.array().cast(_NO_STEPS))]
+    for k in range(len(bands) - 2, -1, -1):
+        below = bands[k].select("group", F.col("block").alias("idx"), "n", F.col("nested").alias("mine"))
+        reached = _attach(below, done[0], (k + 1) * BAND, "left")
+        done.insert(0, reached.select("group", F.col("idx").alias("block"), F.col("mine").alias("nested"), F.col("steps").alias("upper")))
+    return Forest(tops.select("group", "digest"), done)
 
 
 def folded(leaf: Column, steps: Column) -> Column:
     """The root that follows from a leaf and its siblings."""
-    return F.aggregate(steps, leaf, lambda below, s: digest(s.left, below, s.right))
+    text = lambda c: F.coalesce(_hex(c), F.lit(""))
+    return F.aggregate(steps, leaf, lambda below, s: digest(text(s.left), below, text(s.right)))
 
 
 def prove_rows(
@@ -188,27 +206,28 @@ def prove_rows(
     rows = docs.select(
         F.col(id_name).alias("id"),
         F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("group"),  # keeps the order, null first
-        own.alias("digest"),
-        (F.when(when, other) if when is not None else F.lit(None).cast("string")).alias("claimed"),
+        F.unhex(own).alias("digest"),
+        (F.unhex(F.when(when, other)) if when is not None else F.lit(None).cast("binary")).alias("claimed"),
     )
     leaves = cut_lineage(ranked(cut_lineage(rows, "leaves"), "group", ["id", "digest"]), "ranked-leaves")
     trees = grow(leaves)
-    if trees.tops is None:
+    if trees is None:
+        kind = rows.schema["id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame(
-            [], "doc_id long, leaf string, subroot string, root string, siblings array<string>, folded_root string, verified boolean"
+            [], f"doc_id {kind}, leaf string, subroot string, root string, siblings array<string>, folded_root string, verified boolean"
         )
     tops = ranked(trees.tops.select(F.lit("").alias("all"), F.col("group").alias("of"), F.col("digest")), "all", ["of"])
     tops = cut_lineage(tops.withColumnRenamed("all", "group"), "subroots")
     above = grow(tops)
-    root = above.tops.first()["digest"]
-    upper = tops.join(above.paths, ["group", "rank"]).select(F.col("of").alias("group"), F.col("digest").alias("subroot"), F.col("steps").alias("upper"))
-    proven = leaves.join(trees.paths, ["group", "rank"]).join(upper, "group").withColumn("steps", F.concat("steps", "upper"))
-    siblings = F.filter(F.flatten(F.transform("steps", lambda s: F.array(s.left, s.right))), lambda x: x != "")
+    root = above.tops.select(_hex(F.col("digest"))).first()[0]
+    over = above.paths(tops).select(F.col("of").alias("group"), _hex(F.col("digest")).alias("subroot"), F.col("steps").alias("over"))
+    proven = trees.paths(leaves).join(over, "group").withColumn("steps", F.concat("steps", "over"))
+    siblings = F.filter(F.flatten(F.transform("steps", lambda s: F.array(_hex(s.left), _hex(s.right)))), lambda x: x.isNotNull())
     return proven.select(
         F.col("id").alias("doc_id"),
-        F.col("digest").alias("leaf"),
+        _hex(F.col("digest")).alias("leaf"),
         "subroot",
         F.lit(root).alias("root"),
         siblings.alias("siblings"),
-        folded(F.coalesce("claimed", "digest"), F.col("steps")).alias("folded_root"),
+        folded(_hex(F.coalesce("claimed", "digest")), F.col("steps")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
