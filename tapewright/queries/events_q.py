@@ -432,16 +432,40 @@ def st1b(spark, sf):
     return SM.latest_rows_of(spark, out, ("window_start", "window_end", "symbol"))
 
 
-@query("st2_ledger_stream", LEDGER_SQL + " select symbol, entry_date, status, exit_date, exit_price, realized_pct, peak_pct, days_held from led where status <> 'OPEN'")
-def st2(spark, sf):
-    src, out, ckpt = (shared_folder(spark, p) for p in ("ledger-events", "ledger-closed", "ledger-checkpoint"))
+def _ledger_revisions(spark, sf, parts, **options):
+    """Newest results of the ledger stream after ``parts`` of the events were delivered one after the other."""
+    src, out, ckpt = (shared_folder(spark, p) for p in ("ledger-events", "ledger-revisions", "ledger-checkpoint"))
     events = cut_lineage(SL.ledger_events(positions(spark, sf), M.bars(spark, sf)), "events")
-    # Years arrive one after another; the checkpoint carries the open positions over.
-    for lo, hi in (("1900-01-01", "1997-12-31"), ("1998-01-01", "1999-06-30"), ("1999-07-01", "2999-12-31")):
-        events.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(SL.EVENT_SCHEMA).parquet(src)
-        SM.run_to_table(SL.ledger_stream(stream), out, ckpt)
-    return spark.read.schema(SL.RESULT_SCHEMA).parquet(out)
+    for part in parts:
+        events.where(part).write.mode("append").parquet(src)
+        SM.run_to_table(SL.ledger_stream(spark.readStream.schema(SL.EVENT_SCHEMA).parquet(src), t=T, **options), out, ckpt)
+    return SL.latest_results(spark.read.schema(SL.RESULT_SCHEMA).parquet(out))
+
+
+_RESULT = "symbol, entry_date, status, exit_date, exit_price, realized_pct, peak_pct, days_held"
+
+
+@query("st2_ledger_stream", LEDGER_SQL + f" select {_RESULT} from led where status <> 'OPEN'")
+def st2(spark, sf):
+    # Bars of every third month come late, and half of the picks after most of their bars.
+    late, odd = F.col("kind").eqNullSafe("bar") & (F.month("date") % 3 == 0), F.year("date") % 2 == 1
+    pick = F.col("kind") == "pick"
+    parts = (~late & ~(pick & odd), pick & odd, late)
+    return _ledger_revisions(spark, sf, parts).where("status != 'OPEN'").select(*_RESULT.split(", "))
+
+
+@query("st2b_ledger_open_symbols", LEDGER_SQL.replace("with ", "with recursive ", 1) + f""", taken as (
+  select symbol, entry_date, exit_date from led where (symbol, entry_date) in (select (symbol, min(entry_date)) from led group by symbol)
+  union all
+  select l.symbol, l.entry_date, l.exit_date from led l join (
+    select a.symbol, min(n.entry_date) as d from taken a join led n on n.symbol = a.symbol and n.entry_date > a.exit_date group by a.symbol) x
+  on x.symbol = l.symbol and x.d = l.entry_date)
+  select {_RESULT} from led join taken using (symbol, entry_date, exit_date) where status <> 'OPEN'
+  union all select symbol, entry_date, 'SKIPPED', null, null, null, 0.0, 0 from led anti join taken using (symbol, entry_date)""")
+def st2b(spark, sf):
+    early = F.year("date") < 1996
+    parts = (early | (F.col("kind") == "pick"), ~early & (F.col("kind") == "bar"))
+    return _ledger_revisions(spark, sf, parts, skip_open=True).where("status != 'OPEN'").select(*_RESULT.split(", "))
 
 
 @query("st3_stream_upsert", B.with_(B.BARS) + """ select year(date)::int as y, count(*) as n, count(*) filter (where day(date) > 15) as corrected,

@@ -1,5 +1,6 @@
 """Sources, sinks, ledger and streams."""
 
+import dataclasses
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ from tapewright.operators import calendar as C
 from tapewright.operators import sheets as SH
 from tapewright.plans import cohorts as CO
 from tapewright.plans import ledger as LG
+from tapewright.settings import DEFAULTS
 from tapewright.sources import files as FI
 from tapewright.sources import tables as TB
 from tapewright.streaming import ledger as SL
@@ -190,23 +192,66 @@ def random_market(seed, symbols=5, days=120):
     return bars, picks
 
 
+RESULT = ["symbol", "entry_date", "status", "exit_date", "exit_price", "realized_pct", "peak_pct", "days_held"]
+
+
+def deliver(spark, tmp_path, parts, **options):
+    """Newest results after the parts came one after the other, each in its own run of the stream."""
+    src, out, ckpt = (str(tmp_path / p) for p in ("src", "out", "ckpt"))
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        run_to_table(SL.ledger_stream(spark.readStream.schema(SL.EVENT_SCHEMA).parquet(src), **options), out, ckpt)
+    return spark.read.schema(SL.RESULT_SCHEMA).parquet(out)
+
+
 def test_ledger_stream_equals_the_batch_walk(spark, tmp_path):
     bars, picks = random_market(3)
     bdf, pdf = spark.createDataFrame(bars, BAR), spark.createDataFrame(picks, POSITION)
-    cols = ["symbol", "entry_date", "status", "exit_date", "exit_price", "realized_pct", "peak_pct", "days_held"]
-    want = LG.resolve_positions(pdf, bdf, "2020-12-31").where(F.col("status") != "OPEN").select(cols)
-    src, out, ckpt = (str(tmp_path / p) for p in ("src", "out", "ckpt"))
+    want = LG.resolve_positions(pdf, bdf, "2020-12-31").where(F.col("status") != "OPEN").select(RESULT)
     events = SL.ledger_events(pdf, bdf)
-    for lo in range(0, 120, 30):
-        first, last = date(2020, 1, 1) + timedelta(days=lo), date(2020, 1, 1) + timedelta(days=lo + 29)
-        part = events.where(F.col("date").between(F.lit(first), F.lit(last)))
-        part.write.mode("append").parquet(src)
-        if lo == 30:      # a repeated delivery of bars must not count twice
-            part.where("kind = 'bar'").write.mode("append").parquet(src)
-        run_to_table(SL.ledger_stream(spark.readStream.schema(SL.EVENT_SCHEMA).parquet(src)), out, ckpt)
-    got = spark.read.schema(SL.RESULT_SCHEMA).parquet(out).select(cols)
-    assert got.count() == want.count() > 50
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    parts = [events.where(F.col("date").between(F.lit(date(2020, 1, 1) + timedelta(days=lo)), F.lit(date(2020, 1, 1) + timedelta(days=lo + 39))))
+             for lo in range(0, 120, 40)]
+    parts[1] = parts[1].union(parts[1].where("kind = 'bar'"))  # a repeated delivery of bars must not count twice
+    got = deliver(spark, tmp_path, parts)
+    assert got.count() == want.count() > 50 and got.where("revision > 1").count() == 0
+    assert sorted(map(tuple, got.select(RESULT).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ledger_stream_in_any_order_of_delivery(spark, tmp_path):
+    """Late bars, late picks and corrected bars: the newest revisions are what one batch over everything gives."""
+    bars, picks = random_market(5)
+    bars = [(*b[:2], None, *b[3:]) if k % 37 == 0 else b for k, b in enumerate(bars)]
+    wrong = [(s, d, h and h * 1.5, low * 0.5, c) for s, d, h, low, c in bars[::11]]
+    bdf, pdf = spark.createDataFrame(bars, BAR), spark.createDataFrame(picks, POSITION)
+    want = LG.resolve_positions(pdf, bdf, "2020-12-31").where(F.col("status") != "OPEN").select(RESULT)
+    events = SL.ledger_events(pdf, bdf)
+    turn = F.abs(F.xxhash64("symbol", "date", "kind")) % 3
+    first = SL.ledger_events(pdf.limit(0), spark.createDataFrame(wrong, BAR)).union(events.where((turn == 0) & (F.col("kind") == "pick")))
+    got = deliver(spark, tmp_path, [first, events.where(turn == 1), events.where((turn == 0) & (F.col("kind") == "bar")), events.where(turn == 2)])
+    newest = SL.latest_results(got).where(F.col("status") != "OPEN")
+    assert sorted(map(repr, map(tuple, newest.select(RESULT).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert got.where("revision > 1").count() > 10
+
+
+def test_ledger_stream_skips_symbols_with_an_open_position(spark, tmp_path):
+    bars, picks = random_market(7)
+    short = dataclasses.replace(DEFAULTS, time_stop_bars=8)
+    bdf, pdf = spark.createDataFrame(bars, BAR), spark.createDataFrame(picks, POSITION)
+    alone = {(r.symbol, r.entry_date): r for r in LG.resolve_positions(pdf, bdf, "2020-12-31", t=short).select(RESULT).collect()}
+    want, busy = [], {}
+    for key in sorted(alone):
+        r = alone[key]
+        if busy.get(r.symbol, date.min) >= r.entry_date:
+            want.append((*key, "SKIPPED", None))
+        else:
+            busy[r.symbol] = r.exit_date or date.max
+            want.append((*key, r.status, r.exit_date))
+    turn = F.abs(F.xxhash64("date", "kind")) % 2
+    events = SL.ledger_events(pdf, bdf)
+    got = deliver(spark, tmp_path, [events.where(turn == 1), events.where(turn == 0)], t=short, skip_open=True)
+    found = [(r.symbol, r.entry_date, r.status, r.exit_date) for r in SL.latest_results(got).where("status != 'OPEN'").collect()]
+    assert sorted(map(repr, found)) == sorted(repr(w) for w in want if w[2] != "OPEN")
+    assert 10 < sum(w[2] == "SKIPPED" for w in want) < len(want)
 
 
 def test_stream_upsert_keeps_the_newest_version(spark, tmp_path):
