@@ -8,7 +8,7 @@ from ..functions.scoring import pct_move
 from ..functions.screeners import screener_name_from_stem
 from ..operators import sheets as SH
 from ..operators.timeseries import by_symbol
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import files as FI
 from ..sources import market_tables as M
 from ..sources import tables as TB
@@ -31,18 +31,29 @@ def _raw_bars(spark, sf):
         F.when(F.col("deliv_per") == 0, "-").otherwise(F.col("deliv_per").cast("string")).alias("DELIV_PER"), "date")
 
 
+def _write_files(df, path, *, mode="append"):
+    """CSV files under ``path``, one per value of the column ``file``, which is their name."""
+    df.repartition("file").write.partitionBy("file").option("header", True).mode(mode).csv(path)
+
+
+def _dated_name(form, prefix="sheet_", suffix=""):
+    return F.concat(F.lit(prefix), F.date_format("date", form), F.lit(suffix))
+
+
 _PANEL = ("select symbol, date, {x} open, high, low, close, volume::double as volume, "
           "case when deliv_per = 0 then null else round(deliv_per, 6) end as deliv_per from bars where volume >= 5000")
 
 
-@query("s01_bar_file_scan", B.with_(B.BARS) + " select symbol, date, close, volume::double as volume from bars")
+# Files of the readers' queries hold a month each, under its first day: a file costs more to write than its rows.
+
+@query("s01_bar_file_scan", B.with_(B.BARS) + " select symbol, date_trunc('month', date)::date as date, close, volume::double as volume from bars")
 def s01(spark, sf):
     path = shared_folder(spark, "bars")
     raw = M.bars(spark, sf).select(
         F.col("symbol").alias("SYMBOL"), F.lit("EQ").alias(" SERIES"),
         F.col("close").cast("string").alias(" CLOSE_PRICE"), F.format_number("volume", 0).alias("TTL_TRD_QNTY"),
-        F.date_format("date", "ddMMyyyy").alias("d"), F.date_format("date", "'bars_'ddMMyyyy").alias("file"))
-    raw.drop("d").repartition("file").write.partitionBy("file").option("header", True).csv(path)
+        F.date_format(F.trunc("date", "month"), "'bars_'ddMMyyyy").alias("file"))
+    _write_files(raw, path)
     out = FI.conform_bars(FI.read_bar_files(spark, [path]))
     return out.select("symbol", "date", "close", "volume")
 
@@ -74,18 +85,19 @@ def s04(spark, sf):
 
 
 @query("s05_canonical_file_names", B.with_(B.BARS) + """
-  select date, count(*) as n, case when day(date) <= 15 then 'compact' else 'iso' end as name_form
-  from bars group by date""")
+  select date_trunc('month', date)::date as date, count(*) as n, case when month(date) <= 5 then 'compact' else 'iso' end as name_form
+  from bars group by 1, 3""")
 def s05(spark, sf):
-    b = M.bars(spark, sf).select("symbol", "date")
-    iso = b.withColumn("_path", F.concat(F.lit("x/sheet_"), F.date_format("date", "yyyy-MM-dd"), F.lit(".csv")))
-    compact = b.where(F.day("date") <= 15).withColumn(
-        "_path", F.concat(F.lit("x/sheet_"), F.date_format("date", "ddMMyyyy"), F.lit(".csv")))
-    files = iso.unionByName(compact).withColumn("date", FI.date_in_path(F.col("_path")))
-    ranked = files.withColumn("_priority", F.when(FI.has_canonical_name(F.col("_path")), 0).otherwise(1))
-    kept = FI.prefer_source(ranked.withColumn("name_form", F.when(
-        F.col("_priority") == 0, "compact").otherwise("iso")))
-    return kept.groupBy("date", "name_form").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_folder(spark, "sheets")
+    b = M.bars(spark, sf).select("symbol", F.trunc("date", "month").alias("date"))
+    # Every month has two files with times in their names, which hold its rows once more; most have an ISO or a compact name, too.
+    timed = [b.withColumn("file", _dated_name("yyyy-MM-dd", suffix=t)) for t in (" 0915.csv", " 1530.csv")]
+    iso = b.where(F.month("date") <= 10).withColumn("file", _dated_name("yyyy-MM-dd"))
+    compact = b.where(F.month("date") <= 5).withColumn("file", _dated_name("ddMMyyyy"))
+    _write_files(timed[0].unionByName(timed[1]).unionByName(iso).unionByName(compact).drop("date"), path)
+    rows = FI.read_dated(spark, [path])
+    form = F.when(FI.has_canonical_name(F.col("_path")), "compact").otherwise("iso")
+    return rows.groupBy("date", form.alias("name_form")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _raw_sheet(spark, sf):
@@ -127,22 +139,28 @@ def s06(spark, sf):
     return _sheet_out(FI.conform_sheet(_raw_sheet(spark, sf)))
 
 
-@query("s07_sheet_history_union", _SHEET_SQL)
+@query("s07_sheet_history_union", _SHEET_SQL.replace("b.date, b.close as price", "date_trunc('month', b.date)::date as date, b.close as price"))
 def s07(spark, sf):
-    raw = _raw_sheet(spark, sf)
+    root, work = shared_folder(spark, "sheets-root"), shared_folder(spark, "sheets-work")
+    raw = cut_lineage(_raw_sheet(spark, sf).withColumn("date", F.trunc("date", "month")), "raw-sheet")
     priceless = raw.withColumn("Price", F.lit("n/a"))
-    return _sheet_out(FI.sheet_panel(FI.conform_sheet(raw.unionByName(priceless))))
+    wrong = raw.withColumn("Price", F.lit("1"))
+    first = F.month("date") <= 6
+    # Half of the dates are in the first directory; the second has them, too, and the others under two forms of the name.
+    _write_files(raw.where(first).unionByName(priceless.where(first)).withColumn("file", _dated_name("ddMMyyyy")).drop("date"), root)
+    _write_files(wrong.where(first).withColumn("file", _dated_name("ddMMyyyy")).drop("date"), work)
+    _write_files(raw.where(~first).withColumn("file", _dated_name("ddMMyyyy")).drop("date"), work)
+    _write_files(wrong.where(~first).withColumn("file", _dated_name("yyyy-MM-dd")).drop("date", "% Chg"), work)
+    return _sheet_out(FI.read_sheet_files(spark, [root, work]))
 
 
 def _vendor_hits(spark, sf):
-    """Screener-file rows under variant headers, one file stem per screener."""
+    """Screener-file rows under a vendor's headers."""
     q = M.bars(spark, sf).select("symbol", "date", "close", "volume")
     return M.screener_hits(spark, sf).join(q, ["symbol", "date"]).select(
         F.col("symbol").alias("nsecode"), F.concat(F.col("symbol"), F.lit(" Ltd")).alias("name"),
         F.format_number("close", 2).alias("close"), F.format_number("volume", 0).alias("volume"),
-        F.lit("1.5%").alias("%_change"),
-        F.concat(F.lit("in/"), F.date_format("date", "yyyy-MM-dd"), F.lit("/"), F.col("screener"),
-                 F.lit("_20260706_093000.csv")).alias("_path"))
+        F.lit("1.5%").alias("%_change"), F.date_format("date", "yyyy-MM-dd").alias("Day"), "screener")
 
 
 _VENDOR_SQL = B.with_(B.BARS, B.HITS) + """
@@ -152,9 +170,18 @@ _VENDOR_SQL = B.with_(B.BARS, B.HITS) + """
 
 @query("s08_column_aliases", _VENDOR_SQL)
 def s08(spark, sf):
-    raw = _vendor_hits(spark, sf)
-    renamed = raw.toDF(*FI.canonical_names(raw.columns))
-    return FI.with_folder_date(FI.conform_hits(renamed))
+    path = shared_folder(spark, "screener-files")
+    hits = cut_lineage(_vendor_hits(spark, sf), "vendor-hits")
+    file = F.concat("screener", F.when(F.month("Day") % 2 == 0, "_20260706_093000.csv").otherwise("_20260706_160000.csv"))
+    plain = hits.where(F.month("Day") % 2 == 0).withColumn("file", file).drop("screener")
+    _write_files(plain, path)
+    # The other files have other headers in another order.
+    titled = hits.where(F.month("Day") % 2 == 1).withColumn("file", file).select(
+        F.col("volume").alias("Volume"), "Day", F.col("nsecode").alias("SYMBOL"), F.col("%_change").alias("% Chg"),
+        F.col("close").alias("Price"), F.col("name").alias("Stock Name"), "file")
+    _write_files(titled, path)
+    found = FI.conform_hits(FI.read_csv_by_name(spark, path, aliases=True), "Day")
+    return found.withColumn("date", FI.parse_date(F.col("Day"))).drop("Day", "_path")
 
 
 @query("s09_screener_from_stem", B.with_(B.BARS, B.HITS) + """
@@ -287,10 +314,11 @@ def s20(spark, sf):
   select m.group_id, count(*) as n_new, min(message_id) as first_new, max(message_id) as last_new
   from messages m join cut c on c.group_id = m.group_id where message_id > last_id group by m.group_id""")
 def s21(spark, sf):
-    m = M.messages(spark, sf)
-    log = m.where(F.col("date") < F.lit("1998-01-01").cast("date"))
+    m, log = M.messages(spark, sf), shared_folder(spark, "message-log")
+    TB.append_messages(spark, m.where(F.col("date") < F.lit("1998-01-01").cast("date")), log)
     # Re-delivered and blank messages are part of the input and must not appear.
     blank = m.withColumns({"text": F.lit("  "), "message_id": F.col("message_id") + 10_000_000})
-    fresh = TB.new_messages(m.unionByName(m).unionByName(blank), log)
+    TB.append_messages(spark, m.unionByName(m).unionByName(blank), log, "news")
+    fresh = spark.read.parquet(f"{log}/batch=news")
     return fresh.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_new"), F.min("message_id").alias("first_new"), F.max("message_id").alias("last_new"))

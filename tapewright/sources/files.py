@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.screeners import screener_name_from_stem, strip_ws
 from ..settings import COLUMN_ALIASES, EQUITY_SERIES
+from .manifest import BROADCAST_FILES, first_lines, list_files, one_per_date, plain_path, unit_of
 
 
 def missing() -> Column:
@@ -51,44 +48,43 @@ def has_canonical_name(path: Column) -> Column:
     return path.rlike(r"_\d{8}(?:\.csv)?(?:/[^/]*)?$")
 
 
-def file_path() -> Column:
-    """Path of the file a row came from, with URL escapes (spaces) undone."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
-def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases: bool = False) -> DataFrame:
+def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], *, aliases: bool = False, manifest: DataFrame | None = None) -> DataFrame:
     """Read CSV files whose headers differ, matching columns by trimmed name.
 
-    Files are grouped by header (few distinct ones) and each group is one multi-file
-    scan; a column missing from a file is NULL.  All values are text; ``_path`` and
-    ``_seq`` (place in the file) are kept.
+    Only the first lines are looked at beforehand, on the executors; then all files are one scan, in which each line
+    meets the header of its file.  A column missing from a file is NULL, and a line equal to its file's header is none
+    of its rows.  All values are text; ``_path`` (the file, or the folder Spark wrote under a file's name) and ``_seq``
+    (place in the file) are kept.  What comes to the driver are the distinct column names.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths, recursiveFileLookup=True).select(
-        "value", file_path().alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
-    headers = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    distinct = [r.header for r in headers.select("header").distinct().limit(2).collect()]
-    if not distinct:
+    listed = manifest if manifest is not None else list_files(spark, paths)
+    cell = lambda h: F.trim(F.regexp_replace(strip_ws(h), '^"|"$', ""))
+    headers = first_lines(listed).select(
+        "path", "header", F.transform(F.split(F.regexp_replace("header", "^\\x{FEFF}", ""), ","), lambda h: cell(h)).alias("names"))
+    found = headers.agg(
+        F.count(F.lit(1)).alias("files"), F.max(F.size("names")).alias("width"), F.array_sort(F.collect_set("names")).alias("variants")).first()
+    if not found.files:
         raise FileNotFoundError(f"no files under {paths}")
-    if len(distinct) == 1:
-        groups = {distinct[0]: paths}
-    else:
-        # One short row per file, no more than Spark's own file listing keeps on the driver.
-        groups = defaultdict(list)
-        for row in headers.collect():
-            groups[row.header].append(row.path)
-    parts = []
-    for header, files in sorted(groups.items()):
-        names = [h.strip().strip('"').strip() for h in header.lstrip("﻿").split(",")]
-        if aliases:
-            names = canonical_names(names)
-        schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
-        parts.append(
-            spark.read.schema(schema).csv(files, header=True, enforceSchema=True, recursiveFileLookup=True)
-            .withColumns({"_path": file_path(), "_seq": F.struct(
-                F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))}))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    places: dict[str, list[tuple[list[str], int]]] = {}
+    for variant in found.variants:
+        renamed = canonical_names(variant) if aliases else variant
+        for i, name in enumerate(renamed):
+            places.setdefault(name or f"_c{i}", []).append((variant, i))
+    lines = spark.read.text(paths, recursiveFileLookup=True).select(
+        "value", plain_path().alias("path"), F.struct(
+            F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_seq")).where("value != ''")
+    known = F.broadcast(headers) if found.files <= BROADCAST_FILES else headers
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(found.width)))
+    rows = lines.join(known, "path").where(F.col("value") != F.col("header")).withColumn("_cells", cells)
+
+    def value(of: list[tuple[list[str], int]]) -> Column:
+        by_place: dict[int, list[list[str]]] = {}
+        for variant, i in of:
+            by_place.setdefault(i, []).append(variant)
+        at = [F.when(F.col("names").isin(*[F.array(*map(F.lit, v)) for v in variants]), F.col(f"_cells.c{i}")) for i, variants in by_place.items()]
+        return F.coalesce(*at) if len(found.variants) > 1 else F.col(f"_cells.c{of[0][1]}")
+
+    return rows.select(*(value(of).alias(name) for name, of in places.items()), unit_of(F.col("path")).alias("_path"), "_seq")
 
 
 def canonical_names(names: Sequence[str]) -> list[str]:
@@ -121,15 +117,24 @@ def prefer_source(df: DataFrame, priority: str = "_priority", date: str = "date"
 
 # ---- bars ------------------------------------------------------------------
 
+def read_dated(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
+    """Rows of dated files, one file per date, with ``date``: of the first directory, then by the compact form of the
+    name, then by name.  The files of a date that lose are never opened."""
+    unit = F.col("unit")
+    listed = list_files(spark, directories)
+    chosen = one_per_date(listed, date_in_path(unit), F.when(has_canonical_name(unit), 0).otherwise(1))
+    # one row per calendar date
+    units = [r.unit for r in chosen.select("unit").collect()]
+    if not units:
+        raise FileNotFoundError(f"no dated files under {list(directories)}")
+    kept = listed.join(F.broadcast(chosen.select("unit", "priority")), ["unit", "priority"], "left_semi")
+    raw = read_csv_by_name(spark, units, manifest=kept)
+    return raw.withColumn("date", date_in_path(F.col("_path")))
+
+
 def read_bar_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     """Raw bar rows of dated files; for a date found in several directories the first wins."""
-    parts = [
-        normalize_bar_headers(read_csv_by_name(spark, d)).withColumn("_priority", F.lit(i))
-        for i, d in enumerate(directories)
-    ]
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    dated = raw.withColumn("date", date_in_path(F.col("_path"))).where(F.col("date").isNotNull())
-    return prefer_source(dated)
+    return normalize_bar_headers(read_dated(spark, directories))
 
 
 def normalize_bar_headers(raw: DataFrame) -> DataFrame:
@@ -194,19 +199,12 @@ def conform_sheet(raw: DataFrame) -> DataFrame:
         *[to_number(source[c]).alias(c) for c in SHEET_NUMBERS],
         percent_to_number(column_or_null(raw, "% Chg")).alias("chg"),
         *(["_path"] if "_path" in raw.columns else []),
-        *(["_priority"] if "_priority" in raw.columns else []),
     )
 
 
 def read_sheet_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     """Sheet history: earlier directories win, and within one the compact file name."""
-    parts = []
-    for i, d in enumerate(directories):
-        raw = read_csv_by_name(spark, d)
-        rank = F.when(has_canonical_name(F.col("_path")), 2 * i).otherwise(2 * i + 1)
-        parts.append(raw.withColumn("date", date_in_path(F.col("_path"))).withColumn("_priority", rank))
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return sheet_panel(prefer_source(conform_sheet(raw.where(F.col("date").isNotNull()))))
+    return sheet_panel(conform_sheet(read_dated(spark, directories)))
 
 
 def sheet_panel(sheets: DataFrame) -> DataFrame:
@@ -220,8 +218,9 @@ def read_screener_files(spark: SparkSession, path: str) -> DataFrame:
     return conform_hits(read_csv_by_name(spark, path, aliases=True))
 
 
-def conform_hits(raw: DataFrame) -> DataFrame:
-    stem = F.regexp_extract(F.col("_path"), r"([^/]+?)(?:\.csv)?$", 1)
+def conform_hits(raw: DataFrame, *extra: str) -> DataFrame:
+    """Typed hits; columns named in ``extra`` are kept as they are."""
+    stem = F.regexp_extract(F.col("_path"), r"([^/=]+?)(?:\.csv)?$", 1)
     screener = column_or_null(raw, "Screener") if "Screener" in raw.columns else screener_name_from_stem(stem)
     return raw.select(
         strip_ws(F.col("Symbol")).alias("symbol"),
@@ -230,7 +229,7 @@ def conform_hits(raw: DataFrame) -> DataFrame:
         percent_to_number(column_or_null(raw, "% Chg")).alias("chg"),
         to_number(column_or_null(raw, "Price")).alias("price"),
         to_number(column_or_null(raw, "Volume")).alias("volume"),
-        "_path")
+        "_path", *extra)
 
 
 def with_folder_date(hits: DataFrame) -> DataFrame:

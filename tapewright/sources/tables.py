@@ -56,24 +56,6 @@ def add_pattern_points(sheet: DataFrame, weights: DataFrame, cap: int = 30, unse
     return sheet.join(points, ["symbol", "date"], "left").fillna(0, ["pattern_points"])
 
 
-def high_water_marks(log: DataFrame) -> DataFrame:
-    return log.groupBy("group_id").agg(F.max("message_id").alias("last_id"))
-
-
-def new_messages(incoming: DataFrame, log: DataFrame | None) -> DataFrame:
-    """Non-empty messages above their group's high-water mark, once per (group, id).
-
-    The de-duplication keys on the message, not on the group, so a busy group spreads
-    over all tasks; the marks are one row per group.
-    """
-    rows = incoming.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    rows = rows.dropDuplicates(["group_id", "message_id"])
-    if log is None:
-        return rows
-    return (rows.join(high_water_marks(log), "group_id", "left")
-            .where(F.col("message_id") > F.coalesce("last_id", F.lit(0))).drop("last_id"))
-
-
 def stored_marks(spark: SparkSession, path: str, without: str = "") -> DataFrame:
     """(group_id, last_id) from the marks kept beside the log at ``path``, but for those of the batch ``without``."""
     spark.range(0).select(F.lit("").alias("group_id"), F.lit(0).cast("long").alias("last_id")).withColumn(

@@ -13,6 +13,7 @@ from tapewright.plans import cohorts as CO
 from tapewright.plans import ledger as LG
 from tapewright.settings import DEFAULTS
 from tapewright.sources import files as FI
+from tapewright.sources import manifest as MF
 from tapewright.sources import tables as TB
 from tapewright.streaming import ledger as SL
 from tapewright.streaming import messages as SM
@@ -49,6 +50,54 @@ def test_sheet_files_prefer_root_and_compact_names(spark, tmp_path):
     assert got["E"].BUY_quantity == 4.0 and got["E"].Sector is None
 
 
+def test_one_file_per_date_is_read(spark, tmp_path):
+    """Two files of one date and form: the first by name."""
+    write(tmp_path / "sheet_2020-01-07 0915.csv", "Symbol,Price\nA,1\n")
+    write(tmp_path / "sheet_2020-01-07 1530.csv", "Symbol,Price\nB,2\n")
+    write(tmp_path / "sheet_2020-01-08.csv", "Price,Extra,Symbol\n3,\"x,y\",C\n")
+    write(tmp_path / "notes.csv", "Symbol,Price\nD,4\n")
+    raw = FI.read_dated(spark, [str(tmp_path)])
+    read = raw.where("Symbol IS NOT NULL").select("_path").distinct().collect()
+    assert {r[0].rsplit("/", 1)[1] for r in read} == {"sheet_2020-01-07 0915.csv", "sheet_2020-01-08.csv"}
+    assert sorted((r.Symbol, r.Price, r.Extra, r.date) for r in raw.collect()) == [
+        ("A", "1", None, date(2020, 1, 7)), ("C", "3", "x,y", date(2020, 1, 8))]
+
+
+def test_only_first_lines_are_read_for_headers(spark, tmp_path):
+    (tmp_path / "big.csv").write_bytes(b"\xef\xbb\xbfa, \"b\" \r\n" + b"1,2\n" * 100_000 + b"\xff")
+    (tmp_path / "wide.csv").write_text(",".join(f"n{i}" for i in range(5000)) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    read = []
+
+    class Counting:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.stream.read(n)
+
+    opened = MF._arrow_file
+    try:
+        MF._arrow_file = lambda path: Counting(opened(path))
+        assert MF._first_line(str(tmp_path / "big.csv")) == '\ufeffa, "b" '
+    finally:
+        MF._arrow_file = opened
+    assert read == [MF.FIRST_BYTES]
+    got = {r.path.rsplit("/", 1)[1]: r.header for r in MF.first_lines(MF.list_files(spark, str(tmp_path))).collect()}
+    assert got["wide.csv"].endswith("n4999") and sorted(got) == ["big.csv", "wide.csv"]  # an empty file has no rows
+    rows = FI.read_csv_by_name(spark, str(tmp_path / "big.csv"))
+    assert rows.columns[:2] == ["a", "b"] and rows.where("a = '1' AND b = '2'").count() == 100_000
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
 def test_screener_files_and_merge(spark, tmp_path):
     day = tmp_path / "2020-01-03"
     write(day / "VCP_20200103_093000.csv", "nsecode,name,close,volume,%Chg\nAAA,Aaa Ltd,\"1,000\",\"5,000\",2%\n")
