@@ -126,7 +126,7 @@ def _profiles(shingle: int):
         for k, part in enumerate(np.minimum(counters, 255).astype(np.uint8).reshape(-1, 1 << SLICE_BITS)):
             if part.any():
                 yield pa.record_batch(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                      pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
 
     return run
@@ -268,10 +268,13 @@ def _fitting(percent: int):
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, hash, n_shingles, component): every row with the size of its set and the smallest id it is connected to."""
+    """(id, hash, n_shingles, component, group): every row with the size of its set and the smallest id it is connected to.
+
+    ``group`` tells the groups apart (null without a set): two of them may have one smallest id where ids repeat or lack.
+    """
     rows = keyed(docs, id_name, text)
     profiles = cut_lineage(
-        rows.mapInArrow(_profiles(shingle), "id long, hash int, n long, class long, spread binary, slice int, counts binary"), "shingle-profiles"
+        rows.mapInArrow(_profiles(shingle), "id long, hash binary, n long, class long, spread binary, slice int, counts binary"), "shingle-profiles"
     )
     order = token_order(profiles)
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -306,9 +309,10 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_name: str = "doc_
         "label", F.coalesce("label", "class")
     )
     component = of_class.groupBy("label").agg(F.min("own").alias("component"))
-    known = of_class.join(component, "label").select("class", "component")
+    known = of_class.join(component, "label").select("class", "component", F.col("label").alias("group"))
     found = people.join(known, "class", "left")
-    return found.select("id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return found.select("id", "hash", F.col("n").alias("n_shingles"), component.alias("component"), "group")
 
 
 def _by_token():

@@ -10,8 +10,8 @@ minimiser. So only minimisers tell where repeats can be:
    packed string to the bucket of its minimiser, where a ``judge`` finds the equal windows;
    A minimiser of more than ``CROWD`` runs would fill a task: its distinct runs are taken apart into windows, which an
    aggregate by 128-bit digest counts wherever they are;
-5. the findings go back from the distinct runs to all places by an equi-join on the digest; runs of step 3 pass it
-   unmatched.
+5. the findings go back from the distinct runs to all places by an equi-join on minimiser and digest; runs of step 3
+   pass it unmatched.
 
 A passage that a third of all documents hold is therefore one row after step 2 and one string in step 4; the joins in
 steps 2 and 5 are plain equi-joins of narrow rows which adaptive execution may split.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tapewright.session import cut_lineage
 
-from .arrays import find_words, mix, pieces, prefix_hashes, ranges, span_hashes, super_kmers, text_bytes, window_hashes, word_hashes
+from .arrays import BASE, find_words, mix, pieces, prefix_hashes, ranges, span_hashes, super_kmers, text_bytes, window_hashes, word_hashes
 from .columns import text_or_empty
 
 #: Sorts after all ids; stands for a null id.
@@ -42,11 +42,11 @@ BATCH_BYTES = 1_000_000
 def keyed(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, hash, text): rows with the same id and text are copies of one row and share every finding.
 
-    Columns named in ``carry`` follow as c0, c1, and so on, so that no name can clash.
+    ``hash`` has 128 bits of the text, so unlike texts under one id, or without any, stay apart. Columns named in ``carry`` follow as c0, c1, and so on, so that no name can clash.
     """
     return docs.select(
         F.coalesce(F.col(id_name), F.lit(NO_ID)).cast("long").alias("id"),
-        F.hash(text_or_empty(text_name)).alias("hash"),
+        F.unhex(F.md5(text_or_empty(text_name).cast("binary"))).alias("hash"),
         text_or_empty(text_name).alias("text"),
         *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
     )
@@ -58,8 +58,8 @@ def real_id() -> Column:
 
 def _units(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
-    if unit == "byte":
-        return data, offsets
+    if unit == "byte":  # none of them is 0, which would leave no trace in a hash
+        return data.astype(np.uint16) + 1, offsets
     starts, ends, rows = find_words(data, offsets)
     return word_hashes(data, starts, ends), rows
 
@@ -69,11 +69,12 @@ def _runs(unit: str, width: int, gram: int):
         for batch in pieces(batches, "text", BATCH_BYTES):
             units, rows = _units(batch.column(2), unit)
             mini, body, start, windows = super_kmers(units, rows, width, gram)
+            body = mix(body ^ (windows.astype(np.uint64) * BASE))  # the length is part of a run's digest
             row = np.searchsorted(rows, start, side="right") - 1
             yield pa.record_batch(
                 [
                     pa.array(batch.column(0).to_numpy()[row]),
-                    pa.array(batch.column(1).to_numpy()[row]),
+                    batch.column(1).take(pa.array(row)),
                     pa.array(mini.view(np.int64)),
                     pa.array(body.view(np.int64)),
                     pa.array((start - rows[row]).astype(np.int64)),
@@ -132,9 +133,9 @@ def _taken_apart(unit: str, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "packed", BATCH_BYTES // 4):
-            units, rows = _units(batch.column(3), unit)
+            units, rows = _units(batch.column(4), unit)
             if unit == "word":  # a second hash of each word, of its mixed bytes
-                data, offsets = text_bytes(batch.column(3))
+                data, offsets = text_bytes(batch.column(4))
                 starts, ends, _ = find_words(data, offsets)
                 other = span_hashes(prefix_hashes(mix(data.astype(np.uint64) + np.uint64(257))), starts, ends)
             else:
@@ -145,8 +146,8 @@ def _taken_apart(unit: str, width: int):
             field = lambda k: batch.column(k).to_numpy()[row]  # noqa: E731, B023
             digests = [window_hashes(prefix_hashes(x), width)[at].view(np.int64) for x in (units, other)]
             yield pa.record_batch(
-                [*map(pa.array, digests), pa.array((at - rows[row]).astype(np.int64)), *(pa.array(field(k)) for k in range(3))],
-                ["one", "two", "begin", "body", "copies", "first"],
+                [*map(pa.array, digests), pa.array((at - rows[row]).astype(np.int64)), *(pa.array(field(k)) for k in range(4))],
+                ["one", "two", "begin", "mini", "body", "copies", "first"],
             )
 
     return run
@@ -155,7 +156,7 @@ def _taken_apart(unit: str, width: int):
 def _joined_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal ranges of a run's repeated windows with one smallest id; a run has fewer windows than two widths."""
     for batch in batches:
-        lists = batch.column(1)
+        lists = batch.column(2)
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         begin, smallest = (lists.flatten().field(k).to_numpy() for k in ("begin", "smallest"))
         if not len(begin):
@@ -165,19 +166,20 @@ def _joined_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(begin)) - 1
         yield pa.record_batch(
-            [batch.column(0).take(pa.array(row[lo])), pa.array(begin[lo]), pa.array(begin[hi] + 1), pa.array(smallest[lo])], ["body", "begin", "end", "smallest"]
+            [*(batch.column(k).take(pa.array(row[lo])) for k in (0, 1)), pa.array(begin[lo]), pa.array(begin[hi] + 1), pa.array(smallest[lo])],
+            ["mini", "body", "begin", "end", "smallest"],
         )
 
 
 def _counted(packed: DataFrame, unit: str, width: int) -> DataFrame:
     """Findings in the runs of crowded minimisers. No group of equal windows or runs is gathered; both joins are plain equi-joins."""
-    windows = packed.select("body", "copies", "first", "packed").mapInArrow(
-        _taken_apart(unit, width), "one long, two long, begin long, body long, copies long, first long"
+    windows = packed.select("mini", "body", "copies", "first", "packed").mapInArrow(
+        _taken_apart(unit, width), "one long, two long, begin long, mini long, body long, copies long, first long"
     )
     several = windows.groupBy("one", "two").agg(F.sum("copies").alias("n"), F.min("first").alias("smallest")).where("n > 1")
     found = windows.join(several.select("one", "two", "smallest"), ["one", "two"])
-    by_run = found.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("begin", "smallest"))).alias("windows"))
-    return by_run.mapInArrow(_joined_ranges, "body long, begin long, end long, smallest long")
+    by_run = found.groupBy("mini", "body").agg(F.sort_array(F.collect_list(F.struct("begin", "smallest"))).alias("windows"))
+    return by_run.mapInArrow(_joined_ranges, "mini long, body long, begin long, end long, smallest long")
 
 
 def _judged(judge: Callable, width: int):
@@ -188,8 +190,8 @@ def _judged(judge: Callable, width: int):
         number = lambda name: table[name].to_numpy()
         run, begin, end, first = judge(table["packed"].combine_chunks(), number("copies"), number("first"), width)
         return pa.record_batch(
-            [pa.array(number("body")[run]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(first.astype(np.int64))],
-            ["body", "begin", "end", "smallest"],
+            [*(pa.array(number(k)[run]) for k in ("mini", "body")), *(pa.array(x.astype(np.int64)) for x in (begin, end, first))],
+            ["mini", "body", "begin", "end", "smallest"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +222,7 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
     smallest id, and returns run number, window range and the smallest id of those windows for every range that
     counts. With ``later_only`` a window counts only for ids greater than the smallest id that has it.
     """
-    runs = rows.mapInArrow(_runs(unit, width, gram), "id long, hash int, mini long, body long, start long, windows int")
+    runs = rows.mapInArrow(_runs(unit, width, gram), "id long, hash binary, mini long, body long, start long, windows int")
     shared = (
         runs.groupBy("mini")
         .agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("known"), F.max("id").alias("last"))
@@ -230,10 +232,10 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
     shared = cut_lineage(shared, "shared-minimisers")  # the join then meets two plain exchanges, which may be split where a key is hot
     # both uses of this join need all its columns, so both read one exchange of the runs
     marked = runs.join(shared, "mini")
-    place = F.struct("id", "hash", "start", "windows", "mini", "crowded")
-    distinct = marked.where("contested").groupBy("body").agg(F.min(place).alias("p"), F.count("*").alias("copies"))
+    place = F.struct("id", "hash", "start", "windows", "crowded")
+    distinct = marked.where("contested").groupBy("mini", "body").agg(F.min(place).alias("p"), F.count("*").alias("copies"))
     chosen = distinct.groupBy("p.id", "p.hash").agg(
-        F.collect_list(F.struct("p.start", "p.windows", "p.mini", "p.crowded", "body", "copies", F.col("p.id").alias("first"))).alias("chosen")
+        F.collect_list(F.struct("p.start", "p.windows", "mini", "p.crowded", "body", "copies", F.col("p.id").alias("first"))).alias("chosen")
     )
     packed = (
         rows.join(chosen, ["id", "hash"])
@@ -249,12 +251,12 @@ def repeated_windows(rows: DataFrame, unit: str, width: int, gram: int, judge: C
         .select("mini", "body", "copies", "first", "packed")
         .repartition("mini")
         .sortWithinPartitions("mini")
-        .mapInArrow(_judged(judge, width), "body long, begin long, end long, smallest long")
+        .mapInArrow(_judged(judge, width), "mini long, body long, begin long, end long, smallest long")
     )
     if some:
         findings = findings.union(_counted(packed.where("crowded"), unit, width))
     # a run that is not contested is found as a whole
-    found = marked.join(findings, "body", "left").where(~F.col("contested") | F.col("begin").isNotNull())
+    found = marked.join(findings, ["mini", "body"], "left").where(~F.col("contested") | F.col("begin").isNotNull())
     if later_only:
         found = found.where(F.col("id") > F.coalesce("smallest", "known"))
     return found.select(

@@ -488,3 +488,17 @@ def test_empty_tables(spark, empty):
 def test_word_bytes_of_sliced_arrow_columns():
     column = pa.array(["zero", None, "one two", ""]).slice(1, 3)
     assert [len(s) for s in jaccard.shingle_sets(column)] == [0, 1, 0]
+
+
+def test_unlike_texts_with_one_short_hash_and_texts_with_zero_bytes(spark):
+    tail = F.concat(F.lit(PASSAGE[:480] + " end"), F.col("id").cast("string"))
+    alike = spark.range(300_000).groupBy(F.hash(tail)).agg(F.collect_list(tail).alias("t")).where(F.size("t") > 1).first()["t"]
+    letters = "".join(chr(97 + (i * i) % 26) for i in range(200))
+    texts = [alike[0] + " x y z", *alike[:2], letters, letters + "\0", "\0" * 250, "\0" * 200 + "a", "b" + letters]
+    ids = [0, None, None, 4, 5, 6, 6, None]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(2)
+    rows = rows_of(docs)
+    same(tuples(superkmers.dedup_words(docs)), cut_words(rows))
+    found = [(r[0], r[1], r[2], [tuple(s) for s in r[3]], bytes(r[4])) for r in suffix_array.dedup_bytes(docs).collect()]
+    same(found, cut_bytes(rows))
+    same(tuples(jaccard.component_ids(docs)), components(rows))

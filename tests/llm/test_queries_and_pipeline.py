@@ -56,3 +56,27 @@ def test_near_copies_of_five_word_shingles(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 6]
+
+
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_unlike_documents_under_one_id_or_none_are_kept(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"]
+    rows = [(None, t, "en", "s", 1) for t in texts[:4]] + [(3, t, "en", "s", 1) for t in texts[4:]] + [(None, texts[0], "en", "s", 1), (3, texts[5], "fr", "s", 1)]
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, spark.createDataFrame(rows, PIPELINE_SCHEMA), "")
+    assert sorted(r["text"] for r in kept.collect()) == texts
+
+
+def test_a_corpus_without_labels_keeps_its_documents(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some words", "плюс", "123 ...", None, ""])]
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, spark.createDataFrame(rows, PIPELINE_SCHEMA), "")
+    assert sorted((r["doc_id"], r["lang"]) for r in kept.collect()) == [(0, None), (1, None)]
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], PIPELINE_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0, name
+        docs = out if name != "bpe" else docs
