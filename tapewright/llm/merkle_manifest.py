@@ -103,11 +103,12 @@ def _nested(levels: Column, base: int) -> Column:
     return F.flatten(F.transform(heights, one_level))
 
 
-_NO_STEPS = "array<struct<left:binary,right:binary>>"
+_STEPS = "array<struct<left:binary,right:binary>>"
 
 
-def _attach(members: DataFrame, subtrees: DataFrame, base: int, how: str) -> DataFrame:
-    """``members`` (group, idx, n and more) with ``steps``: the siblings left and right of each ancestor, lowest level first."""
+def _attach(members: DataFrame, subtrees: DataFrame, base: int) -> DataFrame:
+    """``members`` (group, idx, n and more) with their group's ``top`` and ``steps``: the siblings left and right of each
+    ancestor, lowest level first."""
     low = F.call_function("shiftleft", F.col("idx"), F.lit(base))
     high = F.least(F.call_function("shiftleft", F.col("idx") + 1, F.lit(base)), F.col("n")) - 1
     contains = lambda node, a, b: (node.low <= a) & (b <= node.high)
@@ -121,34 +122,56 @@ def _attach(members: DataFrame, subtrees: DataFrame, base: int, how: str) -> Dat
         ),
     )
     bucketed = members.withColumn("bucket", F.shiftright("idx", BAND)).withColumn("own_low", low).withColumn("own_high", high)
-    over = subtrees.select("group", F.col("block").alias("bucket"), "nested", "upper")
-    none = F.array().cast(_NO_STEPS)
+    over = subtrees.select("group", F.col("block").alias("bucket"), "nested", "upper", "top")
     return (
-        bucketed.join(over, ["group", "bucket"], how)
-        .withColumn("steps", F.coalesce(F.concat(steps.cast(_NO_STEPS), "upper"), none))
+        bucketed.join(over, ["group", "bucket"])
+        .withColumn("steps", F.concat(steps.cast(_STEPS), "upper"))
         .drop("bucket", "own_low", "own_high", "nested", "upper")
     )
 
 
 @dataclass
 class Forest:
-    """``tops``: (group, digest); ``subtrees``: per band its subtrees, with the path above each in ``upper``."""
+    """Per band its subtrees; those with ``ends`` hold the top of their group."""
 
-    tops: DataFrame
-    subtrees: list[DataFrame]
+    bands: list[DataFrame]
 
-    def paths(self, leaves: DataFrame) -> DataFrame:
-        """``leaves`` with ``steps``, the siblings left and right of every ancestor."""
-        members = leaves.withColumn("idx", F.col("rank"))
-        return _attach(members, self.subtrees[0], 0, "inner").drop("idx")
+    def tops(self) -> DataFrame:
+        """(group, digest)"""
+        return _union([b.where("ends") for b in self.bands]).select("group", "digest")
 
     def nodes(self) -> DataFrame:
         """(group, level, low, high, children) of all nodes above the leaves."""
-        found = [s.select("group", F.explode("nested").alias("v")).select("group", "v.*") for s in self.subtrees]
-        out = found[0]
-        for more in found[1:]:
-            out = out.union(more)
-        return out
+        return _union([b.select("group", F.explode("nested").alias("v")) for b in self.bands]).select("group", "v.*")
+
+    def paths(self, leaves: DataFrame, above: DataFrame | None = None) -> DataFrame:
+        """``leaves`` with ``top`` and ``steps``, the siblings left and right of every ancestor.
+
+        ``above`` (group, above) has steps that follow those of a whole group. They join the topmost subtrees, so no
+        join brings the leaves of a group together.
+        """
+        none = F.array().cast(_STEPS)
+        over = None
+        for k in range(len(self.bands) - 1, -1, -1):
+            topmost = self.bands[k].where("ends").withColumn("top", F.col("digest"))
+            if above is None:
+                topmost = topmost.withColumn("upper", none)
+            else:
+                topmost = topmost.join(above.withColumnRenamed("above", "upper"), "group")
+            done = topmost.select("group", "block", "nested", "upper", "top")
+            if over is not None:
+                below = self.bands[k].where("NOT ends").select("group", F.col("block").alias("idx"), "n", F.col("nested").alias("mine"))
+                reached = _attach(below, over, (k + 1) * BAND)
+                done = done.union(reached.select("group", F.col("idx").alias("block"), F.col("mine").alias("nested"), F.col("steps").alias("upper"), "top"))
+            over = done
+        return _attach(leaves.withColumn("idx", F.col("rank")), over, 0).drop("idx")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
 
 
 def grow(leaves: DataFrame) -> Forest | None:
@@ -176,15 +199,7 @@ def grow(leaves: DataFrame) -> Forest | None:
         if largest <= 1 << base:
             break
         current = bands[-1].where("NOT ends").select("group", F.col("block").alias("idx"), "n", "digest")
-    tops = bands[0].where("ends")
-    for more in bands[1:]:
-        tops = tops.union(more.where("ends"))
-    done = [bands[-1].withColumn("upper", F.array().cast(_NO_STEPS))]
-    for k in range(len(bands) - 2, -1, -1):
-        below = bands[k].select("group", F.col("block").alias("idx"), "n", F.col("nested").alias("mine"))
-        reached = _attach(below, done[0], (k + 1) * BAND, "left")
-        done.insert(0, reached.select("group", F.col("idx").alias("block"), F.col("mine").alias("nested"), F.col("steps").alias("upper")))
-    return Forest(tops.select("group", "digest"), done)
+    return Forest(bands)
 
 
 def folded(leaf: Column, steps: Column) -> Column:
@@ -216,17 +231,17 @@ def prove_rows(
         return docs.sparkSession.createDataFrame(
             [], f"doc_id {kind}, leaf string, subroot string, root string, siblings array<string>, folded_root string, verified boolean"
         )
-    tops = ranked(trees.tops.select(F.lit("").alias("all"), F.col("group").alias("of"), F.col("digest")), "all", ["of"])
+    tops = ranked(trees.tops().select(F.lit("").alias("all"), F.col("group").alias("of"), F.col("digest")), "all", ["of"])
     tops = cut_lineage(tops.withColumnRenamed("all", "group"), "subroots")
-    above = grow(tops)
-    root = above.tops.select(_hex(F.col("digest"))).first()[0]
-    over = above.paths(tops).select(F.col("of").alias("group"), _hex(F.col("digest")).alias("subroot"), F.col("steps").alias("over"))
-    proven = trees.paths(leaves).join(over, "group").withColumn("steps", F.concat("steps", "over"))
+    upper = grow(tops)
+    root = upper.tops().select(_hex(F.col("digest"))).first()[0]
+    above = upper.paths(tops).select(F.col("of").alias("group"), F.col("steps").alias("above"))
+    proven = trees.paths(leaves, above)
     siblings = F.filter(F.flatten(F.transform("steps", lambda s: F.array(_hex(s.left), _hex(s.right)))), lambda x: x.isNotNull())
     return proven.select(
         F.col("id").alias("doc_id"),
         _hex(F.col("digest")).alias("leaf"),
-        "subroot",
+        _hex(F.col("top")).alias("subroot"),
         F.lit(root).alias("root"),
         siblings.alias("siblings"),
         folded(_hex(F.coalesce("claimed", "digest")), F.col("steps")).alias("folded_root"),
