@@ -45,6 +45,8 @@ ORDERS = (1, 2, 3)
 COUNTER_BITS = 24
 SLICE_BITS = 16
 LEADERS = 4
+#: Text that is worked on at once; the arrays of a piece have some fifty times its bytes.
+PIECE_BYTES = 500_000
 #: Token classes that are counted per document to tell unlike sets apart before any set travels.
 SPREAD = 128
 #: Members of a leader per salted copy of its set.
@@ -114,7 +116,7 @@ def _profiles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, np.uint16)
         names = ["id", "hash", "n", "class", "spread", "slice", "counts"]
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             sets = shingle_sets(batch.column(2), shingle)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at, times = np.unique((mix(every) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
@@ -153,7 +155,7 @@ def token_order(profiles: DataFrame) -> TokenOrder:
 def _postings(shared, percent: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             tokens, classes, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column(2), shingle):
                 digest = set_digest(s)

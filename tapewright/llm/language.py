@@ -162,20 +162,24 @@ def identify(docs: DataFrame, model: ContextTrees, id_name: str = "doc_id", text
     ``score`` is the share of the best language among all when each is weighted by 2 to the minus its code length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = (id_name, *carry)
+    # a text that is carried anyway travels once
+    own = carried.index(text) if text in carried else len(carried)
     given = docs.select(
-        *(F.col(c).alias(f"c{i}") for i, c in enumerate((id_name, *carry))),
-        F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), text_or_empty(text)).alias("text"),
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)),
+        *([] if text in carried else [text_or_empty(text).alias(f"c{own}")]),
+        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
     )
-    names = [f"c{i}" for i in range(1 + len(carry))]
+    names = [f"c{i}" for i in range(len(carried))]
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        for batch in pieces(batches, "text", 1_000_000):
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+        for batch in pieces(batches, f"c{own}", 250_000):
+            data, offsets = text_bytes(batch.column(own))
             bits = trees.code_lengths(data, offsets)
             sizes = np.diff(offsets)
-            known = (sizes > 0) & (len(trees.languages) > 0)
+            known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (len(trees.languages) > 0)
             if bits.shape[1]:
                 best = bits.argmin(axis=1)
                 least = bits.min(axis=1)
@@ -186,7 +190,7 @@ def identify(docs: DataFrame, model: ContextTrees, id_name: str = "doc_id", text
                 score = rate = np.zeros(len(sizes))
                 names_of = np.full(len(sizes), UNDETERMINED, object)
             yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(names_of, pa.string()), pa.array(score), pa.array(rate)],
+                [*batch.columns[: len(names)], pa.array(names_of, pa.string()), pa.array(score), pa.array(rate)],
                 [*names, "lang_pred", "score", "bits_per_byte"],
             )
 
