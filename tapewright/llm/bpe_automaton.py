@@ -205,7 +205,7 @@ def encode_documents(docs: DataFrame, path: str, id_name: str = "doc_id", text:
     """(doc_id, ids): the token ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 6_000_000):
+        for batch in pieces(batches, "text", 2_000_000):
             yield pa.record_batch([batch.column(0), encode_batch(batch.column(1), path)], ["doc_id", "ids"])
 
     given = docs.select(F.col(id_name).alias("doc_id"), F.col(text).alias("text"))

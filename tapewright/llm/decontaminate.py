@@ -272,7 +272,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
     def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, own):
+            for batch in pieces(batches, own, 500_000):
                 stays = np.ones(batch.num_rows, bool)
                 for r, *_ in search_batch(batch.column(names.index(own)), shared.value, threshold):
                     stays[r] = False

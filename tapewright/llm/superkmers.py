@@ -74,7 +74,7 @@ def dedup_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_name:
     extra = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 500_000):
             data, offsets = text_bytes(batch.column(1))
             starts, ends, rows = find_words(data, offsets)
             kept, removed = [], []
