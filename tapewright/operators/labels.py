@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import exit_results, first_hit_label, horizon_max
 from ..settings import DEFAULTS, HORIZONS, Thresholds
-from .timeseries import add_segments, forward_returns
+from .timeseries import add_segments, forward_returns, with_picks
 
 
 def add_labels(panel: DataFrame, *, price: str = "price", t: Thresholds = DEFAULTS,
@@ -42,11 +42,12 @@ def fixed_outcome(bars: DataFrame, *, bars_ahead: int = 20, tp: float = 0.20, sl
 def exit_simulation(picks: DataFrame, indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
     """One row per (pick, rule): the return of each exit rule over at most 40 bars.
 
-    Picks with fewer than two later bars are left out.  ``picks`` is (symbol, date) and
-    is at most the daily top-k, so the rules run after the join, on picks only.
+    Picks with fewer than two later bars are left out.  ``picks`` holds each (symbol, date)
+    at most once; it meets the bars before their paths exist, so paths are built for picks
+    only, inside the symbol window, and are never shuffled.
     """
-    paths = forward_returns(indicators, t.exit_cap_bars, gap_guard=False, scale=1.0).select(
-        "symbol", "date", "path", (F.col("atr_pct") / 100.0).alias("_atr"))
-    runs = picks.select("symbol", "date").join(paths, ["symbol", "date"]).where(F.size("path") >= 2)
+    bars = with_picks(indicators.select("symbol", "date", "close", "atr_pct"), picks.select("symbol", "date"))
+    paths = forward_returns(bars, t.exit_cap_bars, gap_guard=False, scale=1.0)
+    runs = paths.where(F.col("picked").isNotNull() & (F.size("path") >= 2))
     return runs.select(
-        "symbol", "date", F.inline(exit_results(F.col("path"), F.col("_atr"), t)))
+        "symbol", "date", F.inline(exit_results(F.col("path"), F.col("atr_pct") / 100.0, t)))

@@ -3,16 +3,20 @@
 A date can hold any number of symbols, so no operator here sends all rows of one
 group to one task: values are counted with map-side combine, counts are split by an
 order-preserving bucket, and only bucket totals (a bounded number per group) are
-accumulated across the group.
+accumulated across the group.  Full orderings are cut into ranges instead, and only the
+ranges' sizes are accumulated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def order_bucket(value: Column, resolution: int = 16) -> Column:
     """A coarse integer that never decreases as ``value`` grows (16 steps per power of 2)."""
@@ -21,12 +25,16 @@ def order_bucket(value: Column, resolution: int = 16) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * step)
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """One row per distinct non-null value: ``n_less``, ``ties`` and group size ``n``."""
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """One row per distinct non-null value: ``n_less``, ``ties`` and group size ``n``.
+
+    A row counts as ``weight`` rows where that is given (a frame counted before).
+    """
     by = list(by)
+    ties = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+        .groupBy(*by, value).agg(ties.alias("ties"))
         .withColumn("_bucket", order_bucket(F.col(value)))
     )
     across = Window.partitionBy(*by).orderBy("_bucket")
@@ -83,64 +91,61 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, nam
     return out if name else out.drop(rank)
 
 
-def positions(df: DataFrame, by: Sequence[str], coarse: Sequence[tuple[Column, bool]],
-              order: Sequence[Column], name: str) -> DataFrame:
-    """1-based position of every row in its group's order, without one task per group.
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position of every row in its group's order, however large one group is.
 
-    ``coarse`` lists (key, descending) pairs that agree with ``order``: rows are numbered
-    inside each coarse cell and shifted by the sizes of the cells before it.
+    Rows are cut into ranges of (group, order), so a group that holds most rows lies in many
+    ranges; the ranges are written once, with each row's place in its range, and a row's
+    position is that place shifted by the group's rows in the ranges before.  ``order`` should
+    be total: rows equal in all of it share a range and are numbered in an arbitrary order.
     """
     by = list(by)
-    cells = [f"_c{i}" for i in range(len(coarse))]
-    keyed = df.withColumns({c: key for c, (key, _) in zip(cells, coarse)})
-    cell_order = [F.col(c).desc() if desc else F.col(c).asc() for c, (_, desc) in zip(cells, coarse)]
-    before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = before.orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(*by, *cells, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, *cells).orderBy(*order)
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, *cells]]
-    on = same[0]
-    for cond in same[1:]:
-        on = on & cond
-    numbered = keyed.withColumn("_in", F.row_number().over(inside))
+    keys = [*(F.col(c).asc() for c in by), *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    stored = cut_lineage(placed, "positions").withColumn("_range", F.shiftright("_at", 33))
+    sizes = stored.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    # a group has one row per range here
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1)
     return (
-        numbered.alias("k").join(offsets.alias("o"), on)
-        .select("k.*", (F.col("o._before") + F.col("k._in")).cast("int").alias(name))
-        .drop("_in", *cells)
+        stored.alias("k").join(shifts.alias("o"), same_keys([*by, "_range"]))
+        .select("k.*", (F.col("k._at") + F.col("o._shift")).cast("int").alias(name))
+        .drop("_at", "_range")
     )
 
 
+def same_keys(names: Sequence[str], left: str = "k", right: str = "o") -> Column:
+    """Equality of all ``names`` of two aliased frames; NULL equals NULL."""
+    return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names])
+
+
 def add_deciles(counts: DataFrame, by: Sequence[str], score: str, n: str, name: str = "decile") -> DataFrame:
-    """Decile of each distinct score from a frame counted per (group, score).
+    """Decile of each distinct score, of any numeric domain, from a frame counted per (group, score).
 
     Edges are linearly interpolated, coinciding edges are merged, and groups with fewer
-    than two scores are dropped.  Scores are whole numbers from 0 to 100, so a group has
-    at most 101 rows here however many rows were counted.
+    than two scores are dropped, as are rows whose group is NULL.  The edges come from cumulative counts by one aggregate with
+    map-side combine: a group's scores are never listed in one row or one task.
     """
-    whole, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(score)
-    ranked = counts.where(F.col(score).isNotNull()).withColumns({
-        "_less": F.sum(n).over(ordered) - F.col(n),
-        "_n": F.sum(n).over(whole),
-        "_distinct": F.count(F.lit(1)).over(whole),
-    }).where(F.col("_distinct") >= 2)
-    held = ranked.withColumn("_cells", F.collect_list(F.struct(
-        F.col("_less").alias("less"), (F.col("_less") + F.col(n)).alias("upto"),
-        F.col(score).cast("double").alias("v"))).over(whole))
-
-    def edge(q: Column) -> Column:
-        pos = (F.col("_n") - 1) * q
-        frac = pos - F.floor(pos)
-
-        def at(index: Column) -> Column:
-            return F.element_at(F.filter("_cells", lambda c: (c["less"] <= index) & (index < c["upto"])), 1)["v"]
-
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        return F.when(frac >= 0.5, high - (high - low) * (1 - frac)).otherwise(low + (high - low) * frac)
+    by = list(by)
+    ranked = value_ranks(counts, by, score, n)
+    value = F.col(score).cast("double")
 
     # Evenly spaced as i * 0.1 (not i / 10): the binary values decide which edges coincide.
-    fractions = F.array(*[F.lit(i * 0.1) for i in range(10)], F.lit(1.0))
-    edged = held.withColumn("_edges", F.array_distinct(F.transform(fractions, edge)))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(score).cast("double")))
-    return edged.withColumn(name, F.greatest(below - 1, F.lit(0)).cast("int")).drop(
-        "_less", "_n", "_distinct", "_cells", "_edges")
+    fractions = [*(i * 0.1 for i in range(10)), 1.0]
+    ends, edges = [], []
+    for i, q in enumerate(fractions):
+        pos = (F.col("n") - 1) * F.lit(q)
+        for side, at in (("low", F.floor(pos)), ("high", F.ceil(pos))):
+            hit = (F.col("n_less") <= at) & (at < F.col("n_less") + F.col("ties"))
+            ends.append(F.max(F.when(hit, value)).alias(f"_{side}{i}"))
+        low, high, frac = F.col(f"_low{i}"), F.col(f"_high{i}"), pos - F.floor(pos)
+        edges.append(F.when(frac >= 0.5, high - (high - low) * (1 - frac)).otherwise(low + (high - low) * frac))
+    cuts = (
+        ranked.groupBy(*by).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("_distinct"), *ends)
+        .where(F.col("_distinct") >= 2).select(*by, F.array_distinct(F.array(*edges)).alias("_edges"))
+    )
+    below = F.size(F.filter("o._edges", lambda e: e < F.col(f"k.{score}").cast("double")))
+    return (
+        counts.where(F.col(score).isNotNull()).alias("k").join(cuts.alias("o"), by)
+        .select("k.*", F.greatest(below - 1, F.lit(0)).cast("int").alias(name))
+    )

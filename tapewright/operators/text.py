@@ -61,16 +61,21 @@ def admin_target(text: Column) -> Column:
 
 # ---- dictionary and recommendations ------------------------------------------
 
-def company_words(listed: DataFrame, order: str = "symbol") -> DataFrame:
-    """(token, symbol): significant first word of a company name, first listing wins."""
+def company_words(listed: DataFrame, order: str = "place") -> DataFrame:
+    """(token, symbol): significant first word of a company name, first listing wins.
+
+    ``place`` is where the listing's file has the company (``files.read_listing``); a listing
+    without it has no first, there the smallest symbol wins.
+    """
     first = F.regexp_replace(
         F.regexp_extract(F.upper(F.col("company_name")), r"^\s*(\S+)", 1), "[^A-Z0-9]", "")
-    words = listed.select(first.alias("token"), F.upper(F.trim("symbol")).alias("symbol"), F.col(order).alias("_o"))
+    by = order if order in listed.columns else "symbol"
+    words = listed.select(first.alias("token"), F.upper(F.trim("symbol")).alias("symbol"), F.col(by).alias("_o"))
     words = words.where((F.length("token") >= 5) & ~F.col("token").isin(*RECOMMENDATION_STOPWORDS))
-    return words.groupBy("token").agg(F.min_by("symbol", "_o").alias("symbol"))
+    return words.groupBy("token").agg(F.min_by("symbol", F.struct("_o", "symbol")).alias("symbol"))
 
 
-def ticker_dictionary(listed: DataFrame, order: str = "symbol") -> DataFrame:
+def ticker_dictionary(listed: DataFrame, order: str = "place") -> DataFrame:
     """token -> symbol; an exact symbol wins over a company word."""
     exact = listed.select(F.upper(F.trim("symbol")).alias("token")).distinct().withColumns(
         {"symbol": F.col("token"), "_rank": F.lit(0)})
@@ -96,19 +101,26 @@ def find_symbols(messages: DataFrame, listed: DataFrame, keys=("group_id", "mess
 
 
 def recommendations(messages: DataFrame, listed: DataFrame, *, word_boundary: bool = False) -> DataFrame:
-    """One row per message and symbol with direction and levels."""
+    """One row per message and symbol with direction and levels.
+
+    A message is read once: its parsed columns stay beside its distinct tokens, so only rows
+    whose token names a symbol are shuffled.  Repeated identical messages give one row.
+    """
     text = text_or_empty(F.col("text"))
-    parsed = messages.withColumns({
-        "direction": direction(text),
-        "entry": level(text, ENTRY_LEVEL),
-        "target": level(text, TARGET_LEVEL_WORD if word_boundary else TARGET_LEVEL),
-        "sl": level(text, STOP_LEVEL),
-        "raw_text": F.substring(text, 1, 200),
-    })
-    keys = ["group_id", "message_id"]
-    return find_symbols(messages, listed, keys).join(parsed, keys).select(
-        "date", F.col("sender").alias("caller"), "symbol", "direction", "entry", "target", "sl",
-        "message_id", "group_id", "raw_text")
+    tokens = F.array_distinct(message_tokens(F.col("text"), "[A-Za-z&]{3,}", RECOMMENDATION_STOPWORDS, trim="&"))
+    parsed = messages.select(
+        "date", F.col("sender").alias("caller"),
+        direction(text).alias("direction"),
+        level(text, ENTRY_LEVEL).alias("entry"),
+        level(text, TARGET_LEVEL_WORD if word_boundary else TARGET_LEVEL).alias("target"),
+        level(text, STOP_LEVEL).alias("sl"),
+        "message_id", "group_id",
+        F.substring(text, 1, 200).alias("raw_text"),
+        tokens.alias("_tokens"),
+    )
+    said = parsed.where(F.size("_tokens") > 0).withColumn("token", F.explode("_tokens")).drop("_tokens")
+    return said.join(ticker_dictionary(listed), "token").select(
+        "date", "caller", "symbol", "direction", "entry", "target", "sl", "message_id", "group_id", "raw_text").distinct()
 
 
 # ---- mentions of given symbols -----------------------------------------------

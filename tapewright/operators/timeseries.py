@@ -235,3 +235,14 @@ def forward_returns(df: DataFrame, bars: int, *, price: str = "close", gap_guard
     base = F.when(F.col(price) > 0, F.col(price))
     rets = F.transform("_ahead", lambda p: (F.when(p > 0, p) / base - 1.0) * scale)
     return df.withColumn(name, usable_prefix(rets, max_abs)).drop("_ahead")
+
+
+def with_picks(bars: DataFrame, picks: DataFrame) -> DataFrame:
+    """Every bar, with the other columns of its pick as the struct ``picked`` (NULL where there is none).
+
+    ``picks`` holds each (symbol, date) at most once.  Both sides are narrow here; what is
+    derived from later bars comes after this join.
+    """
+    others = [c for c in picks.columns if c not in ("symbol", "date")]
+    marked = picks.select("symbol", "date", F.struct(F.lit(True).alias("_is"), *others).alias("picked"))
+    return bars.join(marked, ["symbol", "date"], "left")

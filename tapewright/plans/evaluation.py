@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import add_deciles, top_k
-from ..operators.timeseries import add_segments, forward_returns
+from ..operators.timeseries import add_segments, forward_returns, with_picks
+from ..session import cut_lineage
 from ..settings import (
     COMBO_HORIZON_GRID,
     COMBO_SL_GRID,
@@ -63,12 +64,12 @@ def _unfold_horizons(sums: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
 def decile_table(panel: DataFrame, score: str = "score") -> DataFrame:
     """Win rate and mean peak per score decile and horizon.
 
-    Rows are first summed per (date, score): at most 101 rows per date remain, and the
-    deciles are assigned to those.
+    Rows are first summed per (date, score), whatever the score's domain, and written once;
+    the deciles are assigned to those.
     """
     cells = panel.where(F.col(score).isNotNull()).groupBy("date", score).agg(
         F.count(F.lit(1)).alias("rows"), *_horizon_sums())
-    deciled = add_deciles(cells, ["date"], score, "rows")
+    deciled = add_deciles(cut_lineage(cells, "decile-cells"), ["date"], score, "rows")
     return _unfold_horizons(deciled, ["decile"], "n").orderBy("horizon_days", F.col("decile").desc())
 
 
@@ -144,10 +145,15 @@ def daily_picks(panel: DataFrame, k: int, score: str = "score", name: str | None
 
 
 def pick_paths(picks: DataFrame, panel: DataFrame, *, price: str = "price", t: Thresholds = DEFAULTS) -> DataFrame:
-    """Forward paths of the picks; the panel is read as (symbol, date, price) only."""
-    narrow = add_segments(panel.select("symbol", "date", F.col(price).alias("close")), t=t)
-    paths = forward_returns(narrow, max(HORIZON_GRID), max_abs=t.max_abs_return)
-    return picks.join(paths.select("symbol", "date", "path"), ["symbol", "date"])
+    """Forward paths of the picks; the panel is read as (symbol, date, price) only.
+
+    ``picks`` holds each (symbol, date) at most once.  Paths are built for picks only, inside
+    the symbol window: no array is shuffled.
+    """
+    narrow = with_picks(panel.select("symbol", "date", F.col(price).alias("close")), picks)
+    paths = forward_returns(add_segments(narrow, t=t), max(HORIZON_GRID), max_abs=t.max_abs_return)
+    others = [F.col(f"picked.{c}") for c in picks.columns if c not in ("symbol", "date")]
+    return paths.where(F.col("picked").isNotNull()).select("symbol", "date", *others, "path")
 
 
 Cell = tuple[float, float, int]

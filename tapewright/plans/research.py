@@ -221,8 +221,10 @@ def mention_precedence(messages: DataFrame, listed: DataFrame, bars: DataFrame,
     """Outcome after mentions: all, broadcast channel, members.
 
     Mentions are counted per (symbol, day, channel) before they meet the bars, so a
-    symbol or day with most of the mentions is a handful of weighted rows.
+    symbol or day with most of the mentions is a handful of weighted rows.  The bars are
+    written once for the end date, the map and the outcomes.
     """
+    bars = cut_lineage(bars.select("symbol", "date", "close"), "bars")
     hits = precedence_mentions(messages, listed)
     if forward_room_days is not None:
         end = bars.agg(F.date_sub(F.max("date"), forward_room_days)).scalar()
@@ -250,7 +252,8 @@ def fund_buys(deals: DataFrame, desks: list[str] | None = None) -> DataFrame:
 
 
 def deal_precedence(deals: DataFrame, bars: DataFrame, desks: list[str] | None = None) -> DataFrame:
-    """Outcome after fund buys, on the first market date at or after the deal."""
+    """Outcome after fund buys, on the first market date at or after the deal; the bars are written once."""
+    bars = cut_lineage(bars.select("symbol", "date", "close"), "bars")
     counted = fund_buys(deals, desks).groupBy("symbol", F.col("date").alias("dealt")).agg(
         F.count(F.lit(1)).alias("w"))
     rows = next_session(counted, bars, "dealt").join(fixed_outcome(bars), ["symbol", "date"]).where(

@@ -124,15 +124,11 @@ def explain_candidates(scored: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFr
 
 
 def rank_candidates(scored: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Full ranking by score, ties by symbol.
+    """Full ranking by score, ties by symbol, written once and numbered by ranges.
 
-    Rows are numbered within (score, two-letter prefix) cells and shifted by the cells
-    above.  The cells per date are bounded by the alphabet, so a sheet of any size is
-    ranked without one task per date.
+    A sheet of any size, also one where most rows share a score, is ranked by many tasks.
     """
-    return positions(
-        scored, list(by), [(F.col("score"), True), (F.substring("symbol", 1, 2), False)],
-        [F.col("symbol").asc()], "rank")
+    return positions(scored, list(by), [F.col("score").desc(), F.col("symbol").asc()], "rank")
 
 
 def shortlist(ranked: DataFrame, *, min_score: float | None = None, size: int | None = None,

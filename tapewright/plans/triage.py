@@ -74,13 +74,14 @@ def leadership(indicators: DataFrame, as_of, *, t: Thresholds = DEFAULTS) -> Dat
               "close_pos", "ep", "ep_fade", "emerging", "spark")
 
 
-def leadership_history(indicators: DataFrame, *, t: Thresholds = DEFAULTS) -> DataFrame:
+def leadership_history(indicators: DataFrame, *, bars: DataFrame | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
     """(symbol, date, leader_days, persistent, new_leader, emerging) on every date.
 
     Market dates are numbered, so "the last 20 sessions" is a range frame over the number
-    and a symbol's absent days simply do not count.
+    and a symbol's absent days simply do not count.  The dates come from ``bars``, the rows
+    that the indicators were made of, where given: then the indicators run once.
     """
-    cal = session_calendar(indicators).select("date", "session")
+    cal = session_calendar(indicators if bars is None else bars).select("date", "session")
     lead = is_true(F.col("rs_vs_market") >= t.leader_rs).cast("int")
     w = Window.partitionBy("symbol").orderBy("session")
     back = w.rangeBetween(-(t.strip_days - 1), 0)

@@ -13,6 +13,7 @@ from ..plans import triage as TR
 from ..session import cut_lineage, shared_folder
 from ..settings import MENTION_STOPWORDS, RECOMMENDATION_STOPWORDS
 from ..sources import market_tables as M
+from ..sources import readers as RD
 from ..streaming import ledger as SL
 from ..streaming import messages as SM
 from ..streaming import upsert as SU
@@ -59,6 +60,27 @@ def r02(spark, sf):
     return X.company_words(M.listed_companies(spark, sf))
 
 
+@query("r02b_first_listing_wins", f"""with w as (select p_partkey, {B.SYM} as symbol,
+    regexp_replace(split_part(upper(p_name), ' ', 1), '[^A-Z0-9]', '', 'g') as token from part)
+  select token, arg_min(symbol, p_partkey) as symbol from w where length(token) >= 5 and token not in {_rstop} group by token""")
+def r02b(spark, sf):
+    """Every part as a listed company in a listing file; words are shared, the first line in the file has them."""
+    parts = M.table(spark, sf, "part").orderBy("p_partkey").select(
+        M.symbol_of_brand(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")).alias("SYMBOL"), F.col("p_name").alias(" NAME OF COMPANY"))
+    path = shared_folder(spark, "listing")
+    parts.write.csv(path, header=True)
+    return X.company_words(RD.read_listing(spark, path))
+
+
+@query("t11_message_files", MSG + " select message_id, date, sender, text, group_id from messages")
+def t11(spark, sf):
+    """Messages written as the log's files and read back by column place."""
+    path = shared_folder(spark, "message-files")
+    M.messages(spark, sf).select("message_id", F.col("date").alias("date_ist"), "sender", "text", "group_id").write.csv(
+        path, header=True, quote='"', escape='"')
+    return RD.read_messages(spark, path)
+
+
 @query("r03_direction", MSG + """ select message_id, case when regexp_matches(text, '(?i)\\b(buy|accumulate|add|long|enter|entry)\\b') then 'BUY'
   when regexp_matches(text, '(?i)\\b(sell|exit|book|short|profit\\s*book)\\b') then 'SELL' else '' end as direction from messages""")
 def r03(spark, sf):

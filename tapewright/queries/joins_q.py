@@ -292,7 +292,7 @@ leaders as (select a.symbol, a.date, a.leader_days, a.leader_days >= 12 as persi
 
 @query("w22_leader_history", B.with_(B.BARS, B.INDICATORS, LEADERS) + " select symbol, date, leader_days, persistent, new_leader from leaders")
 def w22(spark, sf):
-    return TR.leadership_history(indicators(spark, sf), t=T).drop("emerging")
+    return TR.leadership_history(indicators(spark, sf), bars=M.bars(spark, sf), t=T).drop("emerging")
 
 
 STRIP = f"""
@@ -313,7 +313,7 @@ def w22b(spark, sf):
 
 @query("w25_emerging", B.with_(B.BARS, B.INDICATORS, LEADERS) + " select symbol, date, emerging from leaders")
 def w25(spark, sf):
-    return TR.leadership_history(indicators(spark, sf), t=T).select("symbol", "date", "emerging")
+    return TR.leadership_history(indicators(spark, sf), bars=M.bars(spark, sf), t=T).select("symbol", "date", "emerging")
 
 
 @query("w26_sparkline", B.with_(B.BARS, B.INDICATORS, STRIP) + """ select i.symbol, count(*)::int as points, round(sum(round(close, 2)), 2) as total, arg_max(round(close, 2), i.date) as last_point

@@ -258,10 +258,8 @@ def w11b(spark, sf):
 @query("w13b_full_daily_positions", B.with_(B.BARS) + """
   select symbol, date, row_number() over (partition by date order by volume desc, symbol)::int as pos from bars""")
 def w13b(spark, sf):
-    from ..operators.ranking import order_bucket
     df = M.bars(spark, sf).select("symbol", "date", "volume")
-    return positions(df, ["date"], [(order_bucket(F.col("volume")), True)],
-                     [F.col("volume").desc(), F.col("symbol")], "pos").drop("volume")
+    return positions(df, ["date"], [F.col("volume").desc(), F.col("symbol")], "pos").drop("volume")
 
 
 FLAGSHIP = B.labels("closes", tp=12, sl=-8) + """,

@@ -12,6 +12,7 @@ from tapewright.operators import text as X
 from tapewright.plans import research as RS
 from tapewright.plans import scorecard as P
 from tapewright.plans import triage as TR
+from tapewright.sources import readers
 from tapewright.sources import tables as TB
 
 
@@ -229,6 +230,36 @@ def test_recommendation_fields(spark):
     assert got[(1, "RELI")].direction == "SELL"
 
 
+def test_first_line_of_the_listing_has_a_shared_word(spark, tmp_path):
+    path = tmp_path / "listing.csv"
+    path.write_text("SYMBOL, NAME OF COMPANY\nZEE,Shared Word Ltd\nABC,Shared Other Ltd\n MID ,\"Alpine, Shoes\"\n")
+    got = {r.token: r.symbol for r in X.company_words(readers.read_listing(spark, str(path))).collect()}
+    assert got == {"SHARED": "ZEE", "ALPINE": "MID"}
+    alone = readers.read_listing(spark, str(path)).drop("place")
+    assert {r.symbol for r in X.company_words(alone).where("token = 'SHARED'").collect()} == {"ABC"}
+
+
+def test_messages_are_shuffled_once(spark):
+    m = messages(spark, "buy senco above 380", "EXIT reliance reliance now", "gold and senco")
+    df = X.recommendations(m, listed(spark))
+    assert sorted((r.message_id, r.symbol) for r in df.collect()) == [(0, "SENCO"), (1, "RELI"), (2, "GOLD"), (2, "SENCO")]
+    again = X.recommendations(m.union(m), listed(spark))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert again.count() == 4 and sum("LogicalRDD" in x and "message_id" in x for x in plan.splitlines()) == 1
+
+
+def test_message_files_are_read_by_place(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'message_id,date_ist,sender,text\n1,2020-01-02 09:15:00,-100,"two\nlines, ""quoted""",g1\n2,2020-01-03,77,plain\nx,2020-01-03,77,no id,g1\n')
+    got = sorted(tuple(r) for r in readers.read_messages(spark, str(tmp_path)).collect())
+    assert got == [(1, date(2020, 1, 2), "-100", 'two\nlines, "quoted"', "g1"), (2, date(2020, 1, 3), "77", "plain", None)]
+
+
+def test_last_named_sector_counts(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Symbol,Sector\nAAA,Energy\nAAA,\nBBB, Metals \nAAA,Power\n")
+    assert sorted(tuple(r) for r in readers.read_sectors(spark, str(tmp_path)).collect()) == [("AAA", "Power"), ("BBB", "Metals")]
+
+
 def test_target_pattern_word_boundary_option(spark):
     m = messages(spark, "SENCO at 380 target 420")
     assert X.recommendations(m, listed(spark)).first().target == 380.0

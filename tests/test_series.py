@@ -1,17 +1,24 @@
 """Per-symbol operators against independent pandas or plain Python restatements."""
 
+import re
 from dataclasses import replace
 from datetime import date, timedelta
+from urllib.parse import urlparse
+from urllib.request import url2pathname
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import paths as P
 from tapewright.operators import asof, labels, ranking
 from tapewright.operators import timeseries as TS
-from tapewright.settings import DEFAULTS
+from tapewright.operators.labels import exit_simulation
+from tapewright.operators.timeseries import add_segments, forward_returns
+from tapewright.plans.evaluation import pick_paths
+from tapewright.settings import DEFAULTS, HORIZON_GRID
 
 
 def random_bars(seed, symbols=4, n=320, gap_chance=0.01):
@@ -231,12 +238,31 @@ def test_group_quantile_equals_pandas(spark, q):
 def test_positions_number_every_row_once(spark):
     pdf = skewed(13).fillna(0)
     df = spark.createDataFrame(pdf)
-    got = ranking.positions(df, ["g"], [(ranking.order_bucket(F.col("v")), True)],
-                            [F.col("v").desc(), F.col("symbol")], "pos").toPandas().sort_values("symbol")
+    got = ranking.positions(df, ["g"], [F.col("v").desc(), F.col("symbol")], "pos").toPandas().sort_values("symbol")
     want = pdf.sort_values(["v", "symbol"], ascending=[False, True]).groupby("g").cumcount() + 1
     assert (got.set_index("symbol").pos == want.set_axis(pdf.loc[want.index, "symbol"]).sort_index()).all()
 
 
+def test_positions_of_one_hot_value_are_spread(spark):
+    rows = [("d" if i % 10 else None, 5.0 if i % 7 else float(i), f"S{i:05d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v double, symbol string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.positions(df, ["g"], [F.col("v").desc(), F.col("symbol")], "pos")
+        pos = {r.symbol: r.pos for r in got.collect()}
+        sizes = [pq.read_metadata(url2pathname(urlparse(f).path)).num_rows for f in got.inputFiles()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for group in ("d", None):
+        order = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[1], r[2]))
+        assert [pos[s] for _, _, s in order] == list(range(1, len(order) + 1))
+    assert sum(sizes) == len(rows) and max(sizes) < 2000
+    none = ranking.positions(df.limit(0), [], [F.col("symbol")], "pos")
+    assert none.columns == ["g", "v", "symbol", "pos"] and none.count() == 0
+    whole = ranking.positions(df, [], [F.col("symbol").desc()], "pos").orderBy("pos").collect()
+    assert [r.symbol for r in whole] == sorted((s for _, _, s in rows), reverse=True)
+
+
 def test_order_bucket_never_decreases(spark):
     rng = np.random.default_rng(5)
     v = sorted(float(x) for x in np.concatenate([
@@ -260,6 +286,34 @@ def test_deciles_equal_pandas_cut(spark):
     assert len(merged) == len(got) == len(want) and (merged.decile == merged.d).all()
 
 
+def test_deciles_of_continuous_scores_leave_out_a_null_group(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 2000, p=[0.7, 0.2, 0.1]), "score": rng.normal(0, 1e3, 2000)})
+    counts = spark.createDataFrame(pdf).groupBy("g", "score").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r.g, r.score): r.decile for r in ranking.add_deciles(counts, ["g"], "score", "n").collect()}
+    assert len(got) == pdf.g.notna().sum()
+    for g, scores in pdf.groupby("g").score:
+        cut = pd.qcut(scores, 10, labels=False, duplicates="drop")
+        assert all(got[g, s] == d for s, d in zip(scores, cut, strict=True))
+
+
+def test_no_path_crosses_an_exchange(spark):
+    pdf = random_bars(5, 4, 90)[["symbol", "date"]]
+    pdf["close"] = np.random.default_rng(3).uniform(50, 150, len(pdf))
+    pdf["atr_pct"] = 3.0
+    bars = spark.createDataFrame(pdf)
+    picks = bars.where("close > 120").select("date", "symbol", F.col("close").alias("score"))
+    paths = pick_paths(picks, bars, price="close")
+    assert paths.columns == ["symbol", "date", "score", "path"]
+    full = forward_returns(add_segments(bars.select("symbol", "date", "close")), max(HORIZON_GRID), max_abs=DEFAULTS.max_abs_return)
+    want = {(r.symbol, r.date): (r.close, r.path) for r in full.where("close > 120").collect()}
+    assert {(r.symbol, r.date): (r.score, r.path) for r in paths.collect()} == want and want
+    for df in (paths, exit_simulation(picks, bars)):
+        text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [x for x in text.split("\n\n") if re.search(r"\) (Exchange|BroadcastExchange|Sort)\b", x)]
+        assert moved and not any(re.search(r"\b(path|_ahead)#", x) for x in moved)
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     plan = ranking.top_k(df, ["g"], [F.col("id").desc()], 5)._jdf.queryExecution().executedPlan().toString()
