@@ -11,16 +11,18 @@ shingles of the item's question must be in the document and half of the words of
 document that segments of the item were found in, with 64 words around each. The answer is the last sentence of an item, the question what is before it (an item of one sentence is both).
 
 The index goes to executors in shards of bounded size; a benchmark larger than a shard is searched shard by shard,
-with statistics of the shard, as search engines do. Documents are not shuffled.
+with document frequencies and mean length of the whole benchmark, counted by Spark. Documents are not shuffled.
 
 Defined cases: null or empty texts match nothing, as do items without a word. Items under five words must occur as
-they are. Repeated documents and items are reported each; a (document row, item id) is reported once. An empty
-benchmark gives an empty result.
+they are. A document row is reported once for each distinct item (id and text) it holds; repeated document rows are
+reported each, repeated item rows once. A very long text is cut into passages in one row's arrays, some 50 bytes a
+byte of text. An empty benchmark gives an empty result. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import bisect
+import pickle
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tapewright.session import cut_lineage
+
 from .arrays import LOWER, find_words, pieces, prefix_hashes, ranges, span_hashes, text_bytes, window_hashes, word_hashes
 from .columns import text_or_empty
 
@@ -68,10 +72,16 @@ def _shingles(words: np.ndarray) -> tuple[int, np.ndarray]:
     return size, np.unique(span_hashes(prefix, np.arange(len(words) - size + 1), np.arange(size, len(words) + 1)))
 
 
+def _segments(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, -(-len(words) // SEGMENT))
+
+
 class BlockMaxIndex:
     """Postings with weights, in blocks that know their last segment and largest weight."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], statistics: tuple[int, int, np.ndarray, np.ndarray] | None = None):
+        """``statistics``: segments, words, terms (ascending) and segments of each term in the whole benchmark, where
+        ``items`` are only a part of it."""
         self.items, segments = [], []
         for item, text in items:
             words = _words(text or "")
@@ -79,13 +89,17 @@ class BlockMaxIndex:
                 continue
             question, answer = split_item(text)
             self.items.append((item, _shingles(_words(question)), np.unique(_words(answer))))
-            for part in np.array_split(words, -(-len(words) // SEGMENT)):
+            for part in _segments(words):
                 segments.append((len(self.items) - 1, np.unique(part, return_counts=True), len(part)))
         self.item_of = [i for i, _, _ in segments]
         everything = np.concatenate([t for _, (t, _), _ in segments]) if segments else np.zeros(0, np.uint64)
         self.terms, df = np.unique(everything, return_counts=True)
-        idf = np.log(1 + (len(segments) - df + 0.5) / (df + 0.5))
-        mean = np.mean([n for _, _, n in segments]) if segments else 1.0
+        count, total = len(segments), sum(n for _, _, n in segments)
+        if statistics is not None:
+            count, total, terms, held = statistics
+            df = held[np.searchsorted(terms, self.terms)]
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        mean = total / max(1, count)
         docs: list[list[int]] = [[] for _ in self.terms]
         weights: list[list[float]] = [[] for _ in self.terms]
         for s, (_, (terms, tf), n) in enumerate(segments):
@@ -220,22 +234,74 @@ def search_batch(texts: pa.Array, index: BlockMaxIndex, threshold: float = THRES
     return sorted(out)
 
 
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, segments, words) per item; a row without a term counts its segments and words."""
+    for batch in batches:
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            words = _words(text)
+            if not len(words):
+                continue
+            parts = _segments(words)
+            terms, held = np.unique(np.concatenate([np.unique(x) for x in parts]), return_counts=True)
+            yield pa.record_batch(
+                [
+                    pa.array([shard] * (len(terms) + 1), pa.int32()),
+                    pa.array([None, *terms.view(np.int64).tolist()], pa.int64()),
+                    pa.array([len(parts), *held.tolist()], pa.int64()),
+                    pa.array([len(words)] + [0] * len(terms), pa.int64()),
+                ],
+                ["shard", "term", "segments", "words"],
+            )
+
+
+def _builder(count: int, total: int):
+    def build(items: pa.Table, held: pa.Table) -> pa.Table:
+        terms = held.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        known = count, total, terms[order], held.column("df").to_numpy()[order]
+        rows = sorted(zip(items.column("item_id").to_pylist(), items.column("t").to_pylist(), strict=True), key=lambda x: (str(x[0]), x[1]))
+        shard = items.column("shard").slice(0, 1).combine_chunks()
+        return pa.table({"shard": shard, "index": pa.array([pickle.dumps(BlockMaxIndex(rows, known))], pa.binary())})
+
+    return build
+
+
 def _indexes(items: DataFrame, item_id: str, item_text: str) -> list:
-    """Broadcast indexes of the shards; each holds at most about ``SHARD_BYTES`` of item text."""
-    given = items.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("t"))
+    """Broadcast indexes of the shards; each holds at most about ``SHARD_BYTES`` of item text.
+
+    Executors count the terms of the whole benchmark and build the shards from those counts, so neither scores nor
+    findings depend on how it is cut. The driver passes on one finished index after the other.
+    """
+    spark = items.sparkSession
+    given = items.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("t")).distinct()
+    given = given.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(1, -(-2 * size // SHARD_BYTES))  # half full on average
+    if not size:
+        return [spark.sparkContext.broadcast(BlockMaxIndex([]))]
+    shards = -(-2 * size // SHARD_BYTES)  # half full on average
+    cut = given.select(F.pmod(F.xxhash64("item_id", "t"), F.lit(shards)).cast("int").alias("shard"), "item_id", "t")
+    counted = cut.mapInArrow(_statistics, "shard int, term long, segments long, words long")
+    counted = cut_lineage(counted.groupBy("shard", "term").agg(F.sum("segments").alias("segments"), F.sum("words").alias("words")), "item-terms")
+    count, total = counted.where("term is null").agg(F.sum("segments"), F.sum("words")).first()
+    terms = counted.where("term is not null")
+    held = terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("segments").alias("df")), "term")
+    built = cut.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_builder(count, total), "shard int, index binary")
+    built = cut_lineage(built, "item-index")
     out = []
     for k in range(shards):
-        rows = given.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(shards)) == k).collect()
-        index = BlockMaxIndex(sorted(((r["item_id"], r["t"]) for r in rows), key=lambda x: (str(x[0]), x[1])))
-        out.append(items.sparkSession.sparkContext.broadcast(index))
+        index = built.where(F.col("shard") == k).first()
+        if index is not None:
+            out.append(spark.sparkContext.broadcast(pickle.loads(index["index"])))
     return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_name: str = "doc_id", text: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_share, answer_share): documents that hold a test item."""
+    """(doc_id, item_id, score, question_share, answer_share): documents that hold a test item.
+
+    One row per row of ``docs`` and distinct item (id and text) that it holds; equal scores are no tie to break, since
+    all items over the threshold are returned.
+    """
     asked = docs.select(F.col(id_name).alias("doc_id"), text_or_empty(text).alias("text"))
     kinds = (
         f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, "
@@ -247,13 +313,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in pieces(batches, "text"):
-                found: dict[tuple, tuple] = {}
-                for r, i, *shares in search_batch(batch.column(1), index, threshold):
-                    found.setdefault((r, index.items[i][0]), shares)
-                ids = batch.column(0).take(pa.array([r for r, _ in found], pa.int64()))
-                columns = [pa.array([s[k] for s in found.values()], pa.float64()) for k in range(3)]
+                found = search_batch(batch.column(1), index, threshold)
+                ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+                columns = [pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4)]
                 yield pa.record_batch(
-                    [ids, pa.array([i for _, i in found], arrow_item), *columns],
+                    [ids, pa.array([index.items[x[1]][0] for x in found], arrow_item), *columns],
                     ["doc_id", "item_id", "score", "question_share", "answer_share"],
                 )
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe_automaton, decontaminate, jaccard, language, pitman_yor, quality, suffix_array, superkmers, token_counts, url_rules, windows
+from tapewright.llm import bpe_automaton, decontaminate, jaccard, language, pitman_yor, quality, queries, suffix_array, superkmers, token_counts, url_rules, windows
 from tapewright.llm.columns import id_remainder
 from tapewright.session import shared_folder
 
@@ -426,6 +426,59 @@ def test_planted_items_are_found(spark, small, sf_dir, awkward, empty):
     assert decontaminate.find_leaks(awkward, odd.limit(0)).count() == 0 and decontaminate.without_leaks(empty, odd).count() == 0
 
 
+def plain_leaks(docs, items):
+    """{(doc_id, item_id): (score, question share, answer share)} from every segment against every passage, word by word."""
+    words = lambda t: WORD.findall(t.translate(ASCII))
+    cut = lambda ws: [list(x) for x in np.array_split(np.array(ws, object), -(-len(ws) // 64))]
+    segments = [(i, Counter(part)) for i, (_, text) in enumerate(items) for part in cut(words(text))]
+    df, mean = Counter(t for _, s in segments for t in s), sum(s.total() for _, s in segments) / len(segments)
+    weighed = []
+    for i, s in segments:
+        n = s.total()
+        w = {t: np.log(1 + (len(segments) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for t, f in s.items()}
+        weighed.append((i, {t: x / sum(w.values()) for t, x in w.items()}))
+    grams = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    out = {}
+    for doc, text in docs:
+        ws, found = words(text or ""), {}
+        for k in range(max(1, -(-len(ws) // 64) - 1)):
+            passage = set(ws[64 * k : 64 * k + 128])
+            for i, w in weighed:
+                score = sum(x for t, x in w.items() if t in passage)
+                if score >= 0.6 - 1e-9:
+                    best, places = found.get(i, (0.0, set()))
+                    found[i] = max(best, score), places | {k}
+        for i, (score, places) in found.items():
+            question, answer = (words(x) for x in decontaminate.split_item(items[i][1]))
+            size = min(5, len(question))
+            asked = grams(question, size)
+            near = {w for k in places for w in ws[max(0, 64 * k - 64) : 64 * k + 128 + 64]}
+            shares = len(asked & grams(ws, size)) / len(asked), len(set(answer) & near) / len(set(answer))
+            if shares[0] >= 0.8 and shares[1] >= 0.5:
+                out[doc, items[i][0]] = (score, *shares)
+    return out
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 1_600])
+def test_leaks_equal_every_passage_against_every_segment(spark, small, sf_dir, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    wanted = plain_leaks(rows_of(small), [tuple(r) for r in items.collect()])
+    found = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.find_leaks(small, items.union(items)).collect()}
+    assert found.keys() == wanted.keys() and wanted
+    assert all(np.allclose(found[k], wanted[k], atol=1e-9) for k in wanted)
+
+
+def test_token_cache_lasts_through_a_session(spark, sf_dir):
+    op9 = queries.QUERIES["op9_token_counts"]
+    first = sorted(tuples(op9(spark, sf_dir)))
+    cache = queries._token_cache(spark, spark.conf.get("spark.checkpoint.dir"), token_counts.tokenizer_version(TOKENIZER))
+    rows = lambda: spark.read.schema(token_counts.CACHE_SCHEMA).parquet(cache).count()
+    tuples(op9(spark, sf_dir))  # the folder is known from the first call on where the session had none
+    held = rows()
+    assert sorted(tuples(op9(spark, sf_dir))) == first and held and rows() == held
+
+
 @pytest.mark.parametrize("answer", [12, 300])
 def test_items_of_many_segments_are_found_whole(spark, answer):
     r = random.Random(8)
