@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -78,9 +79,17 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@functools.lru_cache(maxsize=64)
+def _token_cache(spark, shared, version):
+    """One cache folder per session, shared folder and tokenizer version."""
+    return shared_folder(spark, "token-counts")
+
+
 @_query
 def op9_token_counts(spark, sf_dir):
-    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), shared_folder(spark, "token-counts"))
+    path = public_tokenizers.path(TOKENIZER)
+    cache = _token_cache(spark, spark.conf.get("spark.checkpoint.dir", None), token_counts.tokenizer_version(path))
+    return token_counts.count_tokens(_documents(spark, sf_dir), path, cache)
 
 
 @_query
@@ -184,7 +193,8 @@ sums AS (
 ORACLES["op11_periodic_runs"] = rf"""
 WITH {_CHECKSUM},
 given AS (
-  SELECT row_number() OVER () AS n, d.doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+  SELECT row_number() OVER () AS n, d.doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words
   FROM documents d JOIN sums s ON d.doc_id IS NOT DISTINCT FROM s.doc_id),
 d AS (SELECT *, len(words) AS size, CASE WHEN len(words) > 0 AND h % 10 = 0 THEN g % len(words) END AS a FROM given),
 pos AS (

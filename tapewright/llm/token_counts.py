@@ -4,10 +4,11 @@ The cache is a Parquet table of (content digest, tokenizer digest, count). Docum
 distinct digests that the cache does not hold are the misses; one document of each miss is read again and encoded;
 the new counts are appended, and every document takes its count from the cache by its digest.
 
-Texts never pass a shuffle keyed by content: a miss is represented by (digest, smallest id), chosen by an aggregate
-with map-side combine, so a text that a third of all rows hold is one row after the first stage. Joins on digests are
-plain equi-joins of narrow rows, where adaptive execution splits a hot digest. A lost executor repeats its tasks; a
-count appended twice by two runs does no harm, because the cache is read with one count per digest.
+A miss is represented by (digest, smallest id), chosen by an aggregate with map-side combine, so a text that a third of
+all rows hold is one row after the first stage. Where the misses are too many to broadcast, texts are shuffled once to
+meet them, keyed by digest and their own id, so copies with ids of their own are spread. Joins on digests are plain
+equi-joins of narrow rows, where adaptive execution splits a hot digest. A lost executor repeats its tasks; a count
+appended twice by two runs does no harm, because the cache is read with one count per digest.
 
 Defined cases: null text counts as empty (0 tokens, 0 bytes). Content is normalised only by that, since the tokenizer
 sees every other difference. Repeated rows each get their count. Special strings inside texts count as the
