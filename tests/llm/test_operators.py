@@ -338,19 +338,19 @@ def test_base_scores_and_gain(which, request):
 
 def test_probabilities_of_a_context_sum_to_one():
     r = np.random.default_rng(1)
-    words = np.sort(r.integers(0, 2**63, 40).astype(np.uint64))
+    words, names = (np.sort(r.integers(0, 2**63, n).astype(np.uint64)) for n in (40, 3))
     word, context = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(3), indexing="ij"))
     count = r.integers(0, 30, len(word)) * (r.random(len(word)) < 0.4)
     count[word == 7] = 0  # never seen in training
-    cells = pitman_yor.Cells(words, word, context, count)
-    vector = lambda x: np.bincount(context, weights=x, minlength=pitman_yor.CONTEXTS + 1).astype(np.int64)
+    count[5] = 20_000
+    cells = pitman_yor.Cells(words, word, context, count, names)
     known = int((np.bincount(word, weights=count) > 0).sum())
-    model = pitman_yor.Model(int(count.sum()), known, vector(count), 0.7, 0.4, (vector(count > 0),))
+    model = pitman_yor.Model(int(count.sum()), known, cells.per_context(count), 0.7, 0.4, (cells.per_context(count > 0),))
     for _ in range(3):
-        tables = list(pitman_yor.seatings(cells, model, 5))[-1][0]
+        tables = list(pitman_yor.seatings(cells, model))[-1][0]
         assert ((tables <= count) & ((tables > 0) == (count > 0))).all()
-        model = model._replace(tables=(*model.tables, vector(tables)))
-    scores, counts = pitman_yor.predictive(cells, model, 5)
+        model = model._replace(tables=(*model.tables, cells.per_context(tables)))
+    scores, counts = pitman_yor.predictive(cells, model)
     assert counts.tolist() == np.bincount(word, weights=count).tolist()
     for c in range(3):
         seen = np.bincount(word, weights=count) > 0
@@ -358,6 +358,82 @@ def test_probabilities_of_a_context_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("discount", [0.05, 0.3, 0.5, 0.71, 0.95])
+def test_seatings_of_many_customers(discount):
+    row = np.array([-np.inf, 0.0])
+    for c in range(1, 3000):
+        t = np.arange(1, c + 2)
+        row = np.append(row, -np.inf)
+        row[1:] = np.logaddexp(row[:-1], row[1:] + np.log(np.maximum(c - discount * t, 1e-300)))
+        if c + 1 in (1500, 3000):
+            t = np.arange(1, c + 2)
+            found = pitman_yor.log_stirling_at(np.full(len(t), c + 1), t, discount)
+            gap = found - row[1:]
+            gap -= gap[0]
+            # a ratio of neighbours decides between numbers of tables
+            assert np.abs(np.diff(gap))[: c // 2].max() < 0.02, (discount, c, np.abs(np.diff(gap))[: c // 2].argmax())
+            for weight in (0.5, 5, 50, 500):
+                p, q = (np.exp(x - x.max()) for x in (row[1:] + t * math.log(weight), found + t * math.log(weight)))
+                assert np.abs(p / p.sum() - q / q.sum()).sum() / 2 < 0.01, (discount, c, weight)
+
+
+def test_tables_as_a_sampler_that_moves_one_customer_at_a_time():
+    counts = {(0, 0): 12, (0, 1): 5, (0, 2): 1, (1, 0): 3, (1, 1): 40, (2, 2): 2, (3, 0): 1, (3, 2): 9, (4, 1): 2, (4, 2): 6}
+    d, d0, theta = 0.6, 0.4, pitman_yor.CONCENTRATION
+    r = random.Random(3)
+    seats = {k: [c] for k, c in counts.items()}
+    sums, rounds = Counter(), 6000
+    for turn in range(rounds + 200):
+        for (w, x), tables in seats.items():
+            for _ in range(counts[w, x]):
+                own = r.choices(range(len(tables)), tables)[0]
+                tables[own] -= 1
+                if not tables[own]:
+                    del tables[own]
+                in_context = sum(len(t) for (_, y), t in seats.items() if y == x)
+                of_word = sum(len(t) for (v, _), t in seats.items() if v == w)
+                parent = sum(map(len, seats.values()))
+                new = (theta + d * in_context) * (of_word - d0) / (theta + parent) if tables else 1.0
+                at = r.choices(range(len(tables) + 1), [*(n - d for n in tables), new])[0]
+                if at == len(tables):
+                    tables.append(0)
+                tables[at] += 1
+        if turn >= 200:
+            sums.update({k: len(t) for k, t in seats.items()})
+    word, context = np.array(sorted(counts)).T
+    count = np.array([counts[k] for k in sorted(counts)])
+    cells = pitman_yor.Cells(np.arange(5, dtype=np.uint64), word, context, count, np.arange(3, dtype=np.uint64))
+    wanted = np.array([sums[k] for k in sorted(counts)]) / rounds
+
+    def mean_tables(one_by_one: bool) -> np.ndarray:
+        tables, found = (count > 0).astype(np.int64), np.zeros(len(count))
+        for turn in range(rounds + 200):
+            chances = pitman_yor._chances(cells, turn)
+            for at in [[k] for k in range(len(count))] if one_by_one else [slice(None)]:
+                at_parent, known = cells.at_parent(tables), cells.per_context(tables)
+                others = pitman_yor.Others(known[context] - tables, at_parent[word] - tables, tables.sum() - tables)
+                tables[at] = pitman_yor.reseat(count[at], pitman_yor.Others(*(x[at] for x in others)), d, d0, chances[at])
+            found += tables * (turn >= 200)
+        return found / rounds
+
+    assert np.abs(mean_tables(True) - wanted).max() < 0.12
+    # steps that see the sweep before
+    assert np.abs(mean_tables(False) / wanted - 1).max() < 0.15
+
+
+def test_scores_do_not_depend_on_partitions(small, spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (2, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = pitman_yor.score_documents(small.repartition(n // 2), id_remainder("doc_id", 5) == 1, chunk_tokens=15_000, bucket_tokens=5_000).collect()
+            found.append({r["doc_id"]: r["score"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(abs(x - found[1][i]) < 1e-6 * abs(x) for i, x in found[0].items())
+
+
 def test_contexts_do_not_share_restaurants(spark):
     docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("before"), F.col("id") % 1500, F.lit(" after"), F.col("id") % 1500).alias("text"))
     found = pitman_yor.score_documents(docs.repartition(3), id_remainder("doc_id", 5) == 1, chunk_tokens=10_000)
@@ -370,23 +446,24 @@ def test_scores_of_buckets_that_exchange_totals(small):
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows])
     tokens, begins, bounds = pitman_yor.tokens_of(pa.array([t for _, t in rows]))
     before = np.where(begins, pitman_yor.START, np.append(pitman_yor.START, tokens[:-1]))
+    known = np.unique(np.append(tokens, pitman_yor.START))
+    part = known >> np.uint64(62)
+    named = (part << np.uint64(62)) | (np.arange(len(known)) - np.searchsorted(part, part)).astype(np.uint64)
+    tokens, before = (named[np.searchsorted(known, x)] for x in (tokens, before))
     (words, w), (names, c) = (np.unique(x, return_inverse=True) for x in (tokens, before))
     key, index = np.unique(w * len(names) + c, return_inverse=True)
     word, context = np.divmod(key, len(names))
     count = np.bincount(index, weights=np.repeat(~held, np.diff(bounds))).astype(np.int64)
-    bucket = (words >> np.uint64(62)).astype(int)  # four partitions
-    vector = lambda of, x: np.bincount(of, weights=x, minlength=len(names)).astype(np.int64)
-    own = [np.flatnonzero(bucket[word] == b) for b in range(4)]
-    cells = [pitman_yor.Cells(words[bucket == b], word[own[b]] - np.searchsorted(bucket, b), context[own[b]], count[own[b]]) for b in range(4)]
+    cells = pitman_yor.Cells(words, word, context, count, names)  # one bucket instead of four
     at_parent = np.bincount(word[count > 0], minlength=len(words))
     share = lambda x: min(0.95, max(0.05, (x == 1).sum() / max(1, (x == 1).sum() + 2 * (x == 2).sum())))
-    model = pitman_yor.Model(int(count.sum()), int((at_parent > 0).sum()), vector(context, count), share(count), share(at_parent), (vector(context, count > 0),))
+    model = pitman_yor.Model(int(count.sum()), int((at_parent > 0).sum()), cells.per_context(count), share(count), share(at_parent), (cells.per_context(count > 0),))
     for _ in range(pitman_yor.SWEEPS):
-        tables = sum(vector(x.context, list(pitman_yor.seatings(x, model, b))[-1][0]) for b, x in enumerate(cells))
-        model = model._replace(tables=(*model.tables, tables))
-    score = np.concatenate([pitman_yor.predictive(x, model, b)[0] for b, x in enumerate(cells)])
+        model = model._replace(tables=(*model.tables, cells.per_context(list(pitman_yor.seatings(cells, model))[-1][0])))
+    score = pitman_yor.predictive(cells, model)[0]
     wanted = dict(zip((i for i, _ in rows), np.add.reduceat(score[index], bounds[:-1]), strict=True))
-    found = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(small, id_remainder("doc_id", 5) == 1, chunk_tokens=20_000).collect()}
+    rows = pitman_yor.score_documents(small, id_remainder("doc_id", 5) == 1, chunk_tokens=20_000, bucket_tokens=int(len(tokens) / 2.5)).collect()
+    found = {r["doc_id"]: r["score"] for r in rows}
     assert found.keys() == wanted.keys() and np.allclose([found[i] for i in wanted], list(wanted.values()), rtol=1e-5)
 
 
