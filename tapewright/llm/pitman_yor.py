@@ -134,6 +134,11 @@ def _cells_of(which: np.ndarray, begins: np.ndarray, words: int) -> tuple[np.nda
     return np.unique(which * (words + 1) + context, return_inverse=True)
 
 
+def _by_frequency(often: np.ndarray) -> np.ndarray:
+    """Words by falling frequency; what is stored for tokens and contexts is the place in this order."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
 def _packed(chunk_tokens: int):
     """Chunks: documents, words by falling frequency as numbers, and the cells by word and context."""
 
@@ -144,14 +149,14 @@ def _packed(chunk_tokens: int):
         del tokens
         often = np.bincount(which)
         place = np.empty(len(words), np.int64)
-        place[np.argsort(-often, kind="stable")] = np.arange(len(words))
+        place[_by_frequency(often)] = np.arange(len(words))
         numbers = _planes(place[which])
         cells, index = _cells_of(which, begins, len(words))
         counts = np.bincount(index, weights=train, minlength=len(cells))
         word_of, context_of = np.divmod(cells, len(words) + 1)
         row = (number, np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(),
                np.concatenate([p[2] for p in parts]).tolist(), len(which), _planes(often), numbers, words.tobytes(),
-               _planes(np.bincount(word_of, minlength=len(words))), _planes(context_of), _planes(counts))
+               _planes(np.bincount(word_of, minlength=len(words))), _planes(np.append(0, place + 1)[context_of]), _planes(counts))
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 6]
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], _CHUNK)
 
@@ -228,7 +233,8 @@ def _listed(bits: int):
 
     def finish(chunk: int, data: tuple, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         names = np.concatenate([(np.uint64(p) << np.uint64(64 - bits)) | _from_sorted(x) for p, x in found])
-        words, (per_word, context_of, counts) = names[1:], (_from_planes(x) for x in data)
+        words, (often, per_word, context_of, counts) = names[1:], (_from_planes(x) for x in data)
+        context_of = np.append(0, _by_frequency(often) + 1)[context_of]
         ends = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
         rows = []
         for b, w in _parts_of(words, bits):
@@ -725,7 +731,7 @@ def _summed(tokens: int, words: int):
         words_seen = [np.frombuffer(pa.decompress(a[2], 8 * len(n), "zstd", asbytes=True), np.int64) for a, n in zip(answers, per_word, strict=True)]
         counts = np.concatenate([np.repeat(c, n) for c, n in zip(words_seen, per_word, strict=True)])
         bounds = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        by_frequency = np.argsort(-_from_planes(often).astype(np.int64), kind="stable")
+        by_frequency = _by_frequency(_from_planes(often))
         _, index = _cells_of(by_frequency[_from_planes(numbers)], bounds, len(by_frequency))
         count = counts[index]
         base = np.log10(count + 0.5) - np.log10(tokens + 0.5 * (words + 1))
@@ -763,7 +769,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_name: str = "doc_id",
     bits = max(1, min(20, (tokens // bucket_tokens).bit_length()))
     spelled = packed.select("chunk", "words").mapInArrow(_spelled(bits), SPELLED_SCHEMA)
     named = spelled.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_named, SPELLED_SCHEMA)
-    cells = ("cells", "contexts", "counts")
+    cells = ("often", "cells", "contexts", "counts")
     parts = packed.select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("words"), *cells).union(
         named.select("*", *(F.lit(None).cast("binary").alias(k) for k in cells))
     )
