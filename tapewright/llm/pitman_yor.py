@@ -101,6 +101,19 @@ def _from_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_from_longs(data).view(np.uint64), dtype=np.uint64)
 
 
+def _pairs(word: np.ndarray, context: np.ndarray, contexts: int) -> tuple[bytes, bytes]:
+    """Distinct (word, context) pairs as the number of words of each context, and the words one context after the other."""
+    size = int(word.max()) + 1 if len(word) else 1
+    return _planes(np.bincount(context, minlength=contexts)), _planes(np.sort(context * size + word) % size)
+
+
+def _from_pairs(per_context: bytes, words: bytes, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word and context of each pair, by word and context; with ``order``, words were stored as places in it."""
+    per, word = _from_planes(per_context), _from_planes(words).astype(np.int64)
+    word = word if order is None else order[word]
+    return np.divmod(np.sort(word * len(per) + np.repeat(np.arange(len(per)), per)), max(len(per), 1))
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hash of every token, whether it begins a row, and the n + 1 token offsets of the rows."""
     data, offsets = text_bytes(column)
@@ -135,7 +148,7 @@ def _cells_of(which: np.ndarray, begins: np.ndarray, words: int) -> tuple[np.nda
 
 
 def _by_frequency(often: np.ndarray) -> np.ndarray:
-    """Words by falling frequency; what is stored for tokens and contexts is the place in this order."""
+    """Words by falling frequency; what is stored for words is the place in this order."""
     return np.argsort(-often.astype(np.int64), kind="stable")
 
 
@@ -155,8 +168,8 @@ def _packed(chunk_tokens: int):
         counts = np.bincount(index, weights=train, minlength=len(cells))
         word_of, context_of = np.divmod(cells, len(words) + 1)
         row = (number, np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(),
-               np.concatenate([p[2] for p in parts]).tolist(), len(which), _planes(often), numbers, words.tobytes(),
-               _planes(np.bincount(word_of, minlength=len(words))), _planes(np.append(0, place + 1)[context_of]), _planes(counts))
+               np.concatenate([p[2] for p in parts]).tolist(), len(which), _planes(often), numbers, _sorted(words),
+               *_pairs(place[word_of], context_of, len(words) + 1), _planes(counts))
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 6]
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], _CHUNK)
 
@@ -195,10 +208,10 @@ def _spelled(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words in zip(*batch.to_pydict().values(), strict=True):
-                hashes = np.unique(np.append(START, np.frombuffer(words, np.uint64)))
+                hashes = np.unique(np.append(START, _from_sorted(words)))
                 parts, own = zip(*_parts_of(hashes, bits), strict=True)
                 types = [pa.int64(), pa.int32(), pa.binary()]
-                data = [[chunk] * len(parts), list(parts), [hashes[x].tobytes() for x in own]]
+                data = [[chunk] * len(parts), list(parts), [_sorted(hashes[x]) for x in own]]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(data, types, strict=True)], ["chunk", "part", "words"])
 
     return run
@@ -208,7 +221,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The place of each hash among all of its part, for the chunks that asked; rows come in the order of parts."""
 
     def reply(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        asked = [np.frombuffer(w, np.uint64) for _, w in rows]
+        asked = [_from_sorted(w) for _, w in rows]
         known = np.unique(np.concatenate(asked))
         data = [[c for c, _ in rows], [part] * len(rows), [_sorted(np.searchsorted(known, a).astype(np.uint64)) for a in asked]]
         return pa.record_batch([pa.array(x, t) for x, t in zip(data, [pa.int64(), pa.int32(), pa.binary()], strict=True)], ["chunk", "part", "words"])
@@ -233,14 +246,14 @@ def _listed(bits: int):
 
     def finish(chunk: int, data: tuple, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         names = np.concatenate([(np.uint64(p) << np.uint64(64 - bits)) | _from_sorted(x) for p, x in found])
-        words, (often, per_word, context_of, counts) = names[1:], (_from_planes(x) for x in data)
-        context_of = np.append(0, _by_frequency(often) + 1)[context_of]
-        ends = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
+        words, often, counts = names[1:], _from_planes(data[0]), _from_planes(data[3])
+        word_of, context_of = _from_pairs(data[1], data[2], _by_frequency(often))
+        ends = np.searchsorted(word_of, np.arange(len(words) + 1))
         rows = []
         for b, w in _parts_of(words, bits):
             c = slice(ends[w.start], ends[w.stop])
             own, at = np.unique(context_of[c], return_inverse=True)
-            rows.append((chunk, b, _sorted(words[w]), _planes(per_word[w]), _planes(at), _planes(counts[c]), _sorted(names[own])))
+            rows.append((chunk, b, _sorted(words[w]), *_pairs(word_of[c] - w.start, at, len(own)), _planes(counts[c]), _sorted(names[own])))
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in LIST_SCHEMA.split(", ")])
 
@@ -286,9 +299,7 @@ class Cells(NamedTuple):
 
 
 def _unpack(words: bytes, cells: bytes, contexts: bytes, counts: bytes, names: bytes) -> Cells:
-    own = _from_sorted(words)
-    return Cells(own, np.repeat(np.arange(len(own)), _from_planes(cells)), _from_planes(contexts).astype(np.int64), _from_planes(counts).astype(np.int64),
-                 _from_sorted(names))
+    return Cells(_from_sorted(words), *_from_pairs(cells, contexts), _from_planes(counts).astype(np.int64), _from_sorted(names))
 
 
 def _merge(parts: list[Cells]) -> Cells:
@@ -317,7 +328,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(bucket: int, part: bool, c: Cells) -> pa.RecordBatch:
         alone = np.zeros(0, np.int64) if c.alone is None else c.alone
-        data = (_sorted(c.words), _planes(np.diff(c.word, prepend=0)), _planes(c.context), _longs(c.count), _sorted(c.names), _longs(alone))
+        data = (_sorted(c.words), *_pairs(c.word, c.context, len(c.names)), _longs(c.count), _sorted(c.names), _longs(alone))
         return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([part]), *(pa.array([x], pa.binary()) for x in data)], _CELLS)
 
     def rows(bucket: int, parts: list[Cells]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +352,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stored(words: bytes, cells: bytes, contexts: bytes, counts: bytes, names: bytes, alone: bytes) -> Cells:
-    return Cells(_from_sorted(words), np.cumsum(_from_planes(cells), dtype=np.int64), _from_planes(contexts).astype(np.int64), _from_longs(counts),
-                 _from_sorted(names), _from_longs(alone) if alone else None)
+    return Cells(_from_sorted(words), *_from_pairs(cells, contexts), _from_longs(counts), _from_sorted(names), _from_longs(alone) if alone else None)
 
 
 class Model(NamedTuple):
