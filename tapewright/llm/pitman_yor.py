@@ -14,8 +14,8 @@ sent to the parent, and seats them again given everyone else. The number t of th
 with the tables T of the restaurant's other words, the other customers n of the word in the parent and N of the parent,
 and S the generalised Stirling numbers (all seatings of c customers at t tables); t is drawn from it exactly. The sizes
 of the tables are summed out, as nothing else depends on them. All steps of a sweep see the state that the sweep before
-left, as in other distributed samplers: on a toy corpus of ten cells this puts up to an eighth more tables into a cell
-than steps one after the other, which agree with a sampler that moves single customers. Up to ``LISTED`` customers S comes from its recurrence; beyond it is computed
+left, as in other distributed samplers; on a toy corpus the mean numbers of tables are those of a sampler that moves
+single customers one after the other. Up to ``LISTED`` customers S comes from its recurrence; beyond it is computed
 where it matters, by a series, or by a saddle point where the series loses digits (within 1 percent). After the burn-in
 sweeps the predictive probabilities of the kept sweeps are averaged; the score of a text is the sum of their logarithms.
 The random number of a step depends on its word, context and sweep alone, so scores do not depend on partitions.
