@@ -12,7 +12,7 @@ sent to the parent, and seats them again given everyone else. The number t of th
     p(t)  ~  S(c, t) * prod over k = 1 .. t - 1 of (theta + d (T + k)) (n + k - d0) / (theta0 + N + k)
 
 with the tables T of the restaurant's other words, the other customers n of the word in the parent and N of the parent,
-and S the generalised Stirling numbers (all seatings of c customers at t tables); t is drawn from it exactly. The sizes
+and S the generalised Stirling numbers (all seatings of c customers at t tables); t is drawn from it. The sizes
 of the tables are summed out, as nothing else depends on them. All steps of a sweep see the state that the sweep before
 left, as in other distributed samplers; on a toy corpus the mean numbers of tables are those of a sampler that moves
 single customers one after the other. Up to ``LISTED`` customers S comes from its recurrence; beyond it is computed
